@@ -18,9 +18,12 @@ from .common import table
 SAMPLE_DOCS, DICT_BYTES = 64, 64 << 10
 #: Bytes of text compressed at once, so that a dictionary weighs as much at the end of a long text as at its start.
 BLOCK = 8 << 10
-LEVEL = 3
+#: Lazy matching with short matches, as words of one language share short strings.
+PACKING = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 4, "target_length": 16}
+#: A text of fewer bytes is packed this many times, its words rotated, as sizes are whole bytes.
+SHORT, ROTATIONS = 512, 6
 #: The share of its size by which the best language must beat the second one.
-MARGIN = 0.01
+MARGIN = 0.002
 UNKNOWN = "und"
 
 
@@ -39,7 +42,20 @@ def dictionaries(sample: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
     by: dict[str, list[str]] = {}
     for r in sample.orderBy("lang", "text").collect():
         by.setdefault(r.lang, []).append(r.text)
-    return {lang: "\n".join(texts).encode()[:size] for lang, texts in sorted(by.items())}
+    return {lang: b"\n".join(map(normal, texts))[:size] for lang, texts in sorted(by.items())}
+
+
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def normal(text: str) -> bytes:
+    """Lower-cased words of letters with single spaces: marks and digits say little about a language."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+
+
+def turned(data: bytes) -> list[bytes]:
+    words = data.split(b" ")
+    return [b" ".join(words[k:] + words[:k]) for k in (len(words) * i // ROTATIONS for i in range(ROTATIONS))]
 
 
 def blocks(data: bytes, size: int = BLOCK) -> list[bytes]:
@@ -65,8 +81,9 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
         packers = []
         for n in names:
             d = zstandard.ZstdCompressionDict(dicts[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            settings = zstandard.ZstdCompressionParameters(**PACKING, write_content_size=0, write_checksum=0, write_dict_id=0)
+            d.precompute_compress(compression_params=settings)
+            packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress)
         for batch in batches:
             langs, scores, margins, rejected = [], [], [], []
             for value in batch.column(1):
@@ -74,7 +91,8 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
                 if not packers or not has_letters(text):
                     langs.append(UNKNOWN), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
-                pieces = blocks(text.encode())
+                data = normal(text) or text.encode()
+                pieces = turned(data) if len(data) < SHORT else blocks(data)
                 sizes = np.array([sum(len(pack(p)) for p in pieces) for pack in packers], float)
                 best = int(sizes.argmin())
                 rest = np.delete(sizes, best)

@@ -21,6 +21,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 THRESHOLD = 0.3
 
+_ODD_PAIR = np.uint64(0xA5A5A5A5A5A5A5A5)
 _ALNUM = byte_class(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
 _MARK = SPACED & ~_ALNUM
 
@@ -35,7 +36,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     """Hashed features of each row, rows end to end, and each row's first feature (one more entry than rows).
 
     Words are runs of letters and digits, and runs of other marks; features are
-    single words, and pairs of neighbours."""
+    single words, and pairs of neighbours. A word after itself is one feature,
+    whichever word it is."""
     # a border between the two kinds parts words too: find each kind's runs, merge by start
     s1, e1, _ = spans(_ALNUM[data], offsets)
     s2, e2, _ = spans(_MARK[data], offsets)
@@ -45,6 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     first = np.searchsorted(starts, offsets)
     words = span_hashes(data, starts, ends)
     pairs, at = shingle_hashes(words, first, 2)
+    pairs[words[at] == words[at + 1]] = _ODD_PAIR
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     rows = np.concatenate([row, row[at]])
     order = np.argsort(rows, kind="stable")
