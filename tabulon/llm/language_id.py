@@ -37,12 +37,15 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
     return usable.select(id_col, F.col(lang_col).alias("lang"), F.substring(text_col, 1, 4000).alias("text"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_lang).select("lang", "text")
 
 
-def dictionaries(sample: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content for each language: its sample end to end. At most a language's sample reaches the driver."""
+def dictionaries(sample: DataFrame, counts: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
+    """Raw content for each language: its sample end to end, languages with most documents (counts: lang, n) first.
+
+    At most SAMPLE_DOCS documents of each language reach the driver."""
     by: dict[str, list[str]] = {}
     for r in sample.orderBy("lang", "text").collect():
         by.setdefault(r.lang, []).append(r.text)
-    return {lang: b"\n".join(map(normal, texts))[:size] for lang, texts in sorted(by.items())}
+    n = {r.lang: r.n for r in counts.collect()}
+    return {lang: b"\n".join(map(normal, by[lang]))[:size] for lang in sorted(by, key=lambda x: (-n[x], x))}
 
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -72,10 +75,10 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
     """Per row: doc_id, lang_pred, score, margin, rejected.
 
     lang_pred is the language whose dictionary compresses the whole text to the
-    fewest bytes; of equal ones the first by name. A text that is null or has no
+    fewest bytes; of equal ones the one with most documents. A text that is null or has no
     letters is 'und' with score 0, rejected. rejected also holds where the margin
     is narrow. score is 1 / (1 + the other languages' odds), from the bytes saved."""
-    names = sorted(dicts)
+    names = list(dicts)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = []
@@ -116,8 +119,14 @@ def held_out(id_col: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """The dictionaries of the languages that docs names; empty where it names none."""
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    return dictionaries(training_sample(docs, text_col, lang_col, id_col), counts)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = docs.where(~held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull())
-    found = predict(docs, dictionaries(training_sample(learned, "text", "lang", "doc_id")))
+    found = predict(docs, learn(learned))
     return found.withColumn("held_out", held_out("doc_id", 4, 2))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe_codec
+from .language_id import op1_language_id
+from .licenses import op7_license_scan
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op5_quality_rules
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+_ALL = (op1_language_id, op4_quality_classifier, op5_quality_rules, op7_license_scan, op10_bpe_codec)
 
-ORACLE = {}
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLE: dict[str, str] = {}
