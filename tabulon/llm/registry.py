@@ -7,8 +7,10 @@ from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op5_quality_rules
+from .simhash import op2_simhash
+from .suffixes import op9_suffix_dedup
 
-_ALL = (op1_language_id, op4_quality_classifier, op5_quality_rules, op7_license_scan, op10_bpe_codec)
+_ALL = (op1_language_id, op2_simhash, op4_quality_classifier, op5_quality_rules, op7_license_scan, op9_suffix_dedup, op10_bpe_codec)
 
 QUERIES = {f.__name__: f for f in _ALL}
 
