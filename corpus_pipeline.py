@@ -1,15 +1,69 @@
-"""A corpus pipeline over documents; each stage reads what the one before it wrote."""
+"""A corpus pipeline over documents: each stage reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulon.llm.bpe import bpe_tokens
+from tabulon.llm.common import table, written
+from tabulon.llm.decontamination import contaminated
+from tabulon.llm.language_id import held_out, learn, predict
+from tabulon.llm.simhash import near_duplicates
+from tabulon.llm.suffixes import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the stage's input names; those without letters, or as near to two languages, go."""
+    learned = docs.where(~held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull())
+    found = predict(docs, learn(learned), carry=COLUMNS[1:])
+    return found.where(~F.col("rejected")).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect, the one with the smallest doc_id. Documents without a doc_id stay."""
+    found = near_duplicates(docs)
+    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; documents of which nothing is left go. A character that was cut in two is dropped."""
+    found = remove_repeats(docs, with_text=True, carry=("lang", "source"))
+    left = found.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    # invalid UTF-8 is what is left of a cut character: U+FFFD marks it, and no other text has been given new ones
+    valid = F.expr("coalesce(try_validate_utf8(cast(kept as string)), replace(make_valid_utf8(cast(kept as string)), '\ufffd', ''))")
+    return left.select("doc_id", valid.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, checked by decoding: decoded_sha256 is that of the text."""
+    return bpe_tokens(docs, carry=("lang", "source"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("BPE encoding", encoded),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k + 1}")
     return docs

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table
 
 
 @functools.cache
@@ -180,13 +180,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids (array of int; if with_ids), ids_sha256, decoded_sha256.
+def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array of int; if with_ids), and the columns to carry.
 
     A null text is encoded as an empty one. path names the tokenizer file on
     every executor. Rows keep their partition; nothing is shuffled."""
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [f.split()[0] for f in schema.split(", ")] + list(carry)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -204,9 +205,9 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [piece.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays(columns + piece.columns[2:], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, schema)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(encoded, schema + carried(docs, carry))
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

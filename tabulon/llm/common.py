@@ -53,6 +53,12 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def carried(docs: DataFrame, columns: tuple[str, ...]) -> str:
+    """The schema string of columns that an operator passes through, after its own."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return "".join(f", `{c}` {kinds[c]}" for c in columns)
+
+
 def byte_parts(column: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows i..j of a string column with their offsets (from 0) and UTF-8 bytes, about limit bytes a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):

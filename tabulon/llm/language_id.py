@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table
 
 #: Sample that the dictionaries are made of: documents a language, and bytes of each dictionary.
 SAMPLE_DOCS, DICT_BYTES = 64, 64 << 10
@@ -71,8 +71,8 @@ def has_letters(text: str) -> bool:
     return any(c.isalpha() for c in text) or any(unicodedata.category(c)[0] == "L" for c in text)
 
 
-def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, margin, rejected.
+def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, lang_pred, score, margin, rejected, and the columns to carry.
 
     lang_pred is the language whose dictionary compresses the whole text to the
     fewest bytes; of equal ones the one with most documents. A text that is null or has no
@@ -105,12 +105,12 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
                 margins.append(gap)
                 rejected.append(gap < margin)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_()), *batch.columns[2:]],
+                ["doc_id", "lang_pred", "score", "margin", "rejected", *carry],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scored, "doc_id long, lang_pred string, score double, margin double, rejected boolean"
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(
+        scored, "doc_id long, lang_pred string, score double, margin double, rejected boolean" + carried(docs, carry)
     )
 
 

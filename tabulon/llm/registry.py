@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_codec
 from .decontamination import op8_decontamination
+from .html_text import op3_html_text
 from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .quality_classifier import op4_quality_classifier
@@ -12,7 +13,7 @@ from .simhash import op2_simhash
 from .suffixes import op9_suffix_dedup
 from .warc import op6_warc
 
-_ALL = (op1_language_id, op2_simhash, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec)
+_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec)
 
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_parts, mixed, spans, table
+from .common import byte_parts, carried, mixed, spans, table
 
 LEAST = 50
 KMER = 16
@@ -86,7 +86,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
 
 
 def ordered(group: pa.Table) -> pa.Table:
-    return group.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 @dataclass
@@ -264,15 +264,15 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (what is left, as bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, if asked for kept (what is left, as bytes), and the columns to carry.
 
     A byte goes if a string of LEAST bytes that covers it also starts in a
     document with a smaller doc_id. Null texts are empty. Rows with one doc_id
     are one document: they don't cut each other. A null doc_id counts as smaller
     than any other."""
     spark = docs.sparkSession
-    clean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    clean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
     total = clean.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     groups = max(1, -(-total // GROUP_BYTES))
     every = max(1, total // SAMPLE_BYTES)
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         splitters = np.empty(0, np.uint64)
 
-    grouped = clean.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "text").repartition(groups, "g")
+    grouped = clean.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "*").repartition(groups, "g")
 
     def send_keys(key: tuple, group: pa.Table) -> pa.Table:
         bucket, h, many = keys(ordered(group), splitters)
@@ -362,14 +362,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sha.append(hashlib.sha256(left_over).hexdigest())
                 kept.append(left_over if with_text else None)
         out = {"doc_id": group.column("doc_id"), "n_bytes": pc.cast(pc.binary_length(group.column("text")), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
+        return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}) | {c: group.column(f"_{c}") for c in carry})
 
     blob = "bucket long, g long, hashes binary, many binary"
     answer = "g long, bucket long, kind int, data binary"
     shared = grouped.groupBy("g").applyInArrow(send_keys, blob).groupBy("bucket").applyInArrow(answer_keys, answer)
     sent = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(send_suffixes, "bucket long, g long, contexts binary, docs binary")
     decided = sent.groupBy("bucket").applyInArrow(answer_suffixes, answer)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + carried(docs, carry)
     out = grouped.groupBy("g").cogroup(shared.unionByName(decided).groupBy("g")).applyInArrow(cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
