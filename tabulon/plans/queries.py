@@ -725,9 +725,9 @@ def store_final_audit(spark, sf_dir):
     return store.audit(manifest, stored)
 
 
-@query("SELECT cast(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMPTZ) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT cast(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, sf_dir):
     from ..streaming.resumable import windowed_counts
 
     e = table(spark, sf_dir, "events").select("ts", "event_type")
-    return windowed_counts(e, "ts", "1 day", "1 day", ["event_type"]).select(F.col("window.start").cast("timestamp").alias("day"), "event_type", "n")
+    return windowed_counts(e, "ts", "1 day", "1 day", ["event_type"]).select(F.to_date("window.start").alias("day"), "event_type", "n")
