@@ -46,7 +46,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 )
 
-#: A match of fewer words isn't chained; matches this many words apart at most are; a span covers this share of its template.
+#: A match of fewer words isn't chained; matches at most GAP words apart are; a span covers this share of its template.
 LEAST, GAP, COVER = 4, 6, 0.6
 
 
@@ -128,7 +128,7 @@ class Scanner:
     labels: list[str]
 
     def spans(self, words: list[int], at: int) -> list[tuple[str, int, int, float]]:
-        """Template spans (label, first word, last word, share covered) in a run of known words that begins at word at."""
+        """Template spans (label, first word, last word, share covered) in words (-1 where no template has one) that begin at word at."""
         open_: dict[int, list[int]] = {}  # template: first, last, template position of last, covered
         done: list[tuple[str, int, int, float]] = []
 
@@ -208,10 +208,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             low[r] = place if low[r] is None else min(low[r], place)
                             high[r] = place if high[r] is None else max(high[r], place)
                 runs, stops, _ = spans(ids >= 0, first)
-                for a, b in zip(runs, stops, strict=True):
-                    if b - a >= LEAST:
-                        r = row_of[a]
-                        more[r] += [{"label": x, "first": f, "last": e, "covered": c} for x, f, e, c in sc.spans(ids[a:b].tolist(), int(a - first[r]))]
+                long = stops - runs >= LEAST
+                runs, stops = runs[long], stops[long]
+                # runs that are near enough for a chain go to the automaton together
+                apart = np.concatenate([[True], (runs[1:] - stops[:-1] > GAP) | (row_of[runs[1:]] != row_of[runs[:-1]])]) if len(runs) else np.empty(0, bool)
+                for a, b in zip(runs[apart], stops[np.append(apart[1:], True)] if len(runs) else stops, strict=True):
+                    r = row_of[a]
+                    more[r] += [{"label": x, "first": f, "last": e, "covered": c} for x, f, e, c in sc.spans(ids[a:b].tolist(), int(a - first[r]))]
                 labels = [",".join(sorted(base[r] | {x["label"] for x in more[r]})) for r in range(rows)]
                 scores = [1.0 if base[r] else max((x["covered"] for x in more[r]), default=0.0) for r in range(rows)]
                 yield pa.RecordBatch.from_arrays(

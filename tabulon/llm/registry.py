@@ -1,4 +1,4 @@
-"""The queries of the corpus operators and their SQL."""
+"""The queries of the corpus operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from .html_text import op3_html_text
 from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .quality_classifier import op4_quality_classifier
-from .quality_rules import op5_quality_rules
+from .quality_rules import RULES, STOP_WORDS, op5_quality_rules
 from .simhash import op2_simhash
 from .suffixes import op9_suffix_dedup
 from .warc import op6_warc
@@ -17,4 +17,26 @@ _ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5
 
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
+_BROKEN = " OR ".join(
+    f"coalesce({' / '.join(f'cast({x} AS DOUBLE)' if k == 0 else f'nullif({x}, 0)' for k, x in enumerate(r.value.split(' / ')))}, 0) {op} {bound}"
+    for r in RULES for op, bound in (("<", r.low), (">", r.high)) if bound is not None
+)
+
+_OP5 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w, {_LINES} AS ls FROM documents),
+win AS (SELECT rid, p, [w[p], w[p + 1], w[p + 2], w[p + 3], w[p + 4]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT p + k) AS n FROM twice, range(5) r(k) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  cast(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop,
+  len(list_filter(ls, lambda l: regexp_matches(l, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet FROM d LEFT JOIN rep ON rep.rid = d.rid),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept FROM b"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {s}) & 31 AS INT) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))
+_OP6 = f"""WITH h AS (SELECT page_id, cast(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
+
+ORACLE = {"op5_quality_rules": _OP5, "op6_warc": _OP6}

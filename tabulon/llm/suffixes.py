@@ -118,7 +118,9 @@ def keys(group: pa.Table, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _blobs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+    if not len(bucket):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
         yield int(bucket[a]), slice(int(a), int(b))
 
