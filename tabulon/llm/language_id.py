@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import carried, table
 
-#: Sample that the dictionaries are made of: documents a language, and bytes of each dictionary.
-SAMPLE_DOCS, DICT_BYTES = 64, 64 << 10
+#: Sample that the dictionaries are made of: documents a language, characters of each at most, and bytes of each dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 64, 50_000, 64 << 10
 #: Bytes of text compressed at once, so that a dictionary weighs as much at the end of a long text as at its start.
 BLOCK = 8 << 10
 #: Lazy matching with short matches, as words of one language share short strings.
@@ -28,13 +28,13 @@ UNKNOWN = "und"
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """At most per_lang documents of a few hundred to a few thousand characters for each language, by a hash of their ids.
+    """At most per_lang documents for each language, by a hash of their ids; those of a few hundred to a few thousand characters first, those above SAMPLE_CHARS never.
 
     Spark keeps the first rows of each language per partition before it shuffles, so one common language doesn't land in one task."""
     size = F.length(text_col)
     order = Window.partitionBy(lang_col).orderBy(((size < 300) | (size > 4000)), F.xxhash64(F.col(id_col)), F.col(text_col))
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size > 0))
-    return usable.select(id_col, F.col(lang_col).alias("lang"), F.substring(text_col, 1, 4000).alias("text"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_lang).select("lang", "text")
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & size.between(1, SAMPLE_CHARS))
+    return usable.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_lang).select("lang", "text")
 
 
 def dictionaries(sample: DataFrame, counts: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import SPACED, byte_class, byte_parts, shingle_hashes, span_hashes, spans, table
 from .language_id import held_out
 
-#: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
-SAMPLE_ROWS = 6000
+#: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id, but for texts of more characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 50_000
 BITS = 18
 EPOCHS = 3
 #: Learning rate, its smoothing, and the L1 and L2 weights of the updates.
@@ -86,8 +86,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     few = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
     few = few.orderBy(F.xxhash64(id_col), F.col(id_col), "_y").limit(most)
     found = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(few), id_col)
-    # long texts weigh no more than others here: what is learned is bounded by rows and characters
-    return [(r._t or "", r._y) for r in found.select(id_col, F.substring("_t", 1, 8000).alias("_t"), "_y").orderBy(F.xxhash64(id_col), id_col, "_y", "_t").collect()]
+    usable = found.where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS)
+    return [(r._t or "", r._y) for r in usable.orderBy(F.xxhash64(id_col), id_col, "_y", "_t").collect()]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -247,6 +247,11 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_of_holders(spark):
+    rows = [(1, "http://a/1", "<div class=with-sidebar><article><p>kept</p><section class=\"comments\"><article class=\"comment\">not</article></section></article></div><div class=\"sidebar\">no</div>")]
+    assert html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text == "kept"
+
+
 def test_template_classes():
     rng = random.Random(12)
     pages = [html_text.read(page(rng, "h", k)[0]) for k in range(12)]
