@@ -169,3 +169,17 @@ def duration(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
     return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s % 60)).when(m > 0, F.format_string("%dm %ds", m, s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def clean_generated(c: Column, prefixes: tuple[str, ...]) -> Column:
+    """Non-empty lines joined by spaces, without those at the start that begin with a prefix; the text itself if no line is left."""
+    lines = F.filter(F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit(" ")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def boilerplate(x: Column) -> Column:
+        hit = F.lit(False)
+        for p in prefixes:
+            hit = hit | x.startswith(p)
+        return hit
+
+    first = F.coalesce(F.array_position(F.transform(lines, boilerplate), F.lit(False)), F.lit(0))
+    return F.when(first == 0, c).otherwise(F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(lines), F.lit(1))), " "))

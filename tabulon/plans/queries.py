@@ -731,3 +731,198 @@ def windowed_event_counts(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select("ts", "event_type")
     return windowed_counts(e, "ts", "1 day", "1 day", ["event_type"]).select(F.to_date("window.start").alias("day"), "event_type", "n")
+
+
+# --- projections ---------------------------------------------------------------------
+
+
+@query(f"""{P} SELECT arm, condition, record_id, cast(CASE WHEN pred <> gold AND pred BETWEEN 0 AND 3 THEN pred ELSE (gold + 2) % 4 END AS INT) AS alternative FROM predictions WHERE condition = 'grey'""")
+def alternative_answer(spark, sf_dir):
+    """The wrong answer to supply: the prediction if it is wrong and in range, else the one opposite."""
+    p = predictions(spark, sf_dir, conditions=("grey",))
+    usable = (F.col("pred") != F.col("gold")) & F.col("pred").between(0, 3)
+    return p.select("arm", "condition", "record_id", F.when(usable, F.col("pred")).otherwise(F.pmod(F.col("gold") + 2, F.lit(4))).cast("int").alias("alternative"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 200")
+def prefix_sample(spark, sf_dir):
+    """The first records in canonical order: a range of the index, not a limit."""
+    return table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT doc_id, substring(coalesce(text, ''), 1, 256) AS caption FROM documents")
+def caption_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 256).alias("caption"))
+
+
+@query("SELECT p_partkey, array_to_string(list_concat(string_split(p_type, ' '), ['', '', '', ''])[1:4], '|') AS choices FROM part")
+def choices_normalised(spark, sf_dir):
+    """Lists of choices cut or filled up to four."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.concat(F.split("p_type", " "), F.array_repeat(F.lit(""), 4)), 1, 4), "|").alias("choices"))
+
+
+@query("""WITH k AS (SELECT user_id AS id FROM events UNION SELECT o_custkey FROM orders), c AS (SELECT id, row_number() OVER (ORDER BY id % 256, id) - 1 AS code FROM k WHERE id IS NOT NULL)
+SELECT 'events' AS origin, code, count(*) AS n FROM events JOIN c ON c.id = user_id GROUP BY code UNION ALL SELECT 'orders', code, count(*) FROM orders JOIN c ON c.id = o_custkey GROUP BY code""")
+def pseudonym_codes(spark, sf_dir):
+    """Ids of two tables replaced by the same dense codes."""
+    own = table(spark, sf_dir, "events").select(F.lit("events").alias("origin"), F.col("user_id").alias("id"))
+    both = own.unionByName(table(spark, sf_dir, "orders").select(F.lit("orders").alias("origin"), F.col("o_custkey").alias("id")))
+    counted = both.groupBy("origin", "id").agg(F.count("*").alias("n"))
+    return counted.join(bootstrap.dense_index(counted, "id", "code"), "id").select("origin", "code", "n")
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name, regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '\.html$', '.json') AS renamed FROM pages")
+def page_basenames(spark, sf_dir):
+    name = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.regexp_replace(name, r"\.html$", ".json").alias("renamed"))
+
+
+# --- prompts ----------------------------------------------------------------------------
+
+_PROMPT_SQL = """p AS (SELECT doc_id, arm, 'Question: ' || substring(coalesce(text, ''), 1, 80) || chr(10) || 'Choices: A) yes B) no' || CASE WHEN arm LIKE '%_desc' THEN chr(10) || 'Description: ' || coalesce(lang, '') ELSE '' END AS prompt FROM documents, (VALUES ('plain'), ('plain_desc')) a(arm))"""
+
+
+def _prompts(spark, sf_dir) -> DataFrame:
+    """A prompt for each document and arm; arms with descriptions have one line more."""
+    d = table(spark, sf_dir, "documents").withColumn("arm", F.explode(F.array(F.lit("plain"), F.lit("plain_desc"))))
+    base = F.concat(F.lit("Question: "), F.substring(F.coalesce("text", F.lit("")), 1, 80), F.lit("\nChoices: A) yes B) no"))
+    extra = F.when(F.col("arm").endswith("_desc"), F.concat(F.lit("\nDescription: "), F.coalesce("lang", F.lit("")))).otherwise("")
+    return d.select("doc_id", "arm", F.concat(base, extra).alias("prompt"))
+
+
+@query(f"""WITH {_PROMPT_SQL}, m AS (SELECT doc_id, arm, sha256(prompt || CASE WHEN doc_id % 50 = 7 THEN '!' ELSE '' END) AS h FROM p)
+SELECT p.arm, count(*) AS n, count(*) FILTER (sha256(p.prompt) = m.h) AS equal FROM p JOIN m ON m.doc_id = p.doc_id AND m.arm = p.arm GROUP BY p.arm""")
+def prompt_reconstruction_audit(spark, sf_dir):
+    """Every prompt rebuilt and compared by hash with a manifest, some of whose rows were altered."""
+    p = _prompts(spark, sf_dir)
+    altered = F.when(F.col("doc_id") % 50 == 7, "!").otherwise("")
+    m = p.select("doc_id", "arm", F.sha2(F.concat("prompt", altered), 256).alias("h"))
+    return p.join(m, ["doc_id", "arm"]).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.sha2("prompt", 256) == F.col("h")).alias("equal"))
+
+
+@query(f"WITH {_PROMPT_SQL} SELECT arm, count(*) AS n, count(*) FILTER (regexp_matches(prompt, '(?i)answer:|gold|label')) AS leaks FROM p GROUP BY arm")
+def prompt_sentinel(spark, sf_dir):
+    """Prompts that hold a marker which would give the answer away."""
+    return _prompts(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("prompt").rlike("(?i)answer:|gold|label")).alias("leaks"))
+
+
+@query(f"WITH {_PROMPT_SQL}, h AS (SELECT sha256(prompt) AS h, count(*) AS n FROM p GROUP BY 1) SELECT count(*) AS tasks, cast(sum(n) AS BIGINT) AS prompts, cast(sum(n) - count(*) AS BIGINT) AS saved FROM h")
+def prompt_task_dedup(spark, sf_dir):
+    """Distinct prompts by hash: what a judge has to score, and what it is spared."""
+    h = _prompts(spark, sf_dir).groupBy(F.sha2("prompt", 256).alias("h")).agg(F.count("*").alias("n"))
+    return h.agg(F.count("*").alias("tasks"), F.sum("n").alias("prompts"), (F.sum("n") - F.count("*")).alias("saved"))
+
+
+@query("""SELECT doc_id, sha256('{"custom_id":"doc-' || doc_id || '","body":{"model":"m","content":"' || to_base64(encode(coalesce(text, ''))) || '"}}') AS request_sha FROM documents""")
+def request_payloads(spark, sf_dir):
+    """A batch request a document as JSON, its content in base64."""
+    body = F.struct(F.lit("m").alias("model"), F.replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit("\r\n"), F.lit("")).alias("content"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("custom_id"), body.alias("body"))).alias("r"))
+    return d.select("doc_id", F.sha2("r", 256).alias("request_sha"))
+
+
+# --- texts ---------------------------------------------------------------------------------
+
+
+@query(r"""WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(s) = 1 THEN s[1] ELSE array_to_string(s[1:len(s) - 1], ' ') END AS reasoning, s[len(s)] AS final FROM s""")
+def cot_target_split(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.cot_target(F.col("text")).alias("c")).select("conv_id", "turn", "c.reasoning", "c.final")
+
+
+@query(r"""WITH l AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform(string_split('System: be brief' || chr(10) || coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+k AS (SELECT doc_id, t, ls, coalesce(list_position(list_transform(ls, lambda x: starts_with(x, 'System') OR starts_with(x, 'system')), false), 0) AS first FROM l)
+SELECT doc_id, sha256(CASE WHEN first = 0 THEN 'System: be brief' || chr(10) || t ELSE array_to_string(ls[first:], ' ') END) AS cleaned_sha FROM k""")
+def clean_generated_text(spark, sf_dir):
+    """Boilerplate lines at the start dropped, the rest joined; a text of nothing else stays as it is."""
+    raw = F.concat(F.lit("System: be brief\n"), F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("t"))
+    return d.select("doc_id", F.sha2(text.clean_generated(F.col("t"), ("System", "system")), 256).alias("cleaned_sha"))
+
+
+@query("""SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS took FROM (SELECT event_id, cast(floor(value * 97) AS BIGINT) AS s FROM events WHERE value >= 0)""")
+def duration_format(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("value >= 0").select("event_id", text.duration(F.col("value") * 97).alias("took"))
+
+
+@query(f"""{PARSED}, o AS (SELECT conv_id, turn, list_distinct({TOKENS.format("final")}) AS w FROM parsed), sc AS (SELECT conv_id, turn, [len(list_intersect(w, ['answer', 'number'])), len(list_intersect(w, ['the', 'and'])), len(list_intersect(w, ['la', 'de']))] AS n FROM o)
+SELECT cast(CASE WHEN list_max(n) > 0 THEN list_position(n, list_max(n)) - 1 END AS INT) AS choice, count(*) AS n FROM sc GROUP BY 1""")
+def judge_choices(spark, sf_dir):
+    """The stand-in judge's choice for each final span."""
+    from ..operators.scorers import choose
+
+    choices = F.array(F.lit("answer number"), F.lit("the and"), F.lit("la de"))
+    t = tagged(spark, sf_dir).select(choose(text.parse_tolerant(F.col("raw"))["final"], choices).alias("choice"))
+    return t.groupBy("choice").agg(F.count("*").alias("n"))
+
+
+# --- windows -----------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'purchase')
+SELECT user_id, event_id FROM r WHERE k > 3""")
+def prune_oldest(spark, sf_dir):
+    """What goes when each user keeps the three newest events; purchases are protected and don't count."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return e.withColumn("k", F.row_number().over(newest)).where("k > 3").select("user_id", "event_id")
+
+
+@query("""WITH d AS (SELECT event_type, cast(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, n, cast(sum(n) OVER (PARTITION BY event_type ORDER BY day) AS BIGINT) AS so_far FROM d""")
+def progress_counts(spark, sf_dir):
+    """Events a day and up to then: counted by day first, so that a window has days, not events."""
+    d = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    running = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.withColumn("so_far", F.sum("n").over(running))
+
+
+@query(f"""{SCORED}, m AS (SELECT arm, condition, avg(drift) AS v FROM d GROUP BY ALL), g AS (SELECT arm, avg(v) AS a FROM m GROUP BY arm)
+SELECT m.arm, condition, CASE WHEN v - a > 1e-9 THEN 'above' WHEN v - a < -1e-9 THEN 'below' ELSE 'equal' END AS sign FROM m JOIN g ON g.arm = m.arm""")
+def sign_classification(spark, sf_dir):
+    m = _scored(spark, sf_dir).groupBy("arm", "condition").agg(F.avg("drift").alias("v"))
+    d = F.col("v") - F.avg("v").over(Window.partitionBy("arm"))  # as many rows as conditions
+    return m.withColumn("d", d).select("arm", "condition", F.when(F.col("d") > 1e-9, "above").when(F.col("d") < -1e-9, "below").otherwise("equal").alias("sign"))
+
+
+# --- reports --------------------------------------------------------------------------------
+
+_PIVOT = ", ".join(f"max(round(100.0 * k / n, 4)) FILTER (condition = '{c}') AS {c}" for c in C)
+
+
+@query(f"{COUNTS} SELECT arm, {_PIVOT} FROM c GROUP BY arm")
+def report_accuracy_table(spark, sf_dir):
+    """Arms by conditions, in percent: cells are aggregated before they are turned."""
+    c = accuracy.counts(predictions(spark, sf_dir))
+    return c.groupBy("arm").agg(*[F.max(F.when(F.col("condition") == x, F.round(100.0 * F.col("k") / F.col("n"), 4))).alias(x) for x in C])
+
+
+@query(f"{SCORED}, m AS (SELECT arm, condition, round(avg(drift), 4) AS v FROM d GROUP BY ALL) SELECT arm, {', '.join(f'''max(v) FILTER (condition = '{c}') AS {c}''' for c in C[1:])} FROM m GROUP BY arm")
+def report_drift_table(spark, sf_dir):
+    m = _scored(spark, sf_dir).groupBy("arm").pivot("condition", C[1:]).agg(F.round(F.avg("drift"), 4))
+    return m
+
+
+@query(f"""{USABLE}, f AS (SELECT record_id, arm, frame_id, condition FROM texts WHERE length(trim(array_to_string(words, ''))) > 0)
+SELECT c.arm, c.condition, count(*) AS pairable, count(DISTINCT c.frame_id) AS frames FROM f c WHERE c.condition <> 'source' AND EXISTS (SELECT 1 FROM f s WHERE s.record_id = c.record_id AND s.condition = 'source') GROUP BY ALL""")
+def pairable_counts(spark, sf_dir):
+    """Records usable under a condition whose source text is usable too."""
+    return _pairs(spark, sf_dir).groupBy("arm", "condition").agg(F.count("*").alias("pairable"), F.countDistinct("frame_id").alias("frames"))
+
+
+@query(f"""{P}, j AS (SELECT arm, stratum, correct, h % 10 <> 9 AS usable, h % 17 <> 4 AS ok FROM predictions WHERE condition = 'source')
+SELECT arm, stratum, count(*) AS n, count(*) FILTER (usable) AS usable, count(*) FILTER (usable AND ok AND correct = 1) AS recovered, round(count(*) FILTER (usable AND ok AND correct = 1) / nullif(count(*) FILTER (usable), 0), 9) AS conditional,
+  round(count(*) FILTER (usable AND ok AND correct = 1) / count(*), 9) AS pipeline, round(count(*) FILTER (usable) / count(*), 9) AS coverage FROM j GROUP BY GROUPING SETS ((arm), (arm, stratum))""")
+def recovery_strata(spark, sf_dir):
+    """Recovered over usable, and over all, by arm and stratum with arm totals."""
+    p = predictions(spark, sf_dir, conditions=("source",)).withColumn("usable", F.col("h") % 10 != 9)
+    n, u = F.count("*"), F.count_if("usable")
+    k = F.count_if(F.col("usable") & (F.col("h") % 17 != 4) & (F.col("correct") == 1))
+    share = accuracy.share
+    return p.rollup("arm", "stratum").agg(n.alias("n"), u.alias("usable"), k.alias("recovered"), share(k, u).alias("conditional"), share(k, n).alias("pipeline"), share(u, n).alias("coverage")).where("arm is not null")
+
+
+@query(f"""{DRAWS}, v AS (SELECT ps / n AS v FROM reps) SELECT cast(floor(v * 200) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY 1""")
+def bootstrap_histogram(spark, sf_dir):
+    """How a statistic's replicates spread: the source of a figure."""
+    r = bootstrap.replicates(_sums(spark, sf_dir), "frame_id", ["n", "ps"], REPS)
+    return r.groupBy(F.floor(F.try_divide("ps", "n") * 200).alias("bin")).agg(F.count("*").alias("n"))
