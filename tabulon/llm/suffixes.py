@@ -15,6 +15,10 @@ Three passes over groups of documents (a group is a hash of doc_id, some MB):
    an anchor, the smallest document. The k-mer is longer than what splitters
    compare, so equal strings never fall on both sides of a border;
 3. each group takes the answers and cuts the bytes.
+A k-mer that more than HOT_GROUPS groups have (a passage of a third of all
+documents) could bring a bucket more contexts than it can hold. Its strings go
+one by one instead, each distinct one once for a group, to buckets by their
+hash: as many rows as groups at most share a string, whatever stands around it.
 A document's text is shuffled once, by group; that exchange serves all passes.
 """
 
@@ -37,6 +41,8 @@ LEAST = 50
 KMER = 16
 #: Bytes of text in a group of documents, and in the sample that splitters come from.
 GROUP_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 20
+#: Groups that may share a k-mer before its strings are dealt out one by one.
+HOT_GROUPS = 512
 SIDE = LEAST - KMER  # how far strings around an anchor reach to either side of its k-mer
 WIDTH = KMER + 2 * SIDE
 _SIGN = np.uint64(1 << 63)
@@ -149,6 +155,18 @@ class Suffixes:
     doc: np.ndarray
     which: list[np.ndarray]
     places: list[tuple[Part, np.ndarray, np.ndarray]]
+    windows: Windows
+
+
+@dataclass
+class Windows:
+    """A group's distinct strings around k-mers that are everywhere: bytes padded to words, each one's smallest document, and for each part where which starts."""
+
+    bucket: np.ndarray
+    text: np.ndarray
+    doc: np.ndarray
+    which: list[np.ndarray]
+    starts: list[tuple[np.ndarray, np.ndarray]]
 
 
 def row_hash(rows: np.ndarray) -> np.ndarray:
@@ -157,33 +175,71 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return mixed((mixed(words ^ factor) * (factor | np.uint64(1))).sum(axis=1, dtype=np.uint64))
 
 
-def suffixes(group: pa.Table, splitters: np.ndarray, shared: dict[int, np.ndarray]) -> Suffixes:
-    """shared: for each bucket, which of the group's keys there stand in several documents."""
-    bucket, h, _ = keys(group, splitters)
-    kept = [h[s][shared[b][: s.stop - s.start]] for b, s in _blobs(bucket) if b in shared]
+def distinct(rows: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct row, by bucket, with its smallest document first; and which of them each row is."""
+    order = np.lexsort((doc, row_hash(rows), bucket))
+    rows = rows[order]
+    # equal hashes with other bytes stay apart; then a row may stand twice, which its bucket sorts out
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[np.flatnonzero(new)], which
+
+
+def _chosen(h: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
     wanted = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
-    places, rows, docs, leads = [], [], [], []
+    if not len(wanted):
+        return np.zeros(len(h), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+
+
+def windows(found: list[tuple[Part, np.ndarray, np.ndarray]], groups: int) -> Windows:
+    """All strings of LEAST bytes that hold the anchors found, none beyond its row."""
+    starts, texts, docs = [], [], []
+    for p, at, row in found:
+        first = np.maximum(at - SIDE, p.offsets[row])
+        count = np.maximum(np.minimum(at, p.offsets[row + 1] - LEAST) - first + 1, 0)
+        s = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        s, keep = np.unique(s, return_index=True)
+        r = np.repeat(row, count)[keep]
+        starts.append((s, r))
+        text = np.zeros((len(s), 56), np.uint8)
+        if len(s):
+            text[:, :LEAST] = np.lib.stride_tricks.sliding_window_view(p.data, LEAST)[s]
+        texts.append(text)
+        docs.append(p.docs[r])
+    empty = np.empty(0, np.int64)
+    if not sum(map(len, texts)):
+        return Windows(empty, np.empty((0, 56), np.uint8), empty, [empty for _ in found], starts)
+    text, doc = np.concatenate(texts), np.concatenate(docs)
+    bucket = groups + (row_hash(text) % np.uint64(groups)).astype(np.int64)
+    head, which = distinct(text, doc, bucket)
+    return Windows(bucket[head], text[head], doc[head], np.split(which, np.cumsum([len(x) for x in texts])[:-1]), starts)
+
+
+def suffixes(group: pa.Table, splitters: np.ndarray, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray], groups: int) -> Suffixes:
+    """shared and hot: for each bucket, which of the group's keys there stand in several documents, and in very many groups."""
+    bucket, h, _ = keys(group, splitters)
+    one_by_one = [h[s][hot[b][: s.stop - s.start]] for b, s in _blobs(bucket) if b in hot]
+    together = [h[s][(shared[b] & ~hot.get(b, np.zeros_like(shared[b])))[: s.stop - s.start]] for b, s in _blobs(bucket) if b in shared]
+    places, rows, docs, leads, everywhere = [], [], [], [], []
     for p in parts(group):
-        k = np.searchsorted(wanted, p.found.hash)
-        hit = wanted[np.minimum(k, len(wanted) - 1)] == p.found.hash if len(wanted) else np.zeros(len(k), bool)
+        hit = _chosen(p.found.hash, together)
         at, row = p.found.at[hit], p.found.row[hit]
         places.append((p, at, row))
         rows.append(contexts(p, at, row))
         docs.append(p.docs[row])
         leads.append(p.found.lead[hit])
-    if not rows or not sum(map(len, rows)):
+        hit = _chosen(p.found.hash, one_by_one)
+        everywhere.append((p, p.found.at[hit], p.found.row[hit]))
+    single = windows(everywhere, groups)
+    if not sum(map(len, rows)):
         empty = np.empty(0, np.int64)
-        return Suffixes(empty, np.empty((0, -(-(WIDTH + 2) // 8) * 8), np.uint8), empty, [empty for _ in places], places)
-    context, doc, lead = np.concatenate(rows), np.concatenate(docs), np.concatenate(leads)
-    at_bucket, hashed = np.searchsorted(splitters, lead, "right"), row_hash(context)
-    order = np.lexsort((doc, hashed, at_bucket))
-    context, doc, at_bucket, hashed = context[order], doc[order], at_bucket[order], hashed[order]
-    # equal hashes with other bytes stay apart; then a context may stand twice, which the bucket sorts out
-    new = np.concatenate([[True], (context[1:] != context[:-1]).any(axis=1)])
-    head = np.flatnonzero(new)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return Suffixes(at_bucket[head], context[head], np.minimum.reduceat(doc, head), np.split(which, np.cumsum([len(x) for x in rows])[:-1]), places)
+        return Suffixes(empty, np.empty((0, -(-(WIDTH + 2) // 8) * 8), np.uint8), empty, [empty for _ in places], places, single)
+    context, doc = np.concatenate(rows), np.concatenate(docs)
+    at_bucket = np.searchsorted(splitters, np.concatenate(leads), "right")
+    head, which = distinct(context, doc, at_bucket)
+    return Suffixes(at_bucket[head], context[head], doc[head], np.split(which, np.cumsum([len(x) for x in rows])[:-1]), places, single)
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +310,16 @@ def repeated(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def beaten(text: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """1 for each string that a smaller document has too, else 0."""
+    by, differs = multikey_order(text.view(">u8").astype(np.uint64))
+    head = np.flatnonzero(differs < text.shape[1] // 8)
+    least = np.repeat(np.minimum.reduceat(doc[by], head), np.diff(np.append(head, len(by))))
+    out = np.empty(len(doc), np.uint64)
+    out[by] = least < doc[by]
+    return out
+
+
 def _clean(h: np.ndarray, rows: np.ndarray) -> bool:
     return not ((h[1:] == h[:-1]) & (rows[1:] != rows[:-1]).any(axis=1)).any()
 
@@ -309,8 +375,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shared[order[1:]] |= same
         shared[order[:-1]] |= same
         shared |= many
+        # a group has a key once, so a run of equal hashes is as long as the groups that have it
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        times = np.diff(np.append(head, len(h)))
+        hot = np.empty(len(h), bool)
+        hot[order] = np.repeat(times > HOT_GROUPS, times)
         cut = np.cumsum([0, *map(len, lists)])
-        return pa.table({"g": group.column("g"), "bucket": group.column("bucket"), "kind": pa.array([0] * len(lists), pa.int32()), "data": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        out = []
+        for g, b, i, j in zip(group.column("g").to_pylist(), group.column("bucket").to_pylist(), cut[:-1], cut[1:], strict=True):
+            out.append((g, b, 0, np.packbits(shared[i:j]).tobytes()))
+            if hot[i:j].any():
+                out.append((g, b, 2, np.packbits(hot[i:j]).tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["g", "bucket", "kind", "data"])
 
     def taken(answers: pa.Table, kind: int) -> dict[int, bytes]:
         chosen = answers.filter(pc.equal(answers.column("kind"), kind))
@@ -319,28 +395,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def as_bits(x: bytes) -> np.ndarray:
         return np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
 
+    def found(answers: pa.Table) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        return tuple({b: as_bits(x) for b, x in taken(answers, kind).items()} for kind in (0, 2))
+
     def send_suffixes(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        s = suffixes(ordered(group), splitters, {b: as_bits(x) for b, x in taken(answers, 0).items()})
+        s = suffixes(ordered(group), splitters, *found(answers), groups)
         blobs = [(b, _pack(s.context[x]), _pack(s.doc[x])) for b, x in _blobs(s.bucket)]
+        blobs += [(b, _pack(s.windows.text[x]), _pack(s.windows.doc[x])) for b, x in _blobs(s.windows.bucket)]
         g = key[0].as_py()
         return pa.table({"bucket": pa.array([x[0] for x in blobs], pa.int64()), "g": pa.array([g] * len(blobs), pa.int64()), "contexts": pa.array([x[1] for x in blobs], pa.binary()), "docs": pa.array([x[2] for x in blobs], pa.binary())})
 
     def answer_suffixes(key: tuple, group: pa.Table) -> pa.Table:
         doc = [_unpack(x.as_py(), np.int64) for x in group.column("docs")]
         context = np.concatenate([_unpack(x.as_py(), np.uint8) for x in group.column("contexts")]).reshape(sum(map(len, doc)), -1)
-        mask = repeated(context, np.concatenate(doc))
+        mask = (repeated if key[0].as_py() < groups else beaten)(context, np.concatenate(doc))
         cut = np.cumsum([0, *map(len, doc)])
         return pa.table({"g": group.column("g"), "bucket": group.column("bucket"), "kind": pa.array([1] * len(doc), pa.int32()), "data": pa.array([_pack(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     def cut(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         group = ordered(group)
-        s = suffixes(group, splitters, {b: as_bits(x) for b, x in taken(answers, 0).items()})
+        s = suffixes(group, splitters, *found(answers), groups)
         masks = taken(answers, 1)
+        lost = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.windows.bucket)]) > 0 if len(s.windows.bucket) else np.empty(0, bool)
         mask = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.bucket)]) if len(s.bucket) else np.empty(0, np.uint64)
         left, right = s.context[:, WIDTH].astype(np.int64), s.context[:, WIDTH + 1].astype(np.int64)
         offset = np.arange(SIDE + 1)
         n_removed, n_spans, sha, kept = [], [], [], []
-        for (p, at, row), which in zip(s.places, s.which, strict=True):
+        for (p, at, row), which, (single, own), string in zip(s.places, s.which, s.windows.starts, s.windows.which, strict=True):
             bits = mask[which]
             # a document above the smallest of its context's in this group loses all strings there
             later = p.docs[row] > s.doc[which]
@@ -354,6 +435,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = np.bincount(at[some][r] - o, minlength=len(p.data))
                 step[: len(starts)] += starts
                 step[LEAST : LEAST + len(starts)] -= starts
+            single = single[lost[string] | (p.docs[own] > s.windows.doc[string])]
+            step[single] += 1  # no start stands twice
+            step[single + LEAST] -= 1
             gone = np.cumsum(step[: len(p.data)]) > 0
             _, _, first = spans(gone, p.offsets)
             n_spans += np.diff(first).tolist()

@@ -114,8 +114,9 @@ def test_suffixes(spark, monkeypatch):
     data = [(k, (t or "").encode()) for k, t in odd.rows() if len(t or "") < 50_000]
     df = odd.documents(spark, [(k, t) for k, t in odd.rows() if len(t or "") < 50_000])
     want = removed(data)
-    for size in (8 << 20, 3000):
+    for size, hot in ((8 << 20, 512), (3000, 512), (3000, 2), (3000, 0)):
         monkeypatch.setattr(suffixes, "GROUP_BYTES", size)
+        monkeypatch.setattr(suffixes, "HOT_GROUPS", hot)
         got = suffixes.remove_repeats(df, with_text=True, carry=("source",))
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
     assert suffixes.remove_repeats(odd.empty(spark)).count() == 0
@@ -128,6 +129,7 @@ def test_suffixes_of_few_letters(spark, monkeypatch, seed):
     pieces = ["".join(rng.choice("ab" if seed % 2 else "abcdefgh é") for _ in range(rng.randint(20, 160))) for _ in range(12)]
     data = [(k, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))) for k in range(50)] + [(50, "a" * 300), (51, "a" * 70), (52, "ba" * 90)]
     monkeypatch.setattr(suffixes, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "HOT_GROUPS", (512, 1)[seed // 2])
     got = suffixes.remove_repeats(odd.documents(spark, data))
     assert Counter(tuple(r) for r in got.collect()) == removed([(k, t.encode()) for k, t in data])
 
