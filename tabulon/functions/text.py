@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 #: One mark for each kind of tag; texts with these control characters lose them.
 _OPEN_REASON, _CLOSE_REASON, _OPEN_FINAL, _CLOSE_FINAL = "\x01", "\x02", "\x03", "\x04"
+#: What counts as a tag, however it is spelt (fixed values).
 _TAG = r"(?iU)<\s*{slash}\s*{name}\w*[^\s<>]*\s*>?"
 
 
