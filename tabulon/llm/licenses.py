@@ -43,11 +43,11 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    ("proprietary", "all rights reserved"),
 )
 
 #: A match of fewer words isn't chained; matches at most GAP words apart are; a span covers this share of its template.
-LEAST, GAP, COVER = 4, 6, 0.6
+LEAST, GAP, COVER = 3, 6, 0.75
 
 
 @dataclass
