@@ -32,7 +32,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 15.0),
     Rule("symbols_to_words", "n_symbols / n_words", None, 0.25),
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
-    Rule("stop_words", "n_stop / n_words", 0.01, None),
+    Rule("stop_words", "(n_stop + 1) / n_words", 0.03, None),  # one is granted, as short texts may have none
     Rule("bullet_lines", "n_bullet / n_lines", None, 0.9),
 )
 
