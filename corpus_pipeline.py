@@ -25,7 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, the one with the smallest doc_id. Documents without a doc_id stay."""
     found = near_duplicates(docs)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # a table of its own, so that its size is known before texts are joined: they needn't be shuffled for few ids
+    others = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -40,7 +41,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import carried, table
 
+#: Entries that a worker's caches of words and of token pairs hold at most.
+CACHED = 150_000
+
 
 @functools.cache
 def byte_letters() -> dict[str, int]:
@@ -100,6 +103,8 @@ class Codec:
                 limit, x = self.rank[x], self.halves[x][1]
             else:
                 limit, y = self.rank[y] + 1, self.halves[y][0]
+        if len(self.pairs) >= CACHED:
+            self.pairs.clear()
         self.pairs[a, b] = out
         return out
 
@@ -145,12 +150,12 @@ class Codec:
             try:
                 out += [known[w] for w in words]
             except KeyError:
-                if len(known) > 400_000:
-                    known.clear()
                 for w in words:
                     if (ids := known.get(w)) is None:
                         ids = np.array(self.encode_word(w.encode()), "<u4").tobytes()
                         if len(w) <= 64:
+                            if len(known) >= CACHED:
+                                known.clear()
                             known[w] = ids
                     out.append(ids)
         return np.frombuffer(b"".join(out), "<u4")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a vectorised operator holds at once. A longer
 #: document is a step of its own.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 

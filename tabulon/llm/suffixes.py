@@ -104,15 +104,14 @@ class Part:
     docs: np.ndarray
 
 
-def parts(group: pa.Table) -> Iterator[Part]:
+def parts(group: pa.Table) -> list[Part]:
     docs = group.column("doc_id").to_numpy()
-    for i, j, offsets, data in byte_parts(group.column("text")):
-        yield Part(i, offsets, data, anchors(data, offsets), docs[i:j])
+    return [Part(i, offsets, data, anchors(data, offsets), docs[i:j]) for i, j, offsets, data in byte_parts(group.column("text"))]
 
 
-def keys(group: pa.Table, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys(group: list[Part], splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (bucket, k-mer hash) of a group, in order, and if they stand in several of its documents."""
-    pieces = [(np.searchsorted(splitters, p.found.lead, "right"), p.found.hash, p.docs[p.found.row]) for p in parts(group)]
+    pieces = [(np.searchsorted(splitters, p.found.lead, "right"), p.found.hash, p.docs[p.found.row]) for p in group]
     if not pieces:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     bucket, h, doc = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -217,13 +216,13 @@ def windows(found: list[tuple[Part, np.ndarray, np.ndarray]], groups: int) -> Wi
     return Windows(bucket[head], text[head], doc[head], np.split(which, np.cumsum([len(x) for x in texts])[:-1]), starts)
 
 
-def suffixes(group: pa.Table, splitters: np.ndarray, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray], groups: int) -> Suffixes:
+def suffixes(group: list[Part], splitters: np.ndarray, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray], groups: int) -> Suffixes:
     """shared and hot: for each bucket, which of the group's keys there stand in several documents, and in very many groups."""
     bucket, h, _ = keys(group, splitters)
     one_by_one = [h[s][hot[b][: s.stop - s.start]] for b, s in _blobs(bucket) if b in hot]
     together = [h[s][(shared[b] & ~hot.get(b, np.zeros_like(shared[b])))[: s.stop - s.start]] for b, s in _blobs(bucket) if b in shared]
     places, rows, docs, leads, everywhere = [], [], [], [], []
-    for p in parts(group):
+    for p in group:
         hit = _chosen(p.found.hash, together)
         at, row = p.found.at[hit], p.found.row[hit]
         places.append((p, at, row))
@@ -280,31 +279,27 @@ def repeated(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     cls = np.cumsum(new) - 1  # classes of equal contexts
     least = np.minimum.reduceat(doc, head)
     left, right = context[head, WIDTH].astype(np.int64), context[head, WIDTH + 1].astype(np.int64)
-    places = np.arange(SIDE + 1)
-    valid = (places <= left[:, None]) & (SIDE - places <= right[:, None])
-    best = np.repeat(least[:, None], SIDE + 1, axis=1)
     kmer = np.cumsum(differs[head] < KMER // 8) - 1
-    alone = np.bincount(kmer)[kmer] == 1
-    some = np.flatnonzero(~alone)
-    if len(some):
-        text = np.concatenate([context[head[some], KMER + SIDE : WIDTH], context[head[some], : KMER + SIDE]], axis=1)
-        for o in range(SIDE + 1):
-            here = np.flatnonzero(valid[some, o])
-            if len(here) < 2:
-                continue
+    some = np.flatnonzero(np.bincount(kmer)[kmer] > 1)  # the others have the strings of one context only
+    text = np.concatenate([context[head[some], KMER + SIDE : WIDTH], context[head[some], : KMER + SIDE]], axis=1)
+    for o in range(SIDE + 1):
+        valid = (o <= left) & (SIDE - o <= right)
+        best = least
+        here = np.flatnonzero(valid[some])
+        if len(here) > 1:
             window = np.zeros((len(here), 56), np.uint8)
             window[:, :LEAST] = text[here, SIDE - o : SIDE - o + LEAST]
-            by = np.argsort(row_hash(window), kind="stable")
+            hashed = row_hash(window)
+            by = np.argsort(hashed, kind="stable")
             sorted_ = window[by]
-            if not _clean(row_hash(sorted_), sorted_):  # two strings with one hash: sort by the bytes
+            if not _clean(hashed[by], sorted_):  # two strings with one hash: sort by the bytes
                 by, _ = multikey_order(window.view(">u8").astype(np.uint64))
                 sorted_ = window[by]
             first = np.flatnonzero(np.concatenate([[True], (sorted_[1:] != sorted_[:-1]).any(axis=1)]))
             low = np.minimum.reduceat(least[some[here[by]]], first)
-            best[some[here[by]], o] = np.repeat(low, np.diff(np.append(first, len(by))))
-    bits = np.uint64(1) << places.astype(np.uint64)
-    for o in range(SIDE + 1):
-        mask |= np.where(valid[cls, o] & (best[cls, o] < doc), bits[o], np.uint64(0))
+            best = least.copy()
+            best[some[here[by]]] = np.repeat(low, np.diff(np.append(first, len(by))))
+        mask |= np.where(valid[cls] & (best[cls] < doc), np.uint64(1 << o), np.uint64(0))
     out = np.empty(n, np.uint64)
     out[order] = mask
     return out
@@ -361,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = clean.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "*").repartition(groups, "g")
 
     def send_keys(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, h, many = keys(ordered(group), splitters)
+        bucket, h, many = keys(parts(ordered(group)), splitters)
         blobs = [(b, h[s].tobytes(), np.packbits(many[s]).tobytes()) for b, s in _blobs(bucket)]
         return pa.table({"bucket": pa.array([x[0] for x in blobs], pa.int64()), "g": pa.array([key[0].as_py()] * len(blobs), pa.int64()), "hashes": pa.array([x[1] for x in blobs], pa.binary()), "many": pa.array([x[2] for x in blobs], pa.binary())})
 
@@ -399,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return tuple({b: as_bits(x) for b, x in taken(answers, kind).items()} for kind in (0, 2))
 
     def send_suffixes(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        s = suffixes(ordered(group), splitters, *found(answers), groups)
+        s = suffixes(parts(ordered(group)), splitters, *found(answers), groups)
         blobs = [(b, _pack(s.context[x]), _pack(s.doc[x])) for b, x in _blobs(s.bucket)]
         blobs += [(b, _pack(s.windows.text[x]), _pack(s.windows.doc[x])) for b, x in _blobs(s.windows.bucket)]
         g = key[0].as_py()
@@ -414,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         group = ordered(group)
-        s = suffixes(group, splitters, *found(answers), groups)
+        s = suffixes(parts(group), splitters, *found(answers), groups)
         masks = taken(answers, 1)
         lost = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.windows.bucket)]) > 0 if len(s.windows.bucket) else np.empty(0, bool)
         mask = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.bucket)]) if len(s.bucket) else np.empty(0, np.uint64)
@@ -427,8 +422,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             later = p.docs[row] > s.doc[which]
             step = np.zeros(len(p.data) + LEAST + 1, np.int64)
             odd = np.flatnonzero(later | (bits > 0))
-            for k in range(0, len(odd), 50_000):
-                some = odd[k : k + 50_000]
+            for k in range(0, len(odd), 20_000):
+                some = odd[k : k + 20_000]
                 valid = (offset <= left[which[some]][:, None]) & (SIDE - offset <= right[which[some]][:, None])
                 chosen = valid & (later[some][:, None] | ((bits[some][:, None] >> offset.astype(np.uint64)) & np.uint64(1)).astype(bool))
                 r, o = np.nonzero(chosen)
