@@ -46,8 +46,13 @@ class Block:
     at: int = 0  # tokens of the page before it
 
 
+def text_token(block: Block) -> str:
+    """A block as one token: words that stand elsewhere too don't hide that it repeats."""
+    return f"{block.path} \0{block.text}"
+
+
 def read(page: str) -> tuple[list[str], list[Block]]:
-    """The page's tokens (tags with the holders around them, and words), and its text blocks; blocks know how many tokens are before them."""
+    """The page's tokens (tags with the holders around them, blocks, and their words), and its text blocks; blocks know how many tokens are before them."""
     tokens: list[str] = []
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, apart, inside
@@ -62,7 +67,8 @@ def read(page: str) -> tuple[list[str], list[Block]]:
             holder = stack[-1] if stack else top
             joined = " ".join(words)
             blocks.append(Block(holder[1], holder[2], holder[3], min(1.0, link / max(1, len(joined))), joined, len(tokens)))
-            tokens.extend(f"{holder[1]} {w}" for w in words[:40])
+            tokens.append(text_token(blocks[-1]))
+            tokens.extend(f"{holder[1]} {w}" for w in words)
         text, link = [], 0
 
     at = 0
@@ -112,9 +118,14 @@ def read(page: str) -> tuple[list[str], list[Block]]:
 
 @dataclass
 class Template:
-    root: tuple[str, ...]  # tokens that stand once in every page, in order
+    root: dict[str, int]  # tokens that stand once in nearly all pages, by their place in order
     slots: dict[tuple[int, str], bool]  # (slot, path): if its text is content
     nested: dict[tuple[str, ...], int]  # classes that repeat, and the slot of root that holds them
+    texts: frozenset[str]  # blocks of articles that are the template's
+
+
+def nearly_all(k: int, n: int) -> bool:
+    return 10 * k >= 9 * n
 
 
 def classes(pages: list[list[str]]) -> dict[tuple, list[str]]:
@@ -131,70 +142,104 @@ def classes(pages: list[list[str]]) -> dict[tuple, list[str]]:
 
 
 def in_order(tokens: list[str], pages: list[list[str]]) -> list[str]:
-    """Those of a class's tokens that keep their order in every page."""
-    places = [{t: i for i, t in enumerate(p)} for p in pages]
-    tokens = sorted(tokens, key=places[0].__getitem__)
+    """Those of the tokens that keep their order in nearly all of the pages that have them, by their mean rank."""
+    wanted, ranks, places = set(tokens), defaultdict(list), []
+    for p in pages:
+        at: dict[str, int] = {}
+        for i, t in enumerate(p):
+            if t in wanted and t not in at:
+                at[t] = i
+        for r, t in enumerate(at):
+            ranks[t].append(r)
+        places.append(at)
     kept: list[str] = []
-    for t in tokens:
-        if all(not kept or at[kept[-1]] < at[t] for at in places):
+    for t in sorted(tokens, key=lambda t: (sum(ranks[t]) / len(ranks[t]), t)):
+        both = [at[kept[-1]] < at[t] for at in places if kept[-1] in at and t in at] if kept else []
+        if nearly_all(sum(both), len(both)):
             kept.append(t)
     return kept
 
 
-def gaps(root: tuple[str, ...], tokens: list[str]) -> list[int]:
-    """For each place of tokens, how many root tokens stand before it."""
-    known, out, n = set(root), [], 0
+def gaps(root: dict[str, int], tokens: list[str]) -> list[int]:
+    """For each place of tokens, the slot it is in: one more than the last root token before it. A page that lacks a root token keeps the numbers of the others."""
+    out, n = [], 0
     for t in tokens:
         out.append(n)
-        n += t in known
+        n = max(n, root.get(t, -1) + 1)
     out.append(n)
     return out
 
 
+def independent(pages: list[list[Block]]) -> list[int]:
+    """Pages with an article that don't share half of its characters with one before them: near copies say no more about a template than copies."""
+    out: list[int] = []
+    holders: dict[str, list[int]] = defaultdict(list)
+    for k, blocks in enumerate(pages):
+        own = {text_token(b): len(b.text) for b in blocks if b.inside and not b.apart}
+        shared: Counter[int] = Counter()
+        for t, n in own.items():
+            for j in holders.get(t, ()):
+                shared[j] += n
+        if own and 2 * max(shared.values(), default=0) < sum(own.values()):
+            out.append(k)
+            for t in own:
+                holders[t].append(k)
+    return out
+
+
 def deduce(pages: list[tuple[list[str], list[Block]]]) -> Template:
-    """The template of one host's pages. Equal pages count once: what they share says nothing about a template."""
-    distinct = list({tuple(t): (t, b) for t, b in pages}.values())
+    """The template of one host's pages. Equal pages count once, and pages without tokens not at all: they say nothing about a template."""
+    distinct = list({tuple(t): (t, b) for t, b in pages if t}.values())
     tokens = [t for t, _ in distinct]
     n = len(tokens)
     found = classes(tokens)
-    once = found.get(tuple((k, 1) for k in range(n)), []) if n > 1 else []
-    root = tuple(in_order(once, tokens)) if once else ()
+    once = [t for vector, members in found.items() if nearly_all(sum(c == 1 for _, c in vector), n) for t in members] if n > 1 else []
+    root = {t: i for i, t in enumerate(in_order(once, tokens))}
     places = [gaps(root, t) for t in tokens]
     # a class that repeats is valid if all its occurrences lie in one slot of the root, its tokens in turn
+    repeating = [(vector, members) for vector, members in found.items() if len(members) > 1 and any(c > 1 for _, c in vector)]
+    owner = {t: i for i, (_, members) in enumerate(repeating) for t in members}
+    seen: list[dict[int, list[str]]] = [defaultdict(list) for _ in repeating]
+    held: list[set[int]] = [set() for _ in repeating]
+    for k, page in enumerate(tokens):
+        for t, place in zip(page, places[k]):
+            if (i := owner.get(t)) is not None:
+                seen[i][k].append(t)
+                held[i].add(place)
     nested: dict[tuple[str, ...], int] = {}
-    for vector, members in found.items():
-        if all(c == 1 for _, c in vector) or len(members) < 2:
-            continue
-        chosen, held, fits = set(members), set(), True
-        for k, c in vector:
-            seen = [(t, places[k][i]) for i, t in enumerate(tokens[k]) if t in chosen]
-            held |= {g for _, g in seen}
-            fits = fits and len(held) == 1 and [t for t, _ in seen] == [t for t, _ in seen[: len(chosen)]] * c
-            if not fits:
-                break
-        if fits:
-            nested[tuple(t for t, _ in seen[: len(chosen)])] = held.pop()
-    texts: dict[tuple[int, str], list[list[Block]]] = defaultdict(list)
-    for (_, blocks), place in zip(distinct, places, strict=True):
-        own: dict[tuple[int, str], list[Block]] = defaultdict(list)
+    for i, (vector, members) in enumerate(repeating):
+        turn = seen[i][vector[0][0]][: len(members)]
+        if len(held[i]) == 1 and all(seen[i][k] == turn * c for k, c in vector):
+            nested[tuple(turn)] = next(iter(held[i]))
+    alone = independent([b for _, b in distinct])
+    # an article's block is the template's if it stands in nearly all articles, or in half of them as part of a class that repeats
+    common = Counter(t for k in alone for t in {text_token(b) for b in distinct[k][1] if b.inside})
+    repeats = {t for turn in nested for t in turn}
+    texts = frozenset(t for t, k in common.items() if k >= 3 and (nearly_all(k, len(alone)) or (t in repeats and 2 * k >= len(alone))))
+    by_slot: dict[tuple[int, str], dict[int, list[Block]]] = defaultdict(dict)
+    for k, (_, blocks) in enumerate(distinct):
         for b in blocks:
-            own[place[b.at], b.path].append(b)
-        for key, bs in own.items():
-            texts[key].append(bs)
+            by_slot[places[k][b.at], b.path].setdefault(k, []).append(b)
     slots = {}
-    for key, by_page in texts.items():
-        some = by_page[0][0]
-        constant = n >= 3 and 2 * len(by_page) >= n and len({tuple(b.text for b in bs) for bs in by_page}) == 1
-        chars = sum(len(b.text) for bs in by_page for b in bs)
-        links = sum(len(b.text) * b.linked for bs in by_page for b in bs) / max(1, chars)
-        slots[key] = not some.apart and (some.inside or (not constant and links < 0.6))
-    return Template(root, slots, nested)
+    for key, by_page in by_slot.items():
+        some = next(iter(by_page.values()))[0]
+        if some.inside:
+            counted = [by_page[k] for k in alone if k in by_page]
+            constant = len(counted) >= 3 and 2 * len(counted) >= len(alone)
+        else:
+            counted = list(by_page.values())
+            constant = n >= 3 and 2 * len(counted) >= n
+        constant = constant and len({tuple(b.text for b in bs) for bs in counted}) == 1
+        chars = sum(len(b.text) for bs in by_page.values() for b in bs)
+        links = sum(len(b.text) * b.linked for bs in by_page.values() for b in bs) / max(1, chars)
+        slots[key] = not some.apart and not constant and (some.inside or links < 0.6)
+    return Template(root, slots, nested, texts)
 
 
 def main_text(template: Template, tokens: list[str], blocks: list[Block]) -> str:
     """Blocks of the page's content slots, in order; where the page has an article, of those inside it."""
     place = gaps(template.root, tokens)
-    kept = [b for b in blocks if template.slots.get((place[b.at], b.path), not b.apart)]
+    kept = [b for b in blocks if template.slots.get((place[b.at], b.path), not b.apart) and not (b.inside and text_token(b) in template.texts)]
     if any(b.inside for b in kept):
         kept = [b for b in kept if b.inside]
     return " ".join(b.text for b in kept)

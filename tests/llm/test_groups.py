@@ -262,6 +262,34 @@ def test_template_classes():
     assert any(v for v in t.slots.values()) and not all(t.slots.values())
 
 
+def test_html_template_inside_articles(spark):
+    """Boxes of no telling name that a host's articles share are cut, also between paragraphs; near copies aren't taken for a template."""
+    rng = random.Random(13)
+    rows, want = [], {}
+    for k in range(12):
+        body = [odd.prose(rng, 30) for _ in range(3)]
+        box = "<div class=x1>Read this and that in our app</div>" if k != 5 else ""
+        rows.append((k, f"http://a/{k}", f"<body><article><h1>t{k}</h1>{box}" + "".join(f"<p>{b}</p><p>Tap to see the picture</p>" for b in body) + "<p>Sent to you by the house</p></article></body>"))
+        want[k] = " ".join([f"t{k}", *body])
+    same = [odd.prose(rng, 30) for _ in range(5)]
+    for k in range(20, 24):
+        rows.append((k, f"http://b/{k}", "<body><article>" + "".join(f"<p>{b}</p>" for b in [*same, f"ends {k}"]) + "</article></body>"))
+        want[k] = " ".join([*same, f"ends {k}"])
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_root_survives_odd_pages():
+    """Null, empty and differently laid out pages don't empty the template."""
+    rng = random.Random(14)
+    pages = [f"<body><div><p>Top of all pages</p></div><ul><li>{odd.prose(rng, 12)}</li></ul></body>" for _ in range(30)]
+    plain = html_text.deduce([html_text.read(p) for p in pages])
+    mixed = html_text.deduce([html_text.read(p) for p in [*pages, "", "", "<table><tr><td>other</td></tr></table>"]])
+    assert plain.root and list(mixed.root) == list(plain.root)
+    t, b = html_text.read("<body><div><p>" + "word " * 100 + "</p></div></body>")
+    assert sum(x.endswith(" word") for x in t) >= 100
+
+
 def test_html_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     import html as refs
