@@ -782,10 +782,11 @@ def page_basenames(spark, sf_dir):
 _PROMPT_SQL = """p AS (SELECT doc_id, arm, 'Question: ' || substring(coalesce(text, ''), 1, 80) || chr(10) || 'Choices: A) yes B) no' || CASE WHEN arm LIKE '%_desc' THEN chr(10) || 'Description: ' || coalesce(lang, '') ELSE '' END AS prompt FROM documents, (VALUES ('plain'), ('plain_desc')) a(arm))"""
 
 
-def _prompts(spark, sf_dir) -> DataFrame:
-    """A prompt for each document and arm; arms with descriptions have one line more."""
+def _prompts(spark, sf_dir, chars: int | None = 80) -> DataFrame:
+    """A prompt for each document and arm, of the text's first chars or all of it; arms with descriptions have one line more."""
+    own = F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").withColumn("arm", F.explode(F.array(F.lit("plain"), F.lit("plain_desc"))))
-    base = F.concat(F.lit("Question: "), F.substring(F.coalesce("text", F.lit("")), 1, 80), F.lit("\nChoices: A) yes B) no"))
+    base = F.concat(F.lit("Question: "), own if chars is None else F.substring(own, 1, chars), F.lit("\nChoices: A) yes B) no"))
     extra = F.when(F.col("arm").endswith("_desc"), F.concat(F.lit("\nDescription: "), F.coalesce("lang", F.lit("")))).otherwise("")
     return d.select("doc_id", "arm", F.concat(base, extra).alias("prompt"))
 
@@ -813,6 +814,34 @@ def prompt_task_dedup(spark, sf_dir):
     return h.agg(F.count("*").alias("tasks"), F.sum("n").alias("prompts"), (F.sum("n") - F.count("*")).alias("saved"))
 
 
+#: The same three over whole texts.
+_WHOLE_PROMPT_SQL = """p AS (SELECT doc_id, arm, 'Question: ' || coalesce(text, '') || chr(10) || 'Choices: A) yes B) no' || CASE WHEN arm LIKE '%_desc' THEN chr(10) || 'Description: ' || coalesce(lang, '') ELSE '' END AS prompt FROM documents, (VALUES ('plain'), ('plain_desc')) a(arm))"""
+
+
+@query(f"""WITH {_WHOLE_PROMPT_SQL}, m AS (SELECT doc_id, arm, sha256(prompt || CASE WHEN doc_id % 50 = 7 THEN '!' ELSE '' END) AS h FROM p)
+SELECT p.arm, count(*) AS n, count(*) FILTER (sha256(p.prompt) = m.h) AS equal FROM p JOIN m ON m.doc_id = p.doc_id AND m.arm = p.arm GROUP BY p.arm""")
+def whole_prompt_reconstruction_audit(spark, sf_dir):
+    """Every whole prompt rebuilt and compared by hash with a manifest, some of whose rows were altered: hashes meet, not prompts."""
+    p = _prompts(spark, sf_dir, None)
+    altered = F.when(F.col("doc_id") % 50 == 7, "!").otherwise("")
+    m = p.select("doc_id", "arm", F.sha2(F.concat("prompt", altered), 256).alias("h"))
+    own = p.select("doc_id", "arm", F.sha2("prompt", 256).alias("rebuilt"))
+    return own.join(m, ["doc_id", "arm"]).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("rebuilt") == F.col("h")).alias("equal"))
+
+
+@query(f"WITH {_WHOLE_PROMPT_SQL} SELECT arm, count(*) AS n, count(*) FILTER (regexp_matches(prompt, '(?i)answer:|gold|label')) AS leaks FROM p GROUP BY arm")
+def whole_prompt_sentinel(spark, sf_dir):
+    """Whole prompts that hold a marker which would give the answer away."""
+    return _prompts(spark, sf_dir, None).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("prompt").rlike("(?i)answer:|gold|label")).alias("leaks"))
+
+
+@query(f"WITH {_WHOLE_PROMPT_SQL}, h AS (SELECT sha256(prompt) AS h, count(*) AS n FROM p GROUP BY 1) SELECT count(*) AS tasks, cast(sum(n) AS BIGINT) AS prompts, cast(sum(n) - count(*) AS BIGINT) AS saved FROM h")
+def whole_prompt_task_dedup(spark, sf_dir):
+    """Distinct whole prompts by hash."""
+    h = _prompts(spark, sf_dir, None).groupBy(F.sha2("prompt", 256).alias("h")).agg(F.count("*").alias("n"))
+    return h.agg(F.count("*").alias("tasks"), F.sum("n").alias("prompts"), (F.sum("n") - F.count("*")).alias("saved"))
+
+
 @query("""SELECT doc_id, sha256('{"custom_id":"doc-' || doc_id || '","body":{"model":"m","content":"' || to_base64(encode(coalesce(text, ''))) || '"}}') AS request_sha FROM documents""")
 def request_payloads(spark, sf_dir):
     """A batch request a document as JSON, its content in base64."""
