@@ -46,6 +46,37 @@ def secrets(text: Column) -> Column:
     return F.concat(*[of(kind, pattern) for kind, pattern in SECRETS.items()])
 
 
+#: A credential assignment that holds one of these looks a value up or describes one.
+NO_VALUE = ("os.environ", "os.getenv", "YOUR_", "<", "${")
+
+
+def secret_findings(text: Column) -> Column:
+    """array<struct<type, line, fingerprint>>: as secrets, with lines from 1 and without assignments that look a value up. A match's line is counted in the pieces up to it and the matches before it."""
+    kinds = "array<struct<type:string,line:int,fingerprint:string>>"
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def of(kind: str, pattern: str) -> Column:
+        own = re.compile(pattern).groups
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if own else 0))
+        before, inside = F.transform(F.split(text, pattern), feeds), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), feeds)
+        each = F.filter(F.arrays_zip(values.alias("v"), before.alias("b"), inside.alias("i")), lambda x: x["v"].isNotNull())
+
+        def step(done: Column, x: Column) -> Column:
+            line = (done["line"] + x["b"]).cast("int")
+            hit = F.array(F.struct(F.lit(kind).alias("type"), line.alias("line"), F.substring(F.sha2(x["v"], 256), 1, 12).alias("fingerprint"))).cast(kinds)
+            if own:
+                known = F.lit(False)
+                for part in NO_VALUE:
+                    known = known | x["v"].contains(part)
+                hit = F.when(known, F.array().cast(kinds)).otherwise(hit)
+            return F.struct((line + x["i"]).cast("int").alias("line"), F.concat(done["out"], hit).alias("out"))
+
+        start = F.struct(F.lit(1).alias("line"), F.array().cast(kinds).alias("out"))
+        return F.when(text.rlike(pattern), F.aggregate(each, start, step, lambda done: done["out"])).otherwise(F.array().cast(kinds))
+
+    return F.concat(*[of(kind, pattern) for kind, pattern in SECRETS.items()])
+
+
 def signature(content: Column) -> Column:
     """The image kind that a file's first bytes show, else null."""
     head = F.hex(F.substring(content, 1, 12))

@@ -694,6 +694,22 @@ def secret_scan(spark, sf_dir):
     return d.select("doc_id", F.explode(hashing.secrets(F.col("t"))).alias("s")).where("s.type = 'aws_access_key'").select("doc_id", "s.fingerprint", "s.type")
 
 
+def _finding_sql(kind: str, pattern: str) -> str:
+    """The line of a match: line feeds in the pieces up to it and in the matches before it."""
+    quoted, own = pattern.replace("'", "''"), kind == "credential_assignment"
+    lines = "len(list_filter(string_split({}, ''), lambda c: c = chr(10)))"
+    known = " OR ".join(f"contains(v, '{x}')" for x in hashing.NO_VALUE)
+    return f"""SELECT doc_id, '{kind}' AS type, cast(1 + {lines.format("array_to_string(pieces[:k], '')")} + {lines.format("array_to_string(found[:k - 1], '')")} AS INT) AS line, substr(sha256(v), 1, 12) AS fingerprint
+  FROM (SELECT doc_id, string_split_regex(text, '{quoted}') AS pieces, regexp_extract_all(text, '{quoted}') AS found, unnest(regexp_extract_all(text, '{quoted}', {int(own)})) AS v, generate_subscripts(regexp_extract_all(text, '{quoted}'), 1) AS k FROM documents WHERE text IS NOT NULL)""" + (f" WHERE NOT ({known})" if own else "")
+
+
+@query(" UNION ALL ".join(_finding_sql(kind, pattern) for kind, pattern in hashing.SECRETS.items()))
+def secret_findings(spark, sf_dir):
+    """All seven kinds of secrets in the documents' own texts, with their lines."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.inline(hashing.secret_findings(F.col("text"))))
+
+
 @query("SELECT event_id, event_type, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))

@@ -1,9 +1,15 @@
 """Queries that read whole texts, beside brute force."""
 
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tabulon.plans.queries import QUERIES
+from tabulon.functions.hashing import SECRETS
+from tabulon.plans.queries import ORACLE, QUERIES
 
 
 def documents(path, texts):
@@ -19,3 +25,29 @@ def test_prompts_hold_whole_texts(spark, tmp_path):
     assert {r.arm: (r.n, r.leaks) for r in QUERIES["whole_prompt_sentinel"](spark, sf).collect()} == {"plain": (4, 1), "plain_desc": (4, 1)}
     assert tuple(QUERIES["whole_prompt_task_dedup"](spark, sf).first()) == (8, 8, 0)
     assert {r.arm: (r.n, r.equal) for r in QUERIES["whole_prompt_reconstruction_audit"](spark, sf).collect()} == {"plain": (4, 4), "plain_desc": (4, 4)}
+
+
+def found(rows):
+    """Brute force of the scanner, line by newlines before the match."""
+    out = Counter()
+    for k, t in rows:
+        for kind, pattern in SECRETS.items():
+            for m in re.finditer(pattern, t or ""):
+                v = m[1] if kind == "credential_assignment" else m[0]
+                if kind != "credential_assignment" or not any(x in v for x in ("os.environ", "os.getenv", "YOUR_", "<", "${")):
+                    out[k, kind, len(t[: m.start()].split("\n")), hashlib.sha256(v.encode()).hexdigest()[:12]] += 1
+    return out
+
+
+def test_secrets_of_all_kinds_with_lines(spark, tmp_path):
+    texts = [
+        "a\nb ghp_" + "a1" * 16 + " github_pat_" + "b_" * 22, "hf_" + "Ab1" * 11, "\n\nsk-proj-" + "x-_9" * 7, "-----BEGIN RSA PRIVATE KEY-----\n-----BEGIN PRIVATE KEY-----",
+        "AKIA" + "A1B2" * 4 + " twice\nAKIA" + "A1B2" * 4, "see https://x.example/f?a=1&sig=" + "z" * 14, "password =\n 'sixteen letters and more'\nAPI_KEY=\"YOUR_KEY_GOES_IN_HERE\"", "no secret", None,
+    ]
+    sf = documents(tmp_path, texts)
+    got = Counter((r.doc_id, r.type, r.line, r.fingerprint) for r in QUERIES["secret_findings"](spark, sf).collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert Counter((r[0], *r[1:]) for r in con.sql(f"select doc_id, type, line, fingerprint from ({ORACLE['secret_findings']})").fetchall()) == got
+    assert got == found(enumerate(texts)) and {k[1] for k in got} == set(SECRETS)
+    assert (4, "aws_access_key", 2) in {k[:3] for k in got} and not any(k[0] == 6 and k[2] > 1 for k in got)
