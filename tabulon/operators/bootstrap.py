@@ -36,12 +36,21 @@ def replicates(sums: DataFrame, cluster: str, columns: list[str], r: int, seed:
     columns share them, so any number of estimands costs one shuffle of draws."""
     indexed = sums.join(dense_index(sums, cluster), cluster)
     n = indexed.agg(F.count("*").alias("n_clusters"))
-    slots = indexed.select(F.col("ix").alias("slot")).crossJoin(F.broadcast(n))  # n is one row
+    slots = indexed.select(F.col("ix").alias("slot"), n.scalar().alias("n_clusters"))
     drawn = slots.select(F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("rep"), "slot", "n_clusters").select("rep", draw(seed, F.col("rep"), F.col("slot"), F.col("n_clusters")).alias("ix"))
     times = drawn.groupBy("rep", "ix").agg(F.count("*").alias("times"))
     return times.join(indexed.select("ix", *columns), "ix").groupBy("rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
 
 
+def replicates_by(sums: DataFrame, by: list[str], cluster: str, columns: list[str], r: int, seed: int = 42) -> DataFrame:
+    """As replicates, for each group of by on its own sorted clusters. A group's window has its cluster sums, not records."""
+    group = Window.partitionBy(*by)
+    indexed = sums.withColumn("ix", F.row_number().over(group.orderBy(cluster)) - 1).withColumn("n_clusters", F.count("*").over(group))
+    drawn = indexed.select(*by, F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("rep"), F.col("ix").alias("slot"), "n_clusters").select(*by, "rep", draw(seed, F.col("rep"), F.col("slot"), F.col("n_clusters")).alias("ix"))
+    times = drawn.groupBy(*by, "rep", "ix").agg(F.count("*").alias("times"))
+    return times.join(indexed.select(*by, "ix", *columns), [*by, "ix"]).groupBy(*by, "rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
+
+
 def interval(values: DataFrame, stats: dict[str, Column], level: float = 0.95) -> DataFrame:
     """statistic, low, high: percentile limits by linear interpolation, over replicates where the statistic is defined."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), c.cast("double").alias("v")) for k, c in stats.items()]))

@@ -318,6 +318,94 @@ def bootstrap_pvalue_bh(spark, sf_dir):
     return ranking.step_up(bootstrap.two_sided(r, stats), "p", len(stats), "statistic").withColumn("adjusted", F.round("adjusted", 9))
 
 
+#: As many replicates as the reference takes; SQL would be too slow, so these have none.
+FULL_REPS = 10_000
+
+
+def _battery_sums(spark, sf_dir) -> DataFrame:
+    """Each cluster's records, right answers of each arm and condition, and answers that grey turned wrong."""
+    is_ = lambda a, c: (F.col("arm") == a) & (F.col("condition") == c)
+    cells = [F.max(F.when(is_(a, c), F.col("correct"))).alias(f"{a}__{c}") for a in ARMS for c in C]
+    r = predictions(spark, sf_dir).groupBy("record_id", "frame_id").agg(*cells)
+    own = {f"{a}__{c}": F.col(f"{a}__{c}") for a in ARMS for c in C}
+    turned = {f"{a}__turned": F.col(f"{a}__source") * (1 - F.col(f"{a}__grey")) for a in ARMS}
+    return bootstrap.cluster_sums(r, "frame_id", {"n": F.lit(1)} | own | turned)
+
+
+def _battery_stats() -> dict[str, Column]:
+    """The 50 linear estimands and the 2 differences of ratios."""
+    k = lambda a, c: F.col(f"{a}__{c}")
+    out = {}
+    for a in ARMS:
+        out |= {f"accuracy {a} {c}": k(a, c) for c in C} | {f"gap {a} {c}": k(a, "source") - k(a, c) for c in C if c != "source"} | {f"mirror_less_mismatch {a}": k(a, "mirror") - k(a, "mismatch")}
+    out |= {f"gap_contrast {d} {b}": k(d, "source") - k(d, "grey") - k(b, "source") + k(b, "grey") for d, b in CONTRASTS}
+    ratio = lambda a: F.try_divide(k(a, "turned"), k(a, "source"))
+    return {s: F.try_divide(v, "n") for s, v in out.items()} | {f"turned_contrast {d} {b}": ratio(d) - ratio(b) for d, b in CONTRASTS}
+
+
+def _battery_replicates(spark, sf_dir) -> DataFrame:
+    sums = _battery_sums(spark, sf_dir)
+    return bootstrap.replicates(sums, "frame_id", [c for c in sums.columns if c != "frame_id"], FULL_REPS)
+
+
+@query()
+def bootstrap_battery_ci(spark, sf_dir):
+    return bootstrap.interval(_battery_replicates(spark, sf_dir), _battery_stats())
+
+
+@query()
+def bootstrap_battery_histogram(spark, sf_dir):
+    """How the replicates of every estimand spread."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), v.cast("double").alias("v")) for s, v in _battery_stats().items()]))
+    return _battery_replicates(spark, sf_dir).select(each.alias("e")).where("e.v is not null").groupBy("e.statistic", F.floor(F.col("e.v") * 200).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query()
+def drift_bootstrap_ci(spark, sf_dir):
+    """Mean drift of each arm and condition, each on its own clusters."""
+    by = ["arm", "condition"]
+    sums = _scored(spark, sf_dir).where("drift is not null").groupBy(*by, "frame_id").agg(F.count("*").alias("n"), F.sum("drift").alias("s"))
+    r = bootstrap.replicates_by(sums, by, "frame_id", ["n", "s"], FULL_REPS).withColumn("v", F.try_divide("s", "n"))
+    q = F.expr("percentile(v, array(0.025, 0.975))")
+    return r.groupBy(*by).agg(q.alias("q"), F.count("v").alias("replicates")).select(*by, F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), "replicates")
+
+
+_JUDGE_STATS = {"coverage": "en", "conditional": "ke", "pipeline": "kn", "baseline_all": "bn", "baseline_subset": "de", "delta_pipeline": "kbn", "delta_conditional": "kde"}
+
+
+def _judge_values(spark, sf_dir) -> DataFrame:
+    """Each cell's five sums (all, eligible, right, baseline right, of these eligible) and their ratios. Every cell has every cluster, so all cells share draws."""
+    p = predictions(spark, sf_dir)
+    eligible, base = F.col("h") % 10 != 9, F.col("record_id") % 4 == F.col("h") % 4
+    ok = eligible & (F.col("h") % 17 != 4) & (F.col("correct") == 1)
+    is_ = lambda a, c: (F.col("arm") == a) & (F.col("condition") == c)
+    own = {f"{a}__{c}__{k}": F.when(is_(a, c) & x, 1).otherwise(0) for a in ARMS for c in C for k, x in {"n": F.lit(True), "e": eligible, "k": ok, "b": base, "d": eligible & base}.items()}
+    r = bootstrap.replicates(bootstrap.cluster_sums(p, "frame_id", own), "frame_id", list(own), FULL_REPS)
+
+    def ratio(a: str, c: str, parts: str) -> Column:
+        first, *less, over = (F.col(f"{a}__{c}__{k}") for k in parts)
+        return F.try_divide(first - less[0] if less else first, over).cast("double")
+
+    each = [F.struct(F.lit(a).alias("arm"), F.lit(c).alias("setting"), F.lit(s).alias("statistic"), ratio(a, c, parts).alias("v")) for a in ARMS for c in C for s, parts in _JUDGE_STATS.items()]
+    return r.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("v is not null")
+
+
+@query()
+def judge_bootstrap_ci(spark, sf_dir):
+    """The seven ratios of each judge cell."""
+    q = F.expr("percentile(v, array(0.025, 0.975))")
+    out = _judge_values(spark, sf_dir).groupBy("arm", "setting", "statistic").agg(q.alias("q"), F.count("*").alias("replicates"))
+    return out.select("arm", "setting", "statistic", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), "replicates")
+
+
+@query()
+def judge_bootstrap_bh(spark, sf_dir):
+    """Each judge cell's two-sided p of the pipeline's difference from its baseline, stepped up over all cells."""
+    tail = F.least(F.count_if(F.col("v") <= 0), F.count_if(F.col("v") >= 0))
+    p = _judge_values(spark, sf_dir).where("statistic = 'delta_pipeline'").groupBy("arm", "setting").agg(F.round(F.least(F.lit(1.0), 2.0 * (1 + tail) / (F.count("*") + 1)), 9).alias("p"))
+    return ranking.step_up(p, "p", len(ARMS) * len(C), "arm", "setting").withColumn("adjusted", F.round("adjusted", 9))
+
+
 # --- integrity -----------------------------------------------------------------
 
 

@@ -5,11 +5,13 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tabulon.functions.hashing import SECRETS
-from tabulon.plans.queries import ORACLE, QUERIES
+from tabulon.operators import bootstrap
+from tabulon.plans.queries import FULL_REPS, ORACLE, QUERIES, _battery_stats, _battery_sums
 
 
 def documents(path, texts):
@@ -51,3 +53,42 @@ def test_secrets_of_all_kinds_with_lines(spark, tmp_path):
     assert Counter((r[0], *r[1:]) for r in con.sql(f"select doc_id, type, line, fingerprint from ({ORACLE['secret_findings']})").fetchall()) == got
     assert got == found(enumerate(texts)) and {k[1] for k in got} == set(SECRETS)
     assert (4, "aws_access_key", 2) in {k[:3] for k in got} and not any(k[0] == 6 and k[2] > 1 for k in got)
+
+
+def drawn(n, reps, seed=42):
+    """Brute force of the draws: how often each replicate takes each cluster."""
+    out = np.zeros((reps, n), dtype=np.int64)
+    for r in range(reps):
+        for slot in range(n):
+            out[r, int(hashlib.md5(f"{seed}|{r}|{slot}".encode()).hexdigest()[:8], 16) % n] += 1
+    return out
+
+
+def test_bootstrap_by_groups(spark):
+    rows = [("a", k * 3, k + 1, k % 4) for k in range(9)] + [("b", k * 5, 2, k) for k in range(6)]
+    df = spark.createDataFrame(rows, "g string, c long, n long, s long")
+    got = {(r.g, r.rep): (r.n, r.s) for r in bootstrap.replicates_by(df, ["g"], "c", ["n", "s"], 30).collect()}
+    for g in "ab":
+        own = np.array([r[2:] for r in sorted(r for r in rows if r[0] == g)])
+        for rep, total in enumerate(drawn(len(own), 30) @ own):
+            assert got[g, rep] == tuple(total)
+
+
+def test_bootstraps_are_whole(spark, tmp_path):
+    """10,000 replicates over all arms and conditions: 50 linear and 2 ratio estimands, the drifts, seven ratios of each judge cell."""
+    assert len(_battery_stats()) == 52 and FULL_REPS == 10_000
+    n = 40
+    pq.write_table(pa.table({"o_orderkey": pa.array(range(n), pa.int64()), "o_custkey": pa.array([k % 12 for k in range(n)], pa.int64()), "o_orderpriority": ["p"] * n, "o_totalprice": [k * 7.5 for k in range(n)]}), f"{tmp_path}/orders.parquet")
+    sf = str(tmp_path)
+    battery = {r.statistic: r for r in QUERIES["bootstrap_battery_ci"](spark, sf).collect()}
+    assert set(battery) == set(_battery_stats()) and all(r.replicates == 10_000 and r.low <= r.high for r in battery.values())
+    counts = drawn(12, 10_000)
+    sums = {r.frame_id: r for r in _battery_sums(spark, sf).collect()}
+    order = sorted(sums)
+    of = lambda c: counts @ np.array([sums[k][c] for k in order])
+    ratio = lambda a: of(f"{a}__turned") / of(f"{a}__source")
+    for name, v in {"accuracy plain grey": of("plain__grey") / of("n"), "gap point mask": (of("point__source") - of("point__mask")) / of("n"), "turned_contrast plain_desc plain": ratio("plain_desc") - ratio("plain")}.items():
+        assert np.allclose([battery[name].low, battery[name].high], np.quantile(v, [0.025, 0.975]), atol=2e-9)
+    judged = QUERIES["judge_bootstrap_ci"](spark, sf).collect()
+    assert len(judged) == 4 * 6 * 7 and all(0 < r.replicates <= 10_000 for r in judged)
+    assert min(r.p for r in QUERIES["judge_bootstrap_bh"](spark, sf).collect()) >= round(2 / 10_001, 9)
