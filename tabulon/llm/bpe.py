@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -16,8 +17,28 @@ from pyspark.sql import functions as F
 
 from .common import carried, table
 
-#: Entries that a worker's caches of words and of token pairs hold at most.
-CACHED = 150_000
+#: Entries of each generation of a worker's caches; a cache has two. Longer words aren't kept.
+CACHED, KEPT_CHARS = 150_000, 48
+
+
+class Recent(dict):
+    """What make gives for each key, kept for keys used lately: a full generation becomes the old one, and only what is asked for again comes back from it."""
+
+    def __init__(self, make: Callable, most: int = CACHED):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value, keep = self.make(key)
+            if not keep:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 @functools.cache
@@ -66,7 +87,7 @@ class Codec:
         # Aho-Corasick over the tokens as Latin-1 text; shorter: the longest token that is a proper prefix of each
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [-1] * size
         for t, i in self.ids.items():
@@ -74,21 +95,20 @@ class Codec:
                 if (j := self.ids.get(t[:n])) is not None:
                     self.shorter[i] = j
                     break
-        self.pairs: dict[tuple[int, int], bool] = {}
-        split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.apart = Recent(self._apart)
+        # letters come first, as most words are: no other alternative starts as they do
+        split = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.split = regex.compile(split).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         # the offset table of decoding: all tokens' bytes end to end
         self.table = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.offset = np.zeros(size + 1, np.int64)
         np.cumsum([len(t) for t in self.tokens], out=self.offset[1:])
-        self.known: dict[str, bytes] = {}
+        self.words = Recent(lambda w: (array("I", self.encode_word(w.encode())).tobytes(), len(w) <= KEPT_CHARS))
 
-    def compatible(self, a: int, b: int) -> bool:
-        """If a and b stay apart when merges run over their joined bytes."""
-        if (known := self.pairs.get((a, b))) is not None:
-            return known
-        x, y = a, b
+    def _apart(self, pair: int) -> tuple[bool, bool]:
+        """If the tokens a and b of a pair (a << 32 | b) stay apart when merges run over their joined bytes."""
+        x, y = pair >> 32, pair & 0xFFFFFFFF
         # undo the merges of both sides from the last one on; limit: the rank of the merge undone last
         limit = 1 << 60
         out = True
@@ -103,61 +123,59 @@ class Codec:
                 limit, x = self.rank[x], self.halves[x][1]
             else:
                 limit, y = self.rank[y] + 1, self.halves[y][0]
-        if len(self.pairs) >= CACHED:
-            self.pairs.clear()
-        self.pairs[a, b] = out
-        return out
+        return out, True
 
-    def longest(self, word: bytes) -> list[int]:
-        """The longest token that starts at each byte, from one pass of the automaton."""
-        best = [(0, -1)] * len(word)
-        for end, (n, i) in self.automaton.iter(word.decode("latin-1")):
-            if n > best[end - n + 1][0]:
-                best[end - n + 1] = (n, i)
-        return [i for _, i in best]
+    def compatible(self, a: int, b: int) -> bool:
+        return self.apart[a << 32 | b]
 
     def encode_word(self, word: bytes) -> list[int]:
-        first, ends = self.longest(word), [0]
-        out: list[int] = []
-        dead = bytearray(len(word) + 1)
-        tokens, at = self.tokens, 0
-        token = first[0] if word else -1
-        while at < len(word):
+        """Longest matches from the left if all neighbours are compatible; else on from the first that aren't, with steps back."""
+        if (token := self.ids.get(word)) is not None:
+            return [token]
+        text, apart, first, at = word.decode("latin-1"), self.apart, {}, 0
+        for end, i in self.automaton.iter_long(text):
+            first[at] = i
+            at = end + 1
+        out = [*first.values()]
+        before = out[0] if out else -1
+        for k, token in enumerate(out[1:], 1):
+            if not apart[before << 32 | token]:
+                return self.backtrack(text, first, out[:k])
+            before = token
+        return out
+
+    def backtrack(self, text: str, first: dict[int, int], out: list[int]) -> list[int]:
+        """out: tokens found so far, compatible all. first: the longest matches known, by place."""
+        apart, tokens, shorter, longest = self.apart, self.tokens, self.shorter, self.automaton.iter_long
+        dead: set[int] = set()
+        size, at = len(text), sum(len(tokens[i]) for i in out)
+        token = first[at]
+        while at < size:
             while token >= 0:
                 end = at + len(tokens[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
+                if end not in dead and (not out or apart[out[-1] << 32 | token]):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
-                token = first[at] if at < len(word) else -1
+                if at < size and (token := first.get(at, -1)) < 0:
+                    token = first[at] = next(longest(text, at))[1]
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
                 at -= len(tokens[token])
-                token = self.shorter[token]
+                token = shorter[token]
         return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers; special tokens in the text become their ids."""
-        known, out = self.known, []
+        ids, out = self.words.__getitem__, []
         for k, part in enumerate(self.parts(text) if self.parts and any(s in text for s in self.special) else [text]):
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            words = self.split(part)
-            try:
-                out += [known[w] for w in words]
-            except KeyError:
-                for w in words:
-                    if (ids := known.get(w)) is None:
-                        ids = np.array(self.encode_word(w.encode()), "<u4").tobytes()
-                        if len(w) <= 64:
-                            if len(known) >= CACHED:
-                                known.clear()
-                            known[w] = ids
-                    out.append(ids)
+            else:
+                out.extend(map(ids, self.split(part)))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
