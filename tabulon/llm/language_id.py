@@ -20,8 +20,6 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 64, 50_000, 64 << 10
 BLOCK = 8 << 10
 #: Lazy matching with short matches, as words of one language share short strings.
 PACKING = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 4, "target_length": 16}
-#: A text of fewer bytes is packed this many times, its words rotated, as sizes are whole bytes.
-SHORT, ROTATIONS = 512, 6
 #: The share of its size by which the best language must beat the second one.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -38,14 +36,18 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
 
 
 def dictionaries(sample: DataFrame, counts: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content for each language: its sample end to end, languages with most documents (counts: lang, n) first.
+    """Raw content for each language: its sample end to end, languages with most documents (counts: lang, n) first; of equal numbers, by name.
 
-    At most SAMPLE_DOCS documents of each language reach the driver."""
-    by: dict[str, list[str]] = {}
-    for r in sample.orderBy("lang", "text").collect():
-        by.setdefault(r.lang, []).append(r.text)
+    A language's sample is at most SAMPLE_DOCS texts, so it is put together in
+    one group; the driver gets size bytes of each language."""
+
+    def joined(key: tuple, group: pa.Table) -> pa.Table:
+        texts = sorted(group.column("text").to_pylist())
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "content": pa.array([b"\n".join(map(normal, texts))[:size]], pa.binary())})
+
+    content = {r.lang: bytes(r.content) for r in sample.groupBy("lang").applyInArrow(joined, "lang string, content binary").collect()}
     n = {r.lang: r.n for r in counts.collect()}
-    return {lang: b"\n".join(map(normal, by[lang]))[:size] for lang in sorted(by, key=lambda x: (-n[x], x))}
+    return {lang: content[lang] for lang in sorted(content, key=lambda x: (-n[x], x))}
 
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -56,11 +58,6 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_LETTERS).split())
 
 
-def turned(data: bytes) -> list[bytes]:
-    words = data.split(b" ")
-    return [b" ".join(words[k:] + words[:k]) for k in (len(words) * i // ROTATIONS for i in range(ROTATIONS))]
-
-
 def blocks(data: bytes, size: int = BLOCK) -> list[bytes]:
     """The whole text in pieces of even length, none longer than size."""
     n = -(-len(data) // size)
@@ -75,9 +72,12 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
     """Per row: doc_id, lang_pred, score, margin, rejected, and the columns to carry.
 
     lang_pred is the language whose dictionary compresses the whole text to the
-    fewest bytes; of equal ones the one with most documents. A text that is null or has no
-    letters is 'und' with score 0, rejected. rejected also holds where the margin
-    is narrow. score is 1 / (1 + the other languages' odds), from the bytes saved."""
+    fewest bytes; of equal ones the one with most documents. Texts of all sizes
+    are packed in the same way, in blocks. A text that is null or has no letters
+    is 'und' with score 0, rejected; without dictionaries every text is.
+    rejected also holds where the margin is narrow. score is 1 / (1 + the other
+    languages' odds), from the bytes saved. Rows aren't moved: repeated rows and
+    null ids come back as they are."""
     names = list(dicts)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
                     langs.append(UNKNOWN), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
                 data = normal(text) or text.encode()
-                pieces = turned(data) if len(data) < SHORT else blocks(data)
+                pieces = blocks(data)
                 sizes = np.array([sum(len(pack(p)) for p in pieces) for pack in packers], float)
                 best = int(sizes.argmin())
                 rest = np.delete(sizes, best)
@@ -126,6 +126,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() on all documents, learned from rows with an id whose remainder isn't 2. Equal texts get equal results; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = docs.where(~held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull())
     found = predict(docs, learn(learned))

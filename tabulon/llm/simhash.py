@@ -11,15 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import carried, table, written
 from .components import components
 
 #: The fingerprint's segments have SEGMENT bits; groups of segments are the sides of a grid cell.
-SEGMENT, GROUPS = 2, 6
+SEGMENT = 2
+#: Groups of segments for so many distinct fingerprints: more make smaller cells, and more of them. Any number is exact.
+FINER = ((1 << 26, 6), (1 << 32, 8), (1 << 40, 10))
+#: Members of a cell that are compared at once; a larger cell is divided further.
+CELL = 2048
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint as a signed long); null and empty texts have 0.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, fp (the fingerprint as a signed long), and the columns to carry; null and empty texts have 0.
 
     Shingles count as often as they occur; the last of a text's words that are
     too few for one make one shingle. Rows keep their partition."""
@@ -45,9 +49,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for k in range(0, n, 4096):
                     count += np.unpackbits(h[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 out[r] = np.packbits(count * 2 > n).view(">u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(hashed, "doc_id long, fp long" + carried(docs, carry))
 
 
 def bit_counts(fp: np.ndarray) -> np.ndarray:
@@ -56,16 +60,54 @@ def bit_counts(fp: np.ndarray) -> np.ndarray:
     return bits.reshape(len(fp), 64 // SEGMENT, SEGMENT).sum(axis=2, dtype=np.uint8)
 
 
-def _sides(radius: int) -> list[np.ndarray]:
-    return np.array_split(np.arange(64 // SEGMENT), max(GROUPS, radius + 1))
+def _sides(radius: int, groups: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(64 // SEGMENT), max(groups, radius + 1))
 
 
-def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _divided(v: np.ndarray, radius: int, segments: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of a cell (rows of v) and the segments that may still differ in them. Any two rows within the radius meet in a part: of radius + 1 lots of segments they agree in one."""
+    for lot in np.array_split(segments, radius + 1):
+        key = np.ascontiguousarray(v[:, lot]).view(f"V{len(lot) * v.itemsize}").ravel() if len(lot) else np.zeros(len(v), "V1")
+        _, which = np.unique(key, return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+            if len(part) > 1:
+                yield part, np.setdiff1d(segments, lot)
+
+
+def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the links that join what those before them don't."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def forest(fp: np.ndarray, node: np.ndarray, radius: int, segments: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what is linked within one cell, fewer than it has members.
 
     Each member that is reached looks once for members not reached yet: by
-    Manhattan distance of the bit counts, a lower bound, then by the bits."""
+    Manhattan distance of the bit counts, a lower bound, then by the bits. A
+    cell of many members is first divided by segments that its members differ
+    in, and again as long as that makes parts smaller."""
     v, left, out = bit_counts(fp).astype(np.int16), np.arange(len(fp)), []
+    if len(fp) > CELL:
+        segments = np.flatnonzero(v.min(axis=0) < v.max(axis=0)) if segments is None else segments
+        if len(segments) > radius:
+            for part, rest in _divided(v, radius, segments):
+                out += forest(fp[part], node[part], radius, rest)
+            return spanning(out)
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
@@ -82,11 +124,13 @@ def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int
 def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """prints: node, fp, distinct fp. Links (a, b) between nodes whose fingerprints differ in radius bits or fewer, enough of them to connect all that are connected.
 
-    The grid: a fingerprint's bit counts, in GROUPS groups of segments. Two that
-    lie within Manhattan distance radius agree in all but radius groups, so each
+    The grid: a fingerprint's bit counts, in groups of segments. Two that lie
+    within Manhattan distance radius agree in all but radius groups, so each
     goes to a cell for every choice of that many groups; one link at least of
-    any two that are near stands in each cell they share."""
-    sides = _sides(radius)
+    any two that are near stands in each cell they share. With 6 groups a cell's
+    key has about 24 bits, with 8 about 30, with 10 about 33."""
+    n = prints.count()
+    sides = _sides(radius, next((g for most, g in FINER if n <= most), FINER[-1][1]))
     choices = list(combinations(range(len(sides)), len(sides) - radius))
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +176,25 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(linked, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable), group (the component's smallest fingerprint as a signed long), and the columns to carry.
 
     Equal fingerprints meet in one row before anything is compared, so a group
-    of copies, whatever its size, is one member of a cell. A null doc_id has a
-    fingerprint, and the component of its fingerprint's other rows if any."""
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    linked = components(near_links(classes.where("node is not null"), radius))
-    named = classes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of copies, whatever its size, is one member of a cell. Links are between
+    fingerprints, so rows with a null doc_id join groups too; component_id is
+    null where no row of the group has a doc_id. Rows with one doc_id and
+    different texts are rows of their own; repeated rows come back as often."""
+    prints = written(fingerprints(docs, id_col, text_col, carry=carry), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    linked = components(near_links(classes.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
+    # a fingerprint without links is a component of its own; only the others are gathered
+    joined = classes.join(linked, "fp")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    named = joined.join(least, "component").select("fp", F.col("component").alias("group"), "least")
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.when(F.col("group").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", *carry)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """near_duplicates() of all documents; null and empty texts have fingerprint zero and one group."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("group")
