@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_parts, shingle_hashes, span_hashes, spans, table
+from .common import LOWER, byte_parts, carried, shingle_hashes, span_hashes, spans, table
 from .licenses import WORD
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Windows within this many of 64 bits of an item are verified. At a similarity of
-#: 0.8 about 10 bits differ, by a standard deviation of 3; unrelated ones differ in 32.
-RADIUS = 24
-#: Blocks of the fingerprint: within RADIUS bits, one of them differs in RADIUS // BLOCKS bits at most.
-BLOCKS = 8
+#: Windows within this many of 64 bits of an item are found by the blocks of the fingerprint. At a similarity of
+#: 0.8 about 10 bits differ; unrelated windows differ in 32.
+RADIUS = 11
+#: Places where a fingerprint is cut. Within RADIUS bits, one of the blocks differs in RADIUS // 6 bits (1) at most.
+CUTS = (0, 11, 22, 33, 44, 54, 64)
 #: Bytes of benchmark text that are sent to every executor at once; more goes in several blocks.
 ITEM_BYTES = 16 << 20
 
@@ -45,6 +48,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hashes(data, starts, ends), first
 
 
+def blocks_of(fp: int) -> list[int]:
+    return [fp >> a & (1 << b - a) - 1 for a, b in pairwise(CUTS)]
+
+
+def ball(value: int, bits: int, radius: int) -> list[int]:
+    """All values of so many bits that differ from value in radius bits or fewer."""
+    return [value ^ sum(1 << k for k in flips) for n in range(radius + 1) for flips in combinations(range(bits), n)]
+
+
 def signs(h: np.ndarray) -> np.ndarray:
     """1 for each bit that is set, else -1."""
     return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
@@ -59,7 +71,7 @@ def index(items: list[tuple[int, str]]) -> Items:
     counts, size, ids, prints = [], [], [], []
     short: dict[int, dict[int, list[int]]] = {}
     tables: dict[int, list[dict[int, list[int]]]] = {}
-    ball = [[v for v in range(256) if (v ^ x).bit_count() <= RADIUS // BLOCKS] for x in range(256)]
+    widths = [b - a for a, b in pairwise(CUTS)]
     for item, text in items:
         raw = np.frombuffer(text.encode(), np.uint8)
         words, first = words_of(raw, np.array([0, len(raw)]))
@@ -75,10 +87,9 @@ def index(items: list[tuple[int, str]]) -> Items:
         prints.append(fp)
         for x in counts[k]:
             owners.setdefault(x, []).append(k)
-        blocks = tables.setdefault(len(words), [{} for _ in range(BLOCKS)])
-        for b in range(BLOCKS):
-            for v in ball[fp >> (8 * b) & 255]:
-                blocks[b].setdefault(v, []).append(k)
+        for known, value, width in zip(tables.setdefault(len(words), [{} for _ in widths]), blocks_of(fp), widths, strict=True):
+            for v in ball(value, width, RADIUS // len(widths)):
+                known.setdefault(v, []).append(k)
     keys = np.array(sorted(owners), np.uint64)
     seen = np.zeros(1 << 20, bool)
     seen[(keys >> np.uint64(44)).astype(np.int64)] = True
@@ -92,31 +103,43 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def matches(ix: Items, shingles: np.ndarray, hits: np.ndarray, found: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
-    """Of one row: item to (similarity, first word, words) of its best window. hits: places of shingles that items have, found: which."""
+    """Of one row: item to (similarity, first word, words) of its best window. hits: places of shingles that items have, found: which.
+
+    Windows near an item's fingerprint are verified; so are those beyond the
+    radius that have as many of an item's shingles as the similarity takes. A
+    window with fewer can't reach it, so nothing is lost."""
     best: dict[int, tuple[float, int, int]] = {}
-    by_size: dict[int, list[int]] = {}
+    by_size: dict[int, dict[int, list[int]]] = {}
     for p, f in zip(hits.tolist(), found.tolist(), strict=True):
         for k in ix.owners[f]:
-            by_size.setdefault(ix.size[k], []).append(p)
-    for size, places in by_size.items():
+            by_size.setdefault(ix.size[k], {}).setdefault(k, []).append(p)
+    for size, by_item in by_size.items():
         m = min(size, n_words) - SHINGLE + 1  # shingles of a window; a shorter row is one window
-        p = np.array(sorted(set(places)))
-        for group in np.split(p, np.flatnonzero(np.diff(p) > 2 * m) + 1):
+        needed = int(np.ceil(SIMILARITY * (m + size - SHINGLE + 1) / (1 + SIMILARITY) - 1e-9))
+        for k in [k for k, own in by_item.items() if len(own) < needed]:
+            del by_item[k]
+        p = np.array(sorted({x for own in by_item.values() for x in own}), np.int64)
+        for group in np.split(p, np.flatnonzero(np.diff(p) > 2 * m) + 1) if len(p) else []:
             a, b = max(0, int(group[0]) - m + 1), min(len(shingles), int(group[-1]) + m)
             total = np.zeros((b - a + 1, 64), np.int32)
             np.cumsum(signs(shingles[a:b]), axis=0, out=total[1:])
             shared = np.zeros(b - a + 1, np.int64)
             shared[group - a + 1] = 1
             shared = np.cumsum(shared)
-            some = np.flatnonzero(shared[m:] > shared[:-m])
+            some = np.flatnonzero(shared[m:] - shared[:-m] >= needed)
             prints = prints_of(total[some + m] - total[some])
-            for w, fp in zip((some + a).tolist(), prints.tolist(), strict=True):
-                near = {k for x in range(BLOCKS) for k in ix.tables[size][x].get(fp >> (8 * x) & 255, ())}
-                for k in near:
-                    if (fp ^ int(ix.prints[k])).bit_count() <= RADIUS:
-                        s = similarity(Counter(shingles[w : w + m].tolist()), ix.counts[k])
-                        if s >= SIMILARITY and (s, -w) > (best.get(k, (0, 0, 0))[0], -best.get(k, (0, 0, 0))[1]):
-                            best[k] = (s, w, m + SHINGLE - 1)
+            near = {w: {k for known, v in zip(ix.tables[size], blocks_of(fp), strict=True) for k in known.get(v, ()) if (fp ^ int(ix.prints[k])).bit_count() <= RADIUS} for w, fp in zip((some + a).tolist(), prints.tolist(), strict=True)}
+            for k, own in by_item.items():
+                own = np.array(own)
+                lo = np.array(list(near), np.int64)
+                enough = np.searchsorted(own, lo + m) - np.searchsorted(own, lo) >= needed
+                for w in lo[enough].tolist():
+                    near[w].add(k)
+            for w, items in near.items():
+                for k in items:
+                    s = similarity(Counter(shingles[w : w + m].tolist()), ix.counts[k])
+                    if s >= SIMILARITY and (s, -w) > (best.get(k, (0, 0, 0))[0], -best.get(k, (0, 0, 0))[1]):
+                        best[k] = (s, w, m + SHINGLE - 1)
     return {ix.ids[k]: v for k, v in best.items()}
 
 
@@ -150,37 +173,53 @@ def find(batch_texts: pa.Array, ix: Items) -> Iterator[tuple[int, int, float, in
                 yield i + r, item, s, w, n
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+#: The block that this worker has indexed last.
+_LAST: dict[str, Items] = {}
+
+
+def indexed(name: str, shared: Broadcast) -> Items:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = index(shared.value)
+    return _LAST[name]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: one row for each document row and item that a window of it resembles, with the best window, the first of equal ones.
 
-    Only windows that share a shingle with an item of their size are
-    fingerprinted: others have similarity 0. Items of fewer than SHINGLE words
-    match where all their words stand; null and empty items never. Documents
-    aren't shuffled. The benchmark goes to the executors in blocks of bounded
-    size: its rows, not the documents, decide how many."""
+    Only windows that share as many shingles with items of their size as the
+    similarity takes are fingerprinted: others can't reach it. Items of fewer
+    than SHINGLE words match where all their words stand; null and empty items
+    never. Null and empty documents match nothing; a null doc_id stays null, and
+    repeated rows match as often as they occur. carry: columns of docs that come
+    with each match. Documents aren't shuffled. The benchmark goes to the
+    executors in blocks of bounded size: its rows, not the documents, decide how
+    many. A worker indexes a block once."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     blocks = max(1, -(-total // ITEM_BYTES))
-    shaped = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shaped = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = [*(f.split()[0] for f in schema.split(", ")), *carry]
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in part])
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = index(shared.value)
+        def scan(batches: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, shared=shared) -> Iterator[pa.RecordBatch]:
+            ix = indexed(name, shared)
             for batch in batches:
-                ids = batch.column(0)
-                rows = [(ids[r].as_py(), item, s, w, n) for r, item, s, w, n in find(batch.column(1), ix)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+                found = list(find(batch.column(1), ix))
+                if found:
+                    at, *rest = zip(*found, strict=True)
+                    own = batch.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.float64() if k == 1 else pa.int64()) for k, c in enumerate(rest)), *own.columns[2:]], names)
 
-        found = shaped.mapInArrow(scan, schema)
+        found = shaped.mapInArrow(scan, schema + carried(docs, carry))
         out = found if out is None else out.union(found)
     return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contaminated() of all documents by all benchmark items; empty tables give no rows."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,23 +19,53 @@ WORD = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >=
 #: Phrases of the base labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Characteristic passages of public licences and notices, by label (fixed values).
+#: Public licences and notices as words, by label: whole texts where they are short, else the passages that stand for them (fixed values).
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+)
+_MIT_REST = (
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD_NAME = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_REST = (
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", f"{_MIT_GRANT} {_MIT_REST}"),
+    ("mit", _MIT_GRANT),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", f"{_BSD_START} {_BSD_NAME} {_BSD_END}"),
+    ("bsd", f"{_BSD_START} {_BSD_END}"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "licensed under the bsd 3 clause license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", f"{_ISC_GRANT} {_ISC_REST}"),
+    ("isc", _ISC_GRANT),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "licensed under the gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
@@ -59,6 +89,7 @@ class Automaton:
     length: list[int] = field(default_factory=lambda: [0])
     #: For each state the templates and end positions of its words there.
     ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])
+    reaches: dict[int, dict[int, int]] = field(default_factory=dict)
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.edges.append(edges), self.link.append(link), self.length.append(length), self.ends.append(set())
@@ -100,12 +131,31 @@ class Automaton:
                 self.ends[s].add((k, i))
                 s = self.link[s]
 
-    def matches(self, words: list[int]) -> list[tuple[int, int, int]]:
-        """Maximal matches (start, length, state) of LEAST words or more, from the matching statistics of words."""
+    def reach(self, state: int) -> dict[int, int]:
+        """For each template that has one of the words ending in state, the length of the longest that it has; 0 for the state's own words, as long as matched."""
+        if state not in self.reaches:
+            out, s = {k: 0 for k, _ in self.ends[state]}, self.link[state]
+            while s > 0 and self.length[s] >= LEAST:
+                for k, _ in self.ends[s]:
+                    out.setdefault(k, self.length[s])
+                s = self.link[s]
+            self.reaches[state] = out
+        return self.reaches[state]
+
+    def places(self, state: int, k: int, n: int) -> list[int]:
+        """Where the last n words that end in state end in template k."""
+        while n <= self.length[self.link[state]]:
+            state = self.link[state]
+        return sorted(e for t, e in self.ends[state] if t == k)
+
+    def matches(self, words: list[int]) -> list[tuple[int, int, int, int]]:
+        """Each template's maximal matches (start, length, template, state) of LEAST words or more, from the matching statistics of words.
+
+        A template whose longest match is shorter than that of all templates is
+        found on the way along the suffix links."""
         out, at, n = [], 0, 0
+        open_: dict[int, tuple[int, int]] = {}  # template: length and state of its match that ends at the word before
         for i, c in enumerate(words):
-            if n >= LEAST and c not in self.edges[at]:
-                out.append((i - n, n, at))
             while at and c not in self.edges[at]:
                 at = self.link[at]
                 n = self.length[at]
@@ -114,9 +164,13 @@ class Automaton:
                 n += 1
             else:
                 n = 0
-        if n >= LEAST:
-            out.append((len(words) - n, n, at))
-        return out
+            now = {k: (size or n, at) for k, size in self.reach(at).items() if (size or n) >= LEAST} if n >= LEAST else {}
+            for k, (size, state) in open_.items():
+                if k not in now or now[k][0] != size + 1:
+                    out.append((i - size, size, k, state))
+            open_ = now
+        out += [(len(words) - size, size, k, state) for k, (size, state) in open_.items()]
+        return sorted(out)
 
 
 @dataclass
@@ -137,18 +191,17 @@ class Scanner:
             if covered >= COVER * self.sizes[k]:
                 done.append((self.labels[k], first, last, min(1.0, covered / self.sizes[k])))
 
-        for start, n, state in self.automaton.matches(words):
-            for k in {k for k, _ in self.automaton.ends[state]}:
-                places = sorted(e for t, e in self.automaton.ends[state] if t == k)
-                if k in open_:
-                    first, last, pos, covered = open_[k]
-                    ahead = [e for e in places if e > pos]
-                    if ahead and at + start - last <= GAP:
-                        new = min(n, at + start + n - 1 - last, ahead[0] - pos)
-                        open_[k] = [first, at + start + n - 1, ahead[0], covered + new]
-                        continue
-                    close(k)
-                open_[k] = [at + start, at + start + n - 1, places[0], n]
+        for start, n, k, state in self.automaton.matches(words):
+            places = self.automaton.places(state, k, n)
+            if k in open_:
+                first, last, pos, covered = open_[k]
+                ahead = [e for e in places if e > pos]
+                if ahead and at + start - last <= GAP:
+                    new = min(n, at + start + n - 1 - last, ahead[0] - pos)
+                    open_[k] = [first, at + start + n - 1, ahead[0], covered + new]
+                    continue
+                close(k)
+            open_[k] = [at + start, at + start + n - 1, places[0], n]
         for k in list(open_):
             close(k)
         return done
@@ -172,8 +225,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     labels joins the base labels with those of template spans; score is 1 with a
     base phrase, else the largest covered share. Null and empty texts have no
-    words, no labels and score 0. Only runs of words that some template has
-    reach the automaton: any other word ends every match."""
+    words, no labels and score 0; null ids and repeated rows come back as they
+    are. Each template's matches are chained by themselves, so one that stands
+    within a longer one's match is found too. Only runs of words that some
+    template has reach the automaton: any other word ends every match."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:int,last:int,covered:double>>"
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("covered", pa.float64())]))
 
@@ -227,4 +282,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """license_scan() of all documents without the spans; an empty table gives no rows."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")

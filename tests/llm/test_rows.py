@@ -105,6 +105,43 @@ def test_licenses(spark):
     assert licenses.license_scan(odd.empty(spark)).count() == 0
 
 
+def longest_suffixes(template, words):
+    """By dynamic programming: for each word, how many words up to it stand in the template, and where they end there."""
+    out, before = [], [0] * len(template)
+    for w in words:
+        now = [(before[i - 1] if i else 0) + 1 if c == w else 0 for i, c in enumerate(template)]
+        out.append((max(now, default=0), now))
+        before = now
+    return out
+
+
+def maximal(template, words, least):
+    """(start, length, ends in the template) of matches that go on neither way."""
+    stats = longest_suffixes(template, words)
+    out = []
+    for i, (n, now) in enumerate(stats):
+        if n >= least and (i + 1 == len(words) or stats[i + 1][0] != n + 1):
+            out.append((i - n + 1, n, [e for e, m in enumerate(now) if m >= n]))
+    return out
+
+
+def chained(template, words):
+    """Spans of one template: (first, last, share)."""
+    out, now = [], None
+    for start, n, ends in maximal(template, words, licenses.LEAST):
+        last = start + n - 1
+        ahead = [e for e in ends if now and e > now[2]]
+        if now and ahead and start - now[1] <= licenses.GAP:
+            now = [now[0], last, ahead[0], now[3] + min(n, last - now[1], ahead[0] - now[2])]
+            continue
+        if now and now[3] >= licenses.COVER * len(template):
+            out.append((now[0], now[1], round(min(1.0, now[3] / len(template)), 9)))
+        now = [start, last, ends[0], n]
+    if now and now[3] >= licenses.COVER * len(template):
+        out.append((now[0], now[1], round(min(1.0, now[3] / len(template)), 9)))
+    return out
+
+
 def test_automaton_against_all_substrings():
     rng = random.Random(1)
     lists = [[rng.randrange(3) for _ in range(rng.randint(1, 14))] for _ in range(5)]
@@ -113,13 +150,36 @@ def test_automaton_against_all_substrings():
         a.add(k, x)
     for k, x in enumerate(lists):
         a.mark(k, x)
-    own = {tuple(x[i:j]) for x in lists for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
     for _ in range(200):
         w = [rng.randrange(4) for _ in range(20)]
-        for start, n, state in a.matches(w):
-            piece = tuple(w[start : start + n])
-            assert piece in own and (start + n == len(w) or tuple(w[start : start + n + 1]) not in own)
-            assert {(k, e) for k, e in a.ends[state]} >= {(k, j - 1) for k, x in enumerate(lists) for j in range(n, len(x) + 1) if tuple(x[j - n : j]) == piece}
+        want = sorted((start, n, k, ends) for k, x in enumerate(lists) for start, n, ends in maximal(x, w, licenses.LEAST))
+        assert sorted((start, n, k, a.places(state, k, n)) for start, n, k, state in a.matches(w)) == want
+
+
+def test_license_spans_by_brute_force(spark):
+    """Each template's chained spans, in texts made of whole, cut and changed templates and of odd rows."""
+    rng = random.Random(17)
+    templates = (("a", "x1 x2 x3 x4 x5 x6 x7 x8"), ("b", "x3 x4 x5 x6"), ("c", "x1 x2 y1 y2 x1 x2 y1 y2"), *licenses.TEMPLATES)
+    texts = ["x1 x2 x3 x4 x5 x6"]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(templates)[1].split()
+            w = w[rng.randrange(len(w)) if rng.random() < 0.3 else 0 :]
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w)) :][:1] = [rng.choice(["zz", "the", "of"])]
+            words += w + ["q"] * rng.choice([0, 1, 9])
+        texts.append(" ".join(words))
+    data = [*enumerate(texts), *((1000 + k, t) for k, (_, t) in enumerate(odd.rows()))]
+    got = by_id(licenses.license_scan(odd.documents(spark, data), templates=templates))
+    lists = [(label, t.split()) for label, t in templates]
+    for k, t in data:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        want = Counter((label, *x) for label, own in lists for x in chained(own, w))
+        assert Counter((x["label"], x["first"], x["last"], round(x["covered"], 9)) for x in got[k][0].spans) == want, (k, t)
+        if not got[k][0].n_base:
+            assert got[k][0].labels == ",".join(sorted({x[0] for x in want})) and got[k][0].score == pytest.approx(max((x[3] for x in want), default=0.0))
+    assert {x["label"] for x in got[0][0].spans} == {"a", "b"}
 
 
 def test_language_id(spark):
