@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import forget, shared_dir, table, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Rows in one archive at most; an archive is read by one task.
-ARCHIVE_ROWS = 20_000
 END = "\r\n\r\n"
+#: A digest that more than this share of the records have is joined apart: there are at most as many such digests as its inverse.
+HOT_SHARE = 1 / 200
+#: Bytes of payload in one batch that the reader hands back.
+BATCH_BYTES = 4 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -26,103 +27,144 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record(kind: str, page_id: Column, url: Column, digest: Column, size: Column, body: Column, extra: Column) -> Column:
+def _record(kind: Column, record_id: Column, page_id: Column, url: Column, digest: Column, size: Column, date: Column, body: Column, refers_to: Column, refers_page: Column) -> Column:
     """A record as text. Control characters of a URL would end its header, so they are percent-encoded away."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    content = F.lit("application/http; msgtype=response" if kind == "revisit" else "text/html; charset=utf-8")
-    identity = F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    again = kind == "revisit"
     return F.concat(
-        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"),
-        line("WARC-Record-ID", identity), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")), line("WARC-Target-URI", clean),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("X-Payload-Length", size.cast("string")), extra,
-        line("Content-Type", content), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), record_id, F.lit(">"))), line("WARC-Date", date),
+        line("WARC-Target-URI", clean), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("X-Payload-Length", size.cast("string")), line("X-Page-Id", page_id.cast("string")),
+        line("WARC-Refers-To", F.when(again, F.concat(F.lit("<urn:uuid:"), refers_to, F.lit(">")))), line("X-Refers-To-Page", F.when(again, refers_page.cast("string"))), line("WARC-Profile", F.when(again, F.lit(PROFILE))),
+        line("Content-Type", F.when(again, F.lit("application/http; msgtype=response")).otherwise(F.lit("text/html; charset=utf-8"))),
+        line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """One column of records, as gzip-compressed archives: what ends a record ends a line of Spark's text writer, so any store that Spark writes will do."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record of an archive, one record in memory at a time."""
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not the start of a WARC record: {line[:40]!r}")
+def write_archives(records: DataFrame, path: str) -> None:
+    """One column of records, as gzip-compressed archives: what ends a record ends a line of Spark's text writer, so any store that Spark writes will do."""
+    records.write.option("lineSep", END).option("compression", "gzip").text(path)
+
+
+def records_of(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each record. pieces: what an archive has between its empty lines, wherever those stand; one record is held at a time."""
+    end, rest = END.encode(), b""
+    chunks = (x + end for x in pieces)
+    while rest := rest or next(chunks, b""):
+        head, _, rest = rest.partition(end)
+        if not head:  # an archive whose last payload ends a line has its last piece before no empty line
+            continue
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"not the start of a WARC record: {head[:40]!r}")
         headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().partition(":")
+        for line in head.decode().split("\r\n")[1:]:
+            name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        body = stream.read(int(headers["content-length"]))
-        if stream.read(4) != END.encode():
+        size, got, have = int(headers["content-length"]), [rest], len(rest)
+        while have < size + len(end) and (more := next(chunks, b"")):
+            got.append(more)
+            have += len(more)
+        data = b"".join(got)
+        if data[size : size + len(end)] != end:
             raise ValueError(f"record {headers.get('warc-record-id')} doesn't end where its length says")
-        yield headers, body
+        yield headers, data[:size]
+        rest = data[size + len(end) :]
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload of each record."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    """record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to (a page), refers_record and, if asked for, payload of each record.
 
-    def number(urn: str | None) -> int | None:
-        return int(x) if urn and (x := urn.strip("<>").rpartition(":")[2]) else None
+    Spark's text reader streams the archives piece by piece, so neither an
+    archive's size nor its number of records matters; a record is held whole.
+    Archives from elsewhere may lack the X- headers: then page_id and refers_to
+    are null, and a response's payload_bytes is the length of its body."""
+    schema = "record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_record string" + ", payload binary" * payload
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    urn = lambda x: x.strip("<>").removeprefix("urn:uuid:") if x else None
+    number = lambda x: int(x) if x else None
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows: list[tuple] = []
-                held = 0
-                with gzip.open(io.BytesIO(content.as_py())) as stream:
-                    for h, body in parse(stream):
-                        row = (number(h["warc-record-id"]), h["warc-target-uri"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], number(h.get("warc-refers-to")))
-                        rows.append(row + (body,) * payload)
-                        held += len(body)
-                        if held > 4 << 20 or len(rows) >= 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parsed, schema)
+        rows: list[tuple] = []
+        held = 0
+        pieces = (x.as_py() for batch in batches for x in batch.column(0))
+        for h, body in records_of(pieces):
+            kind = h["warc-type"]
+            size = number(h.get("x-payload-length"))
+            row = (urn(h["warc-record-id"]), number(h.get("x-page-id")), h.get("warc-target-uri"), len(body) if size is None and kind == "response" else size, (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, kind, number(h.get("x-refers-to-page")), urn(h.get("warc-refers-to")))
+            rows.append(row + (body,) * payload)
+            held += len(body) * payload + 200
+            if held > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
+
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(parsed, schema)
 
 
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """An archive record of every row, each a response with its payload; a null payload is empty."""
+    """An archive record of every row, each a response with its payload and an id of its own; a null payload is empty."""
     body = F.coalesce(F.col(payload_col), F.lit(""))
-    shaped = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"))
-    write_archives(shaped.select(_record("response", F.col("page_id"), F.col("url"), base32_sha1(F.col("body")), F.octet_length("body"), F.col("body"), F.lit("")).alias("value")), path)
+    shaped = pages.select(F.uuid().alias("record_id"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"))
+    none = F.lit(None).cast("string")
+    record = _record(F.lit("response"), F.col("record_id"), F.col("page_id"), F.col("url"), base32_sha1(F.col("body")), F.octet_length("body"), F.lit(now()), F.col("body"), none, none)
+    write_archives(shaped.select(record.alias("value")), path)
+
+
+def decisions(heads: DataFrame, least: int) -> DataFrame:
+    """record_id, first_record, first_page: of the records that revisit another one.
+
+    Only responses are originals, and only they become revisits of a smaller
+    page with an equal payload. A revisit that is given stays one: of the first
+    response of its digest, or where there is none as it is. Digests that very
+    many records have are few; they meet their records by a broadcast, so no
+    task gets all records of one."""
+    originals = heads.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    first = originals.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
+    counts = heads.groupBy("payload_digest").agg(F.count("*").alias("n"))
+    first = written(first.join(counts, "payload_digest").where("n > 1").select("payload_digest", "n", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record")), "first")
+    most = HOT_SHARE * heads.count()
+    hot = F.broadcast(first.where(F.col("n") > most).drop("n"))  # at most 1 / HOT_SHARE rows
+    rest = heads.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(first.where(F.col("n") <= most).drop("n"), "payload_digest")
+    met = heads.join(hot, "payload_digest").unionByName(rest)
+    again = F.when(F.col("record_type") == "revisit", F.lit(True)).otherwise((F.col("page_id") > F.col("first_page")) & (F.col("payload_bytes") >= least))
+    return met.where(again).select("record_id", "first_record", "first_page")
 
 
 def resolve(spark: SparkSession, source: str, target: str, least: int = 0) -> None:
-    """Writes source's archives anew: of records with equal payloads of at least least bytes, all but the one with the smallest id become revisits.
-
-    Only headers are shuffled by digest, and the smallest id of each digest is a
-    partial aggregate, so a payload that a third of the pages has is as cheap as
-    others. Records with a null id are responses. Payloads move once, to meet
-    their decision."""
-    heads = read_archives(spark, source, payload=False).select("page_id", "payload_bytes", "payload_digest")
-    first = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    records = read_archives(spark, source, payload=True)
-    found = records.join(first.select("payload_digest", "first_id"), "payload_digest", "left")
-    again = (F.col("page_id") != F.col("first_id")) & (F.col("payload_bytes") >= least)
-    text = F.col("payload").cast("string")
-    refers = F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\n"))
-    args = (F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"))
-    value = F.when(F.coalesce(again, F.lit(False)), _record("revisit", *args, F.lit(""), refers)).otherwise(_record("response", *args, text, F.lit("")))
-    write_archives(found.select(value.alias("value")), target)
+    """Writes source's archives anew, under fresh record ids and dates: of responses with equal payloads of at least least bytes, all but the one with the smallest page id become revisits of it.
+
+    Headers alone are shuffled by digest. Payloads move once, by record id, to
+    meet their decision, so no payload is a hot key. Records with a null page id
+    stay what they are. Revisits in source keep pointing at the response of
+    their digest, and at what they pointed at where source has none."""
+    heads = written(read_archives(spark, source, payload=False).withColumn("fresh", F.uuid()), "heads")
+    # fresh ids are drawn once, so that a revisit can name the record it refers to
+    decided = decisions(heads.select("record_id", "page_id", "payload_bytes", "payload_digest", "record_type"), least)
+    named = decided.join(heads.select(F.col("record_id").alias("first_record"), F.col("fresh").alias("first_fresh")), "first_record")
+    marked = heads.select("record_id", "fresh").join(named.select("record_id", "first_fresh", "first_page"), "record_id", "left")
+    found = read_archives(spark, source, payload=True).join(marked, "record_id")
+    again = F.col("first_fresh").isNotNull()
+    given = F.col("record_type") == "revisit"
+    kind = F.when(again | given, F.lit("revisit")).otherwise(F.col("record_type"))
+    body = F.when(again | given, F.lit("")).otherwise(F.col("payload").cast("string"))
+    record = _record(kind, F.col("fresh"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.lit(now()), body, F.coalesce("first_fresh", "refers_record"), F.coalesce("first_page", "refers_to"))
+    write_archives(found.select(record.alias("value")), target)
+    forget(heads)
 
 
 def warc_roundtrip(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes pages to folder/fetched, resolves revisits into folder/resolved and returns what that holds.
 
     Empty tables give no archives and no rows. Rows with one id and one payload
-    are responses all, as none has a smaller id than another."""
+    are responses all, as none has a smaller id than another. Extra columns of
+    pages play no part."""
     spark = pages.sparkSession
     write_pages(pages, f"{folder}/fetched", id_col, url_col, payload_col)
     resolve(spark, f"{folder}/fetched", f"{folder}/resolved", least)
@@ -130,5 +172,6 @@ def warc_roundtrip(pages: DataFrame, folder: str, least: int = 0, id_col: str =
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """warc_roundtrip() of all pages in the cluster's shared folder; null and empty payloads are equal ones of no bytes."""
     found = warc_roundtrip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -313,3 +313,46 @@ def test_components_of_a_star(spark):
     for c in got.values():
         sizes[c] += 1
     assert sizes[0] == sum(s.find(n) == 0 for n in s.up)
+
+
+def test_warc_revisits_in_the_source(spark, tmp_path):
+    """A given revisit never becomes a response; one without an original stays as it is; foreign archives lack the X- headers."""
+    record = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:{}>\r\nWARC-Date: 2001-01-01T00:00:00Z\r\nWARC-Target-URI: http://x/\r\nWARC-Payload-Digest: sha1:{}\r\n{}Content-Length: {}\r\n\r\n{}"
+    pages = lambda k: f"X-Page-Id: {k}\r\nX-Payload-Length: 4\r\n"
+    given = [
+        record.format("revisit", "r1", "AAAA", pages(1) + "WARC-Refers-To: <urn:uuid:gone>\r\nX-Refers-To-Page: 77\r\n", 0, ""),
+        record.format("response", "r5", "AAAA", pages(5), 4, "body"),
+        record.format("response", "r9", "AAAA", pages(9), 4, "body"),
+        record.format("revisit", "r2", "BBBB", pages(2) + "WARC-Refers-To: <urn:uuid:gone>\r\nX-Refers-To-Page: 77\r\n", 0, ""),
+        record.format("response", "f1", "CCCC", "", 11, "a\r\n\r\nb\r\n\r\nc"),
+    ]
+    warc.write_archives(spark.createDataFrame([(x,) for x in given], "value string").coalesce(1), f"file://{tmp_path}/in")
+    warc.resolve(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = {(r.page_id, r.payload_digest): r for r in warc.read_archives(spark, f"file://{tmp_path}/out", payload=True).collect()}
+    kinds = {k: (r.record_type, r.refers_to, bytes(r.payload)) for k, r in got.items()}
+    assert kinds == {
+        (1, "AAAA"): ("revisit", 5, b""), (5, "AAAA"): ("response", None, b"body"), (9, "AAAA"): ("revisit", 5, b""),
+        (2, "BBBB"): ("revisit", 77, b""), (None, "CCCC"): ("response", None, b"a\r\n\r\nb\r\n\r\nc"),
+    }
+    assert got[9, "AAAA"].refers_record == got[5, "AAAA"].record_id and got[2, "BBBB"].refers_record == "gone"
+    assert not {r.record_id for r in got.values()} & {"r1", "r5", "r9", "r2", "f1"}
+    text = "".join(gzip.open(f, "rt", newline="").read() for f in (tmp_path / "out").glob("*.gz"))
+    assert "2001-01-01" not in text
+
+
+def test_warc_hot_and_long_payloads(spark, tmp_path):
+    """A third of all rows share a payload; pages of some megabytes; columns with clashing names."""
+    pages = [(k, "u", "same" if k % 3 == 0 else f"own {k}") for k in range(900)] + [(1000, "u", "\r\n\r\n" * 400_000), (1001, "u", "x" * 3_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: warc.F.lit("clash") for c in ("record_id", "fresh", "body", "n", "first", "payload_digest")})
+    got = {r.page_id: r for r in warc.warc_roundtrip(df, f"file://{tmp_path}/w").collect()}
+    assert len(got) == len(pages) and all((r.record_type, r.refers_to) == (("revisit", 0) if k and k < 900 and k % 3 == 0 else ("response", None)) for k, r in got.items())
+    assert got[1000].payload_bytes == 1_600_000 and got[1001].payload_bytes == 3_000_000
+
+
+def test_warc_line_ends(spark, tmp_path):
+    """Payloads of carriage returns and line feeds in any order, also at their ends."""
+    rng = random.Random(23)
+    pages = [(k, "u", "".join(rng.choice(["\r", "\n", "\r\n", "x", "\r\n\r\n"]) for _ in range(rng.randint(0, 12)))) for k in range(600)]
+    warc.warc_roundtrip(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    back = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w/fetched", payload=True).collect()}
+    assert back == {k: t for k, _, t in pages}
