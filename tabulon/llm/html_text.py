@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,11 +17,10 @@ from .common import table, written
 #: Pages of one host that a template is deduced from, about: larger hosts are dealt to several groups.
 GROUP_PAGES = 150
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
+_EDGE = re.compile("[>\"']")
+#: Elements whose content is no markup of the page, with what ends them.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea select svg iframe title".split()}
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that hold blocks, elements that end a block, and elements that can't hold anything.
 _HOLDERS = frozenset("html head body article main section div nav header footer aside form ul ol dl table figure blockquote details dialog menu".split())
@@ -51,6 +51,42 @@ def text_token(block: Block) -> str:
     return f"{block.path} \0{block.text}"
 
 
+def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Tags (start, end, name, if closing, attributes) and what holds no text of the page (its name is None), in one pass.
+
+    Quotes hide what they enclose from a tag's end. Where a tag's quotes don't
+    close before the page ends, quotes hide nothing from there on; a tag
+    without an end is none."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        if at > last or page.startswith("<!--", at):
+            if (at := page.find("<!--", at)) < 0:
+                return
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, None, False, ""
+        elif not (m := _NAME.match(page, at)):
+            end = at + 1
+        elif not m[1] and (stop := _RAW.get(m[2].lower())):
+            found = stop.search(page, page.find(">", at))
+            end = found.end() if found else len(page)
+            yield at, end, None, False, ""
+        else:
+            end = m.end()
+            while quotes and (edge := _EDGE.search(page, end)):
+                end = edge.end() if edge[0] == ">" else page.find(edge[0], edge.end()) + 1
+                if edge[0] == ">" or not end:
+                    break
+            if not quotes or not end or page[end - 1] != ">" or end == m.end():
+                quotes = False
+                end = page.find(">", m.end()) + 1
+            yield at, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        at = end
+
+
 def read(page: str) -> tuple[list[str], list[Block]]:
     """The page's tokens (tags with the holders around them, blocks, and their words), and its text blocks; blocks know how many tokens are before them."""
     tokens: list[str] = []
@@ -72,16 +108,15 @@ def read(page: str) -> tuple[list[str], list[Block]]:
         text, link = [], 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, name, closing, attributes in pieces(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if in_link:
                 link += len(piece)
-        at = m.end()
-        if m[3] is None:
+        at = end
+        if name is None:
             continue
-        name, closing = m[3].lower(), bool(m[2])
         if name == "a":
             in_link = max(0, in_link + (-1 if closing else 1))
         if name in _INLINE:
@@ -99,7 +134,7 @@ def read(page: str) -> tuple[list[str], list[Block]]:
                         del stack[k:]
                         break
             else:
-                marks = " ".join(sorted({(a or b or c).strip().lower() for a, b, c in _MARK.findall(m[4])})) if m[4] else ""
+                marks = " ".join(sorted({(a or b or c).strip().lower() for a, b, c in _MARK.findall(attributes)})) if attributes else ""
                 path = f"{holder[1]}/{name}" + (f".{marks}" if marks else "")
                 in_article = holder[3] or (name in ("article", "main") and not holder[2])
                 # an article's own head still holds its title
@@ -251,7 +286,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages meet by host; a host of more than group_pages pages is dealt to
     several groups by a hash of the page, each with a template of its own, so
     no group grows with its host. A page alone in its group, or without a host,
-    is judged by its own elements. Null html is empty."""
+    is judged by its own elements. Null html is empty. Equal pages of a group
+    get equal texts; rows with a null or repeated page_id come back as often."""
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     shaped = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     large = shaped.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("groups"))
@@ -270,4 +306,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of all pages; an empty table gives no rows."""
     return extract(table(spark, sf_dir, "pages"))

@@ -19,6 +19,8 @@ A k-mer that more than HOT_GROUPS groups have (a passage of a third of all
 documents) could bring a bucket more contexts than it can hold. Its strings go
 one by one instead, each distinct one once for a group, to buckets by their
 hash: as many rows as groups at most share a string, whatever stands around it.
+What a group sends to a bucket is one row of many keys, and buckets answer only
+where a key is shared, so rows never outnumber keys, however many buckets are.
 A document's text is shuffled once, by group; that exchange serves all passes.
 """
 
@@ -41,6 +43,8 @@ LEAST = 50
 KMER = 16
 #: Bytes of text in a group of documents, and in the sample that splitters come from.
 GROUP_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 20
+#: Splitters at most. Where the input needs more buckets, each range between two of them is dealt to several by the hash of the k-mer.
+SPLITTERS = 1023
 #: Groups that may share a k-mer before its strings are dealt out one by one.
 HOT_GROUPS = 512
 SIDE = LEAST - KMER  # how far strings around an anchor reach to either side of its k-mer
@@ -48,6 +52,21 @@ WIDTH = KMER + 2 * SIDE
 _SIGN = np.uint64(1 << 63)
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """Where suffixes go: by their leading bytes to a range, in it by the hash of their k-mer to one of its parts."""
+
+    splitters: np.ndarray
+    parts: int
+
+    @property
+    def n(self) -> int:
+        return (len(self.splitters) + 1) * self.parts
+
+    def of(self, lead: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.splitters, lead, "right") * self.parts + ((h >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
+
+
 @dataclass
 class Anchors:
     at: np.ndarray  # places in the part's bytes
@@ -109,9 +128,9 @@ def parts(group: pa.Table) -> list[Part]:
     return [Part(i, offsets, data, anchors(data, offsets), docs[i:j]) for i, j, offsets, data in byte_parts(group.column("text"))]
 
 
-def keys(group: list[Part], splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys(group: list[Part], to: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (bucket, k-mer hash) of a group, in order, and if they stand in several of its documents."""
-    pieces = [(np.searchsorted(splitters, p.found.lead, "right"), p.found.hash, p.docs[p.found.row]) for p in group]
+    pieces = [(to.of(p.found.lead, p.found.hash), p.found.hash, p.docs[p.found.row]) for p in group]
     if not pieces:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     bucket, h, doc = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -192,7 +211,7 @@ def _chosen(h: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
 
 
-def windows(found: list[tuple[Part, np.ndarray, np.ndarray]], groups: int) -> Windows:
+def windows(found: list[tuple[Part, np.ndarray, np.ndarray]], n: int) -> Windows:
     """All strings of LEAST bytes that hold the anchors found, none beyond its row."""
     starts, texts, docs = [], [], []
     for p, at, row in found:
@@ -211,32 +230,32 @@ def windows(found: list[tuple[Part, np.ndarray, np.ndarray]], groups: int) -> Wi
     if not sum(map(len, texts)):
         return Windows(empty, np.empty((0, 56), np.uint8), empty, [empty for _ in found], starts)
     text, doc = np.concatenate(texts), np.concatenate(docs)
-    bucket = groups + (row_hash(text) % np.uint64(groups)).astype(np.int64)
+    bucket = n + (row_hash(text) % np.uint64(n)).astype(np.int64)
     head, which = distinct(text, doc, bucket)
     return Windows(bucket[head], text[head], doc[head], np.split(which, np.cumsum([len(x) for x in texts])[:-1]), starts)
 
 
-def suffixes(group: list[Part], splitters: np.ndarray, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray], groups: int) -> Suffixes:
+def suffixes(group: list[Part], to: Buckets, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray]) -> Suffixes:
     """shared and hot: for each bucket, which of the group's keys there stand in several documents, and in very many groups."""
-    bucket, h, _ = keys(group, splitters)
+    bucket, h, _ = keys(group, to)
     one_by_one = [h[s][hot[b][: s.stop - s.start]] for b, s in _blobs(bucket) if b in hot]
     together = [h[s][(shared[b] & ~hot.get(b, np.zeros_like(shared[b])))[: s.stop - s.start]] for b, s in _blobs(bucket) if b in shared]
-    places, rows, docs, leads, everywhere = [], [], [], [], []
+    places, rows, docs, at_buckets, everywhere = [], [], [], [], []
     for p in group:
         hit = _chosen(p.found.hash, together)
         at, row = p.found.at[hit], p.found.row[hit]
         places.append((p, at, row))
         rows.append(contexts(p, at, row))
         docs.append(p.docs[row])
-        leads.append(p.found.lead[hit])
+        at_buckets.append(to.of(p.found.lead[hit], p.found.hash[hit]))
         hit = _chosen(p.found.hash, one_by_one)
         everywhere.append((p, p.found.at[hit], p.found.row[hit]))
-    single = windows(everywhere, groups)
+    single = windows(everywhere, to.n)
     if not sum(map(len, rows)):
         empty = np.empty(0, np.int64)
         return Suffixes(empty, np.empty((0, -(-(WIDTH + 2) // 8) * 8), np.uint8), empty, [empty for _ in places], places, single)
     context, doc = np.concatenate(rows), np.concatenate(docs)
-    at_bucket = np.searchsorted(splitters, np.concatenate(leads), "right")
+    at_bucket = np.concatenate(at_buckets)
     head, which = distinct(context, doc, at_bucket)
     return Suffixes(at_bucket[head], context[head], doc[head], np.split(which, np.cumsum([len(x) for x in rows])[:-1]), places, single)
 
@@ -332,10 +351,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of LEAST bytes that covers it also starts in a
     document with a smaller doc_id. Null texts are empty. Rows with one doc_id
-    are one document: they don't cut each other. A null doc_id counts as smaller
-    than any other."""
+    are one document: they don't cut each other, and are dealt out one by one.
+    A null doc_id counts as the smallest number there is."""
     spark = docs.sparkSession
-    clean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    clean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("own"), *(F.col(c).alias(f"_{c}") for c in carry))
     total = clean.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     groups = max(1, -(-total // GROUP_BYTES))
     every = max(1, total // SAMPLE_BYTES)
@@ -348,15 +367,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     if groups > 1:
         sample = clean.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).select("text").mapInArrow(leads, "lead long")
-        at = sample.agg(F.percentile_approx("lead", [k / groups for k in range(1, groups)], 10_000)).first()[0] or []
+        ranges = min(groups, SPLITTERS + 1)
+        at = sample.agg(F.percentile_approx("lead", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
         splitters = np.unique(np.array(at, np.int64).view(np.uint64) ^ _SIGN)
     else:
         splitters = np.empty(0, np.uint64)
+    to = Buckets(splitters, -(-groups // (len(splitters) + 1)))
 
-    grouped = clean.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "*").repartition(groups, "g")
+    # rows of one doc_id go apart, as it may be null in very many
+    grouped = clean.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "*").repartition(groups, "g")
 
     def send_keys(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, h, many = keys(parts(ordered(group)), splitters)
+        bucket, h, many = keys(parts(ordered(group)), to)
         blobs = [(b, h[s].tobytes(), np.packbits(many[s]).tobytes()) for b, s in _blobs(bucket)]
         return pa.table({"bucket": pa.array([x[0] for x in blobs], pa.int64()), "g": pa.array([key[0].as_py()] * len(blobs), pa.int64()), "hashes": pa.array([x[1] for x in blobs], pa.binary()), "many": pa.array([x[2] for x in blobs], pa.binary())})
 
@@ -378,10 +400,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cut = np.cumsum([0, *map(len, lists)])
         out = []
         for g, b, i, j in zip(group.column("g").to_pylist(), group.column("bucket").to_pylist(), cut[:-1], cut[1:], strict=True):
-            out.append((g, b, 0, np.packbits(shared[i:j]).tobytes()))
+            if shared[i:j].any():  # most keys are one group's, and need no answer
+                out.append((g, b, 0, np.packbits(shared[i:j]).tobytes()))
             if hot[i:j].any():
                 out.append((g, b, 2, np.packbits(hot[i:j]).tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["g", "bucket", "kind", "data"])
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["g", "bucket", "kind", "data"])
 
     def taken(answers: pa.Table, kind: int) -> dict[int, bytes]:
         chosen = answers.filter(pc.equal(answers.column("kind"), kind))
@@ -394,7 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return tuple({b: as_bits(x) for b, x in taken(answers, kind).items()} for kind in (0, 2))
 
     def send_suffixes(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        s = suffixes(parts(ordered(group)), splitters, *found(answers), groups)
+        s = suffixes(parts(ordered(group)), to, *found(answers))
         blobs = [(b, _pack(s.context[x]), _pack(s.doc[x])) for b, x in _blobs(s.bucket)]
         blobs += [(b, _pack(s.windows.text[x]), _pack(s.windows.doc[x])) for b, x in _blobs(s.windows.bucket)]
         g = key[0].as_py()
@@ -403,13 +426,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def answer_suffixes(key: tuple, group: pa.Table) -> pa.Table:
         doc = [_unpack(x.as_py(), np.int64) for x in group.column("docs")]
         context = np.concatenate([_unpack(x.as_py(), np.uint8) for x in group.column("contexts")]).reshape(sum(map(len, doc)), -1)
-        mask = (repeated if key[0].as_py() < groups else beaten)(context, np.concatenate(doc))
+        mask = (repeated if key[0].as_py() < to.n else beaten)(context, np.concatenate(doc))
         cut = np.cumsum([0, *map(len, doc)])
         return pa.table({"g": group.column("g"), "bucket": group.column("bucket"), "kind": pa.array([1] * len(doc), pa.int32()), "data": pa.array([_pack(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     def cut(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         group = ordered(group)
-        s = suffixes(parts(group), splitters, *found(answers), groups)
+        s = suffixes(parts(group), to, *found(answers))
         masks = taken(answers, 1)
         lost = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.windows.bucket)]) > 0 if len(s.windows.bucket) else np.empty(0, bool)
         mask = np.concatenate([_unpack(masks[b], np.uint64) for b, _ in _blobs(s.bucket)]) if len(s.bucket) else np.empty(0, np.uint64)
@@ -442,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left_over = p.data[a:b][~gone[a:b]].tobytes()
                 sha.append(hashlib.sha256(left_over).hexdigest())
                 kept.append(left_over if with_text else None)
-        out = {"doc_id": group.column("doc_id"), "n_bytes": pc.cast(pc.binary_length(group.column("text")), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        out = {"doc_id": group.column("own"), "n_bytes": pc.cast(pc.binary_length(group.column("text")), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}) | {c: group.column(f"_{c}") for c in carry})
 
     blob = "bucket long, g long, hashes binary, many binary"
@@ -451,9 +474,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(send_suffixes, "bucket long, g long, contexts binary, docs binary")
     decided = sent.groupBy("bucket").applyInArrow(answer_suffixes, answer)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + carried(docs, carry)
-    out = grouped.groupBy("g").cogroup(shared.unionByName(decided).groupBy("g")).applyInArrow(cut, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return grouped.groupBy("g").cogroup(shared.unionByName(decided).groupBy("g")).applyInArrow(cut, schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() of all documents; an empty table gives no rows."""
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -356,3 +356,47 @@ def test_warc_line_ends(spark, tmp_path):
     warc.warc_roundtrip(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w/fetched", payload=True).collect()}
     assert back == {k: t for k, _, t in pages}
+
+
+def test_html_tags_in_one_pass(spark):
+    """Unclosed tags and quotes take no longer than their length; all of a very long page is read."""
+    import time
+
+    for page in ("<script " * 4000, "<a '" * 8000, '<a ">" ' * 6001, "<" * 30_000, "<!-- " * 6000, "<p x='" + '"' * 30_000, "<![" * 10_000 + ">"):
+        began = time.process_time()
+        html_text.read(page)
+        assert time.process_time() - began < 0.1
+    text = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, "http://a/", f"<article><p>{text}</p></article>"), (None, "http://a/", "<p>x"), (None, "http://a/", "<p>x"), (2, "http://b/", "<p title='a > b'>kept</p><p title='open>after</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: warc.F.lit("clash") for c in ("host", "part", "text", "n_chars", "n", "groups")})
+    got = Counter((r.page_id, r.text) for r in html_text.extract(df).collect())
+    assert got == Counter({(1, text): 1, (None, "x"): 2, (2, "kept after"): 1})
+
+
+def test_cells_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 8)
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 1 << 63))
+    fps = np.array(sorted({base ^ int(np.bitwise_xor.reduce(1 << rng.integers(0, 20, rng.integers(0, 9)).astype(np.int64), initial=0)) for _ in range(400)}), np.uint64)
+    s, own = Sets(), Sets()
+    for i in range(len(fps)):
+        s.find(i), own.find(i)
+        for j in range(i):
+            if int(fps[i] ^ fps[j]).bit_count() <= 3:
+                s.join(i, j)
+    links = simhash.forest(fps, np.arange(len(fps)), 3)
+    for a, b in links:
+        assert int(fps[a] ^ fps[b]).bit_count() <= 3
+        own.join(a, b)
+    assert [own.find(k) for k in range(len(fps))] == [s.find(k) for k in range(len(fps))] and len(links) < len(fps)
+
+
+def test_suffixes_of_very_long_texts(spark, monkeypatch):
+    """Texts over 50,000 characters, a third of all rows without an id, a range dealt to several buckets."""
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 60_000)
+    monkeypatch.setattr(suffixes, "SPLITTERS", 2)
+    rng = random.Random(31)
+    long = odd.prose(rng, 20_000)
+    data = [(1, long), (2, odd.prose(rng, 3000) + long[40_000:90_000]), (-(1 << 63), long[:300]), (None, long[50:200])] + [(None, odd.prose(rng, 30)) for _ in range(30)] + [(k, odd.prose(rng, 40)) for k in range(10, 60)]
+    got = suffixes.remove_repeats(odd.documents(spark, data))
+    assert Counter(tuple(r) for r in got.collect()) == removed([(k, t.encode()) for k, t in data])
