@@ -1,33 +1,63 @@
-"""A corpus pipeline over documents: each stage reads what the one before it wrote."""
+"""A corpus pipeline over documents: each stage reads what the one before it wrote.
+
+Decisions are taken back to rows by their key: doc_id, which may be null or
+repeated, with 128 bits of the text's hashes. So a row without an id is decided
+like any other, and of two texts with one id each has its own decision.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.bpe import bpe_tokens
-from tabulon.llm.common import table, written
+from tabulon.llm.common import forget, table, written
 from tabulon.llm.decontamination import contaminated
 from tabulon.llm.language_id import held_out, learn, predict
 from tabulon.llm.simhash import near_duplicates
 from tabulon.llm.suffixes import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEY = ("key_a", "key_b")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("key_a"), F.xxhash64("text", F.lit(1)).alias("key_b"))
+
+
+def beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of docs (keyed) whose key is in found (left_semi), or isn't (left_anti)."""
+    other = found.select(*(F.col(c).alias(f"other_{c}") for c in ("doc_id", *KEY)))
+    same: Column = F.col("doc_id").eqNullSafe(F.col("other_doc_id"))
+    for c in KEY:
+        same = same & (F.col(c) == F.col(f"other_{c}"))
+    return docs.join(other, same, how)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the stage's input names; those without letters, or as near to two languages, go."""
+    """Documents in one of the languages that the stage's input names; those without letters, or as near to two languages, go. Where the input names no language, none is known and all go."""
+    docs = docs.select(*COLUMNS)
     learned = docs.where(~held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull())
     found = predict(docs, learn(learned), carry=COLUMNS[1:])
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest doc_id. Documents without a doc_id stay."""
-    found = near_duplicates(docs)
-    # a table of its own, so that its size is known before texts are joined: they needn't be shuffled for few ids
-    others = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of the rows that near-duplicate links connect, the one with the smallest doc_id; of equal ids, that with the smallest key; a row without an id only where none has one. Of rows that repeat id and text, one."""
+    shaped = keyed(docs)
+    found = written(near_duplicates(shaped, carry=KEY).select("doc_id", "group", *KEY), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *KEY)
+    several = found.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
+    met = found.join(several, "group")
+    # tables of their own, so that their size is known before texts are joined: they needn't be shuffled for few keys
+    others = written(met.where(place != F.col("best")).select("doc_id", *KEY).distinct(), "near-copies")
+    again = written(met.where(place == F.col("best")).groupBy("doc_id", *KEY).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    kept = beside(shaped, others, "left_anti")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    # a text in a struct is compared last, after all that may differ between rows that repeat it
+    one = beside(kept, again, "left_semi").groupBy("doc_id", *KEY).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("first"))
+    return beside(kept, again, "left_anti").select(*COLUMNS).unionByName(one.select("doc_id", "first.*").select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +65,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = remove_repeats(docs, with_text=True, carry=("lang", "source"))
     left = found.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
     # invalid UTF-8 is what is left of a cut character: U+FFFD marks it, and no other text has been given new ones
-    valid = F.expr("coalesce(try_validate_utf8(cast(kept as string)), replace(make_valid_utf8(cast(kept as string)), '\ufffd', ''))")
+    valid = F.expr("coalesce(try_validate_utf8(cast(kept as string)), replace(make_valid_utf8(cast(kept as string)), '�', ''))")
     return left.select("doc_id", valid.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    shaped = keyed(docs)
+    found = written(contaminated(shaped, table(spark, sf_dir, "benchmark"), carry=KEY).select("doc_id", *KEY).distinct(), "leaks")
+    return beside(shaped, found, "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +93,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage wrote goes when the next one has read it; empty tables give no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{k + 1}")
+            if k:
+                forget(before)
     return docs
