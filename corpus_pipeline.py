@@ -48,11 +48,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = written(near_duplicates(shaped, carry=KEY).select("doc_id", "group", *KEY), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *KEY)
     several = found.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
-    met = found.join(several, "group")
-    # tables of their own, so that their size is known before texts are joined: they needn't be shuffled for few keys
-    others = written(met.where(place != F.col("best")).select("doc_id", *KEY).distinct(), "near-copies")
-    again = written(met.where(place == F.col("best")).groupBy("doc_id", *KEY).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    kept = beside(shaped, others, "left_anti")
+    judged = written(found.join(several, "group", "left").select("doc_id", *KEY, F.coalesce(place != F.col("best"), F.lit(False)).alias("lost"), F.col("n").isNotNull().alias("shared")), "judged")
+    # most ids that go have no row that stays: ids alone make a small table, whose size is known before texts are joined, so they needn't be shuffled for few of them
+    ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.min("lost").alias("lost")).where("lost").select("doc_id")
+    ids = written(ids, "near-copies")
+    others = written(judged.where("lost").join(ids, "doc_id", "left_anti").select("doc_id", *KEY).distinct(), "other-copies")
+    again = written(judged.where("shared and not lost").groupBy("doc_id", *KEY).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    kept = beside(shaped.join(ids, "doc_id", "left_anti"), others, "left_anti")
     if again.isEmpty():
         return kept.select(*COLUMNS)
     # a text in a struct is compared last, after all that may differ between rows that repeat it
