@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,4 +83,26 @@ def signature(content: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in {"png": "89504E470D0A1A0A%", "jpeg": "FFD8FF%", "gif": "47494638%", "pdf": "25504446%", "tiff": "49492A00%", "bmp": "424D%", "webp": "52494646________57454250%"}.items():
         out = F.when(head.like(pattern), kind).otherwise(out)
-    return out
+    out = F.when(head.like("4D4D002A%"), "tiff").otherwise(out)
+    start = F.lower(F.encode(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "UTF-8").cast("string"))
+    return F.when(out.isNull() & start.rlike(r"^\s*(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)?<svg[\s>]"), "svg").otherwise(out)
+
+
+def image_allowed(content: Column, name: Column, allowed: tuple[str, ...] = ("png", "jpeg", "webp")) -> Column:
+    """If a file's first bytes show one of the allowed kinds and its name ends as that kind's does."""
+    kind, suffix = signature(content), F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(kind.isin(*allowed) & (F.when(suffix == "jpg", "jpeg").otherwise(suffix) == kind), F.lit(False))
+
+
+def with_record_hash(df: DataFrame, name: str = "record_sha256") -> DataFrame:
+    """Adds the SHA-256 of each row's canonical JSON: its columns by name, without the hash itself."""
+    return df.withColumn(name, record_hash(df, name))
+
+
+def record_hash(df: DataFrame, name: str = "record_sha256") -> Column:
+    return F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c != name)), {"ignoreNullFields": "false"}), 256)
+
+
+def record_hash_status(df: DataFrame, name: str = "record_sha256") -> Column:
+    """'valid', 'invalid' where the row isn't what was hashed, 'missing' without a hash."""
+    return F.when(F.col(name).isNull(), "missing").when(F.col(name) == record_hash(df, name), "valid").otherwise("invalid")

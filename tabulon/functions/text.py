@@ -184,3 +184,25 @@ def clean_generated(c: Column, prefixes: tuple[str, ...]) -> Column:
 
     first = F.coalesce(F.array_position(F.transform(lines, boilerplate), F.lit(False)), F.lit(0))
     return F.when(first == 0, c).otherwise(F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(lines), F.lit(1))), " "))
+
+
+def fixed(c: Column, digits: int, signed: bool = False) -> Column:
+    """A number to so many places, with a sign if asked for; what rounds to zero has none."""
+    shown = F.format_string(f"%.{digits}f", F.abs(c))
+    zero = F.lit("0." + "0" * digits if digits else "0")
+    sign = F.when(shown == zero, "").when(c < 0, "-").otherwise("+" if signed else "")
+    return F.concat(sign, shown)
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c.cast("long"), 0)
+
+
+def interval(mean: Column, low: Column, high: Column, n: Column, digits: int = 4) -> Column:
+    """mean [low, high]; n=count."""
+    return F.concat(fixed(mean, digits), F.lit(" ["), fixed(low, digits), F.lit(", "), fixed(high, digits), F.lit("]; n="), n.cast("string"))
+
+
+def count_share(n: Column, of: Column, digits: int = 1) -> Column:
+    """count (per cent), or count alone of nothing."""
+    return F.when(of == 0, n.cast("string")).otherwise(F.concat(n.cast("string"), F.lit(" ("), fixed(100 * n / of, digits), F.lit("%)")))

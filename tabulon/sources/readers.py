@@ -35,6 +35,11 @@ def json_document(spark: SparkSession, path: str, field: str | None = None) -> D
     return d.select(F.explode(field).alias("r")).select("r.*") if field else d
 
 
+def merged_parts(spark: SparkSession, path: str) -> DataFrame:
+    """All parts that writers.parts made, as one table with each row's part and its position in the part's file: sorting by both gives the order of writing."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("position"))
+
+
 def mixed_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Lines that are records or lists of records, with their file and place in it; others are left out."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
@@ -66,11 +71,12 @@ def response_contents(spark: SparkSession, path: str) -> DataFrame:
     return got.where("custom_id is not null and length(trim(content)) > 0")
 
 
-def markdown_table(spark: SparkSession, path: str, cells: int) -> DataFrame:
-    """Rows of a Markdown table with that many cells, as an array; the header's rule is left out."""
+def markdown_table(spark: SparkSession, path: str, cells: int, header: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a Markdown table with that many cells, as an array, without the header and its rule."""
     rows = spark.read.text(path).where(F.ltrim("value").startswith("|"))
     row = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    return rows.select(row.alias("cells")).where((F.size("cells") == cells) & ~F.get("cells", 0).rlike("^:?-+:?$"))
+    found = rows.select(row.alias("cells")).where((F.size("cells") == cells) & ~F.get("cells", 0).rlike("^:?-+:?$"))
+    return found.where(F.col("cells") != F.array(*map(F.lit, header))) if header else found
 
 
 def files(spark: SparkSession, root: str, without: tuple[str, ...] = ()) -> DataFrame:

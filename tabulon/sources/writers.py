@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
@@ -22,8 +23,8 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def parts(df: DataFrame, path: str, index: str, size: int) -> None:
-    """Parts of `size` consecutive index values, a folder each."""
-    df.withColumn("part", F.floor(F.col(index) / size)).repartition("part").write.partitionBy("part").mode("overwrite").parquet(path)
+    """Parts of `size` consecutive index values in their order, a folder each."""
+    df.withColumn("part", F.floor(F.col(index) / size)).repartition("part").sortWithinPartitions("part", index).write.partitionBy("part").mode("overwrite").parquet(path)
 
 
 def matrix(df: DataFrame, path: str, order: str) -> None:
@@ -52,6 +53,20 @@ def markdown(df: DataFrame, order: list[str], most: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)]) + "\n"
 
 
+def delimited_digest(df: DataFrame, path: str, order: list[str], sep: str = "\t") -> str:
+    """As delimited, and a SHA-256 of what was written: of the digests of its files in the order of their names."""
+    delimited(df, path, order, sep)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    digests = files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("k"), F.sha2("content", 256).alias("sha")).orderBy("k").collect()
+    return hashlib.sha256("".join(r.sha for r in digests).encode()).hexdigest()
+
+
+def like_container(df: DataFrame, order: list[str], path: str, container: dict | list, field: str | None = None, most: int = 1000) -> None:
+    """A small result in the shape its source had: a list, or a mapping whose other entries stay and whose field holds the rows."""
+    rows = [dict(zip(df.columns, r, strict=True)) for r in _few(df, order, most)]
+    atomic(path, json.dumps(rows if isinstance(container, list) else container | {field: rows}, indent=2, ensure_ascii=False, default=str) + "\n")
+
+
 def rendered(template: str, rows: list[str]) -> str:
     """A template with @@ROW_i@@ for each row: counts must match."""
     for k, row in enumerate(rows):
@@ -85,3 +100,6 @@ def atomic(path: str, text: str) -> None:
         f.flush()
         os.fsync(f.fileno())
     os.replace(new, path)
+    held = os.open(os.path.dirname(os.path.abspath(path)), os.O_RDONLY)  # so that the new name lasts too
+    os.fsync(held)
+    os.close(held)
