@@ -207,7 +207,8 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array of int; if with_ids), and the columns to carry.
 
     A null text is encoded as an empty one. path names the tokenizer file on
-    every executor. Rows keep their partition; nothing is shuffled."""
+    every executor. Rows keep their partition; nothing is shuffled. Null ids and
+    repeated rows come back as they are."""
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in schema.split(", ")] + list(carry)
@@ -234,4 +235,5 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bpe_tokens() of all documents without the ids; an empty table gives no rows."""
     return bpe_tokens(table(spark, sf_dir, "documents"), with_ids=False)

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, byte_class, byte_parts, shingle_hashes, span_hashes, spans, table
 from .language_id import held_out
 
-#: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id, but for texts of more characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 50_000
+#: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id, but for texts of more characters, and only so many bytes of all.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_BYTES = 6000, 50_000, 64 << 20
 BITS = 18
 EPOCHS = 3
 #: Learning rate, its smoothing, and the L1 and L2 weights of the updates.
@@ -81,17 +81,23 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS, see
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """The bounded sample that the driver fits on. A doubly labelled or repeated document counts each time."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """The bounded sample that the driver fits on, at most `most` rows and most_bytes of text.
+
+    Null labels and ids are left out; a null text is empty. A doubly labelled or
+    repeated document counts each time, as far as the sample goes. Without
+    labels the sample is empty."""
     few = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
     few = few.orderBy(F.xxhash64(id_col), F.col(id_col), "_y").limit(most)
     found = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(few), id_col)
-    usable = found.where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS)
-    return [(r._t or "", r._y) for r in usable.orderBy(F.xxhash64(id_col), id_col, "_y", "_t").collect()]
+    order = [F.xxhash64(id_col), F.col(id_col), F.col("_y"), F.col("_t")]
+    usable = found.where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).orderBy(*order).limit(most)
+    size = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return [(r._t or "", r._y) for r in usable.withColumn("_size", size).where(F.col("_size") <= most_bytes).orderBy(*order).collect()]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, score, predicted. Whole texts count; an empty or null text gets the bias alone."""
+    """Per row: doc_id, score, predicted. Whole texts count; an empty or null text gets the bias alone. Equal texts get equal scores; null ids and repeated rows come back as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats, whatever the input
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +114,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a model of those labelled rows whose remainder isn't 0; without any, all scores are 0.5."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     learned = labels.where(~held_out("doc_id", 5, 0))
     model = fit(training_rows(docs, learned, "doc_id", "text", "quality"))

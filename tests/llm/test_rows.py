@@ -234,3 +234,25 @@ def test_classifier_on_odd_rows(spark):
 def test_repeated_rows_stay(spark):
     n = Counter(k for k, _ in odd.rows())
     assert Counter(r.doc_id for r in bpe.bpe_tokens(odd.documents(spark), with_ids=False).collect()) == n
+
+
+def test_training_rows(spark):
+    """Nulls, labels given twice, repeated documents, long texts and no labels at all; bounds hold."""
+    docs = odd.documents(spark, [(1, "one"), (1, "one"), (2, None), (3, "three"), (None, "x"), (4, "y" * 60_000), (5, "five")]).withColumn("quality", quality_classifier.F.lit(9))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (4, 1), (6, 1)], "doc_id long, quality int")
+    rows = lambda **most: quality_classifier.training_rows(docs, labels, "doc_id", "text", "quality", **most)
+    assert Counter(rows()) == Counter({("one", 1): 2, ("one", 0): 2, ("", 0): 1})
+    assert len(rows(most=2)) <= 2 and sum(len(t) for t, _ in rows(most_bytes=7)) <= 7
+    assert quality_classifier.training_rows(docs, labels.limit(0), "doc_id", "text", "quality") == []
+    assert {r.score for r in quality_classifier.score(docs, quality_classifier.fit([])).collect()} == {0.5}
+
+
+def test_language_ties_and_nulls(spark):
+    """Rows without a text or language teach nothing; of languages with equal texts the more frequent one is named, and rejected."""
+    text = "some words that both languages have " * 20
+    learned = spark.createDataFrame([(1, text, "bb"), (2, text, "aa"), (3, text, "aa"), (None, text, "aa"), (4, None, "cc"), (5, text, None)], "doc_id long, text string, lang string")
+    dicts = language_id.learn(learned)
+    assert list(dicts) == ["aa", "bb"]
+    got = language_id.predict(odd.documents(spark, [(1, text), (1, text), (None, text)]), dicts).collect()
+    assert len(got) == 3 and {(r.lang_pred, r.rejected) for r in got} == {("aa", True)}
+    assert language_id.learn(learned.where("lang is null")) == {}
