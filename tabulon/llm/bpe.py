@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, table
+from .common import carried, release, table
 
 #: Entries of each generation of a worker's caches; a cache has two. Longer words aren't kept.
 CACHED, KEPT_CHARS = 150_000, 48
@@ -230,6 +230,7 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if with_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns + piece.columns[2:], names)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(encoded, schema + carried(docs, carry))
 

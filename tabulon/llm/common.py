@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,14 @@ def carried(docs: DataFrame, columns: tuple[str, ...]) -> str:
     return "".join(f", `{c}` {kinds[c]}" for c in columns)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on, and what one operator took would count beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def byte_parts(column: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows i..j of a string column with their offsets (from 0) and UTF-8 bytes, about limit bytes a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import carried, table
+from .common import carried, release, table
 
 #: Sample that the dictionaries are made of: documents a language, characters of each at most, and bytes of each dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 64, 50_000, 64 << 10
@@ -108,6 +108,7 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", te
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_()), *batch.columns[2:]],
                 ["doc_id", "lang_pred", "score", "margin", "rejected", *carry],
             )
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(
         scored, "doc_id long, lang_pred string, score double, margin double, rejected boolean" + carried(docs, carry)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, table, written
+from .common import carried, release, table, written
 from .components import components
 
 #: The fingerprint's segments have SEGMENT bits; groups of segments are the sides of a grid cell.
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     count += np.unpackbits(h[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 out[r] = np.packbits(count * 2 > n).view(">u8")[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(hashed, "doc_id long, fp long" + carried(docs, carry))
 
@@ -171,6 +172,8 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
         if held:
             out = close()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        held.clear()
+        release()
 
     cells = prints.select("node", "fp").mapInArrow(celled, "cell long, node long, fp long")
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(linked, "a long, b long").distinct()

@@ -27,7 +27,7 @@ A document's text is shuffled once, by group; that exchange serves all passes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_parts, carried, mixed, spans, table
+from .common import byte_parts, carried, mixed, release, spans, table
 
 LEAST = 50
 KMER = 16
 #: Bytes of text in a group of documents, and in the sample that splitters come from.
-GROUP_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 20
+GROUP_BYTES, SAMPLE_BYTES = 6 << 20, 16 << 20
 #: Splitters at most. Where the input needs more buckets, each range between two of them is dealt to several by the hash of the k-mer.
 SPLITTERS = 1023
 #: Groups that may share a k-mer before its strings are dealt out one by one.
@@ -346,6 +346,26 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
+def lean(f: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """f for each group, its memory given back before the next one."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        out = f(key, group)
+        release()
+        return out
+
+    return run
+
+
+def lean2(f: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        out = f(key, group, answers)
+        release()
+        return out
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, if asked for kept (what is left, as bytes), and the columns to carry.
 
@@ -470,11 +490,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     blob = "bucket long, g long, hashes binary, many binary"
     answer = "g long, bucket long, kind int, data binary"
-    shared = grouped.groupBy("g").applyInArrow(send_keys, blob).groupBy("bucket").applyInArrow(answer_keys, answer)
-    sent = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(send_suffixes, "bucket long, g long, contexts binary, docs binary")
-    decided = sent.groupBy("bucket").applyInArrow(answer_suffixes, answer)
+    shared = grouped.groupBy("g").applyInArrow(lean(send_keys), blob).groupBy("bucket").applyInArrow(lean(answer_keys), answer)
+    sent = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lean2(send_suffixes), "bucket long, g long, contexts binary, docs binary")
+    decided = sent.groupBy("bucket").applyInArrow(lean(answer_suffixes), answer)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + carried(docs, carry)
-    return grouped.groupBy("g").cogroup(shared.unionByName(decided).groupBy("g")).applyInArrow(cut, schema)
+    return grouped.groupBy("g").cogroup(shared.unionByName(decided).groupBy("g")).applyInArrow(lean2(cut), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
