@@ -6,9 +6,9 @@ from tabulon.plans.queries import QUERIES
 from tabulon.streaming.resumable import windowed_counts
 
 #: Queries that meet a one-row aggregate, which Spark plans as a nested loop with a broadcast side.
-ONE_ROW = {"cluster_bootstrap_ci", "ratio_bootstrap_diff", "bootstrap_pvalue_bh", "bootstrap_histogram", "derangement_pairs", "derangement_validity", "unrelated_reference", "anchor_ladder", "ece_bins"}
-#: Queries with an Arrow function, as Spark has no NFKC and no BLEU.
-ARROW = {"choice_mask", "bleu_sentence"}
+ONE_ROW = {"cluster_bootstrap_ci", "ratio_bootstrap_diff", "bootstrap_pvalue_bh", "bootstrap_histogram", "derangement_pairs", "derangement_validity", "unrelated_reference", "anchor_ladder", "ece_bins", "calibration_all_bins", "freeze_check"}
+#: Queries with an Arrow function, as Spark has no NFKC and no BLEU, and one that runs a plug-in.
+ARROW = {"choice_mask", "bleu_sentence", "batch_scan"}
 
 
 def plan(df):
