@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Clusters are numbered within so many buckets, so no task numbers all of them.
 BUCKETS = 256
+#: Clusters that a task holds at a time, and clusters whose draws it makes together.
+PART_SIZE, DRAW_BLOCK = 50_000, 256
 
 
 def dense_index(df: DataFrame, key: str, name: str = "ix", buckets: int = BUCKETS) -> DataFrame:
@@ -51,6 +55,53 @@ def replicates_by(sums: DataFrame, by: list[str], cluster: str, columns: list[st
     return times.join(indexed.select(*by, "ix", *columns), [*by, "ix"]).groupBy(*by, "rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
 
 
+def _share(seed: list[int], totals: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """How many of each replicate's draws fall to part k of parts of these sizes. Halves are split by binomials
+    seeded by their place in the tree, so that every task finds the same numbers and none waits for another."""
+    ends, low, high = np.concatenate([[0], np.cumsum(sizes)]), 0, len(sizes)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(totals, (ends[mid] - ends[low]) / (ends[high] - ends[low]))
+        low, high, totals = (low, mid, left) if k < mid else (mid, high, totals - left)
+    return totals
+
+
+def multinomial_replicates(sums: DataFrame, by: list[str], cluster: str, columns: list[str], r: int, seed: int = 42, part_size: int = PART_SIZE) -> DataFrame:
+    """by, rep and the columns' totals (doubles; whole numbers are exact below 2^53) over each replicate's draws of clusters, as many as a group has.
+
+    sums has one row for each group and cluster. Draws are made where the clusters are: a group is dealt to parts of
+    about part_size clusters by a hash, a tree of binomials says how many draws each part has in each replicate, and
+    a part multiplies its counts with its sums. What is shuffled after that is r rows a part, not r rows a cluster.
+    Parts and seeds follow from the data, so a task that runs again draws the same. A null total counts as 0; rows
+    with a null group or cluster are left out."""
+    known = sums.where(" and ".join(f"{c} is not null" for c in [*by, cluster]))
+    parts = known.groupBy(*by).agg(F.ceil(F.count("*") / part_size).alias("_parts"))
+    keyed = known.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(cluster), F.col("_parts"))).select(*by, "_part", cluster, *columns)
+    sizes = keyed.groupBy(*by, "_part").agg(F.count("*").alias("n"))
+    heads = sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "n"))).alias("all"))
+    heads = heads.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("all._part").alias("ids"), F.col("all.n").alias("sizes"), F.explode("all._part").alias("_h_part"))
+
+    def totals(own: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(cluster)
+        x = own[columns].astype(float).fillna(0.0).to_numpy()
+        ids, n = np.asarray(head["ids"].iloc[0]), np.asarray(head["sizes"].iloc[0])
+        part = int(head["_h_part"].iloc[0])
+        mine = _share([seed, 0], np.full(r, n.sum()), n, int(np.searchsorted(ids, part)))
+        starts = np.arange(0, len(own), DRAW_BLOCK)
+        lengths = np.minimum(DRAW_BLOCK, len(own) - starts)
+        out = np.zeros((r, len(columns)))
+        for b, (start, m) in enumerate(zip(starts, lengths, strict=True)):
+            rep = np.repeat(np.arange(r), _share([seed, 1, part], mine, lengths, b))
+            picks = np.random.default_rng([seed, 2, part, b]).integers(0, m, rep.size)
+            out += np.bincount(rep * m + picks, minlength=r * m).reshape(r, m) @ x[start : start + m]
+        keys = {c: [own[c].iloc[0]] * r for c in by}
+        return pd.DataFrame(keys | {"rep": np.arange(r)} | {c: out[:, k] for k, c in enumerate(columns)})
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema] + ["rep int"] + [f"`{c}` double" for c in columns])
+    each = keyed.groupBy(*by, "_part").cogroup(heads.groupBy(*[f"_h_{c}" for c in by], "_h_part")).applyInPandas(totals, schema)
+    return each.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def interval(values: DataFrame, stats: dict[str, Column], level: float = 0.95) -> DataFrame:
     """statistic, low, high: percentile limits by linear interpolation, over replicates where the statistic is defined."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), c.cast("double").alias("v")) for k, c in stats.items()]))

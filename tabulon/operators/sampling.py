@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import with_rank
 from .bootstrap import dense_index
 
 
@@ -43,7 +44,8 @@ def derangement(df: DataFrame, key: str, frame: str) -> DataFrame:
 
     Rows are numbered by (frame, key) and each takes the one that is the size of
     the largest frame further on, in a circle: valid while that is at most half
-    of all rows, else frames would have to meet. Frames are numbered by buckets."""
+    of all rows, else frames would have to meet. Frames are numbered by buckets,
+    and their rows by blocks of key, an integer."""
     frames = df.groupBy(frame).agg(F.count("*").alias("size"))
     ix = dense_index(frames, frame, "frame_ix")
     buckets = frames.join(ix, frame).withColumn("block", F.floor(F.col("frame_ix") / 1024))
@@ -52,7 +54,8 @@ def derangement(df: DataFrame, key: str, frame: str) -> DataFrame:
     start = F.coalesce(F.sum("size").over(Window.partitionBy("block").orderBy("frame_ix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     offsets = buckets.join(before, "block").select(frame, start.alias("start"))
     facts = frames.agg(F.max("size").alias("shift"), F.sum("size").alias("total"))
-    placed = df.select(key, frame).join(offsets, frame).withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy(frame).orderBy(key)) - 1)
+    ranked = with_rank(df.select(key, frame), [frame], key, "rank")
+    placed = ranked.join(offsets, frame).withColumn("place", F.col("start") + F.col("rank")).drop("rank")
     moved = placed.crossJoin(F.broadcast(facts))  # one row
     source = moved.select(F.col(key).alias("source"), F.col(frame).alias("source_frame"), ((F.col("place") + F.col("shift")) % F.col("total")).alias("place"))
     target = placed.select(F.col(key).alias("target"), F.col(frame).alias("target_frame"), "place")

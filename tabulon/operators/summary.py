@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import quartiles
+
 
 def numeric(df: DataFrame, value: str, by: list[str], cluster: str) -> DataFrame:
     """n, clusters, mean, median, sample SD (0 of one row), quartiles by linear interpolation."""
-    q = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))")
-    a = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(cluster).alias("clusters"), F.avg(value).alias("m"), q.alias("q"), F.stddev_samp(value).alias("sd"))
+    kept = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(cluster).alias("clusters"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
+    q = quartiles(df, value, by).select(*[F.col(c).alias(f"_q_{c}") for c in by], "q")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    a = kept.join(q, same)
     r = lambda c: F.round(c, 6)
     return a.select(*by, "n", "clusters", r(F.col("m")).alias("mean"), r(F.col("q")[1]).alias("median"), r(F.coalesce("sd", F.lit(0.0))).alias("sd"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[2]).alias("q75"))
 

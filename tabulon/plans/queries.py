@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import accuracy, bootstrap, classification, integrity, joins, judge, pairs, ranking, sampling, store, summary
+from ..operators import accuracy, blocks, bootstrap, classification, integrity, joins, judge, pairs, ranking, sampling, store, summary
 from .carriers import ARMS, CONDITIONS, PAIRED_SQL, PREDICTIONS_SQL, TAGGED_SQL, paired_texts, predictions, records, table, tagged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,12 +168,8 @@ w AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_i
 SELECT user_id, round(max(best), 6) AS best, min(event_id) FILTER (waited >= 3) AS stopped_at FROM w GROUP BY user_id""")
 def early_stopping(spark, sf_dir):
     """Best value so far of each user's events, and the first event that is the third in a row without a better one."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("long").alias("event_id"), "value").withColumn("best", F.max("value").over(running))
-    e = e.withColumn("island", F.sum((F.col("value") >= F.col("best")).cast("int")).over(running))
-    e = e.withColumn("waited", F.row_number().over(Window.partitionBy("user_id", "island").orderBy("event_id")) - 1)
-    return e.groupBy("user_id").agg(F.round(F.max("best"), 6).alias("best"), F.min(F.when(F.col("waited") >= 3, F.col("event_id"))).alias("stopped_at"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("long").alias("event_id"), "value")
+    return blocks.stopped_early(e, "user_id", "event_id", "value", 3).withColumn("best", F.round("best", 6))
 
 
 # --- classification -----------------------------------------------------------
@@ -997,8 +993,7 @@ SELECT user_id, event_id FROM r WHERE k > 3""")
 def prune_oldest(spark, sf_dir):
     """What goes when each user keeps the three newest events; purchases are protected and don't count."""
     e = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("k", F.row_number().over(newest)).where("k > 3").select("user_id", "event_id")
+    return blocks.all_but_newest(e, "user_id", ["ts", "event_id"], 3).select("user_id", "event_id")
 
 
 @query("""WITH d AS (SELECT event_type, cast(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, n, cast(sum(n) OVER (PARTITION BY event_type ORDER BY day) AS BIGINT) AS so_far FROM d""")
