@@ -6,6 +6,7 @@ from .bpe import op10_bpe_codec
 from .decontamination import op8_decontamination
 from .html_text import op3_html_text
 from .language_id import op1_language_id
+from .lexical_search import op13_lexical_search
 from .licenses import op7_license_scan
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import RULES, STOP_WORDS, op5_quality_rules
@@ -13,7 +14,7 @@ from .simhash import op2_simhash
 from .suffixes import op9_suffix_dedup
 from .warc import op6_warc
 
-_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec)
+_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec, op13_lexical_search)
 
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -39,4 +40,14 @@ _OP6 = f"""WITH h AS (SELECT page_id, cast(strlen(coalesce(html, '')) AS BIGINT)
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM h)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
-ORACLE = {"op5_quality_rules": _OP5, "op6_warc": _OP6}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents), s AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT iid, item_id, term, count(*) AS reps FROM (SELECT iid, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT rid, doc_id, cast(100 - 75 + (75 * len(w) * docs) // cast(terms AS BIGINT) AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+r AS (SELECT iid, item_id, rid, doc_id, cast(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, cast(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
+
+ORACLE = {"op5_quality_rules": _OP5, "op6_warc": _OP6, "op13_lexical_search": _OP13}
