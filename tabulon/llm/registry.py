@@ -8,13 +8,14 @@ from .html_text import op3_html_text
 from .language_id import op1_language_id
 from .lexical_search import op13_lexical_search
 from .licenses import op7_license_scan
+from .pii import op12_pii
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import RULES, STOP_WORDS, op5_quality_rules
 from .simhash import op2_simhash
 from .suffixes import op9_suffix_dedup
 from .warc import op6_warc
 
-_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec, op13_lexical_search)
+_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec, op12_pii, op13_lexical_search)
 
 QUERIES = {f.__name__: f for f in _ALL}
 
