@@ -9,13 +9,14 @@ from .language_id import op1_language_id
 from .lexical_search import op13_lexical_search
 from .licenses import op7_license_scan
 from .pii import op12_pii
+from .prefix_trie import op11_prefix_trie
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import RULES, STOP_WORDS, op5_quality_rules
 from .simhash import op2_simhash
 from .suffixes import op9_suffix_dedup
 from .warc import op6_warc
 
-_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec, op12_pii, op13_lexical_search)
+_ALL = (op1_language_id, op2_simhash, op3_html_text, op4_quality_classifier, op5_quality_rules, op6_warc, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_bpe_codec, op11_prefix_trie, op12_pii, op13_lexical_search)
 
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -51,4 +52,19 @@ m AS (SELECT rid, doc_id, cast(100 - 75 + (75 * len(w) * docs) // cast(terms AS
 r AS (SELECT iid, item_id, rid, doc_id, cast(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL)
 SELECT item_id, cast(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
 
-ORACLE = {"op5_quality_rules": _OP5, "op6_warc": _OP6, "op13_lexical_search": _OP13}
+# CRC-32 bit by bit: each character of the decimal id, then eight shifts
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(cast(conv_id AS VARCHAR), ''), lambda c: [cast(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, cast(4294967295 AS BIGINT)), 4294967295)"
+_OP11 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, pos, x FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, list(x ORDER BY own, pos) AS xs FROM r GROUP BY conv_id),
+a AS (SELECT c.conv_id, coalesce(p.xs, []) AS xs FROM c LEFT JOIN p USING (conv_id)),
+m AS (SELECT conv_id, len(xs) AS size, d AS depth, md5(cast(xs[1:d] AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(cast(xs[1:d - 1] AS VARCHAR)) END AS parent, CASE WHEN d > 0 THEN len(regexp_extract_all(xs[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words FROM (SELECT *, unnest(range(len(xs) + 1)) AS d FROM a)),
+n AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM m GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY ALL),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (depth, node)),
+s AS (SELECT up.depth, up.node, sum(CASE WHEN v.kids = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved_tokens FROM v JOIN m AS up ON up.conv_id = v.conv_id AND up.depth <= v.depth GROUP BY up.depth, up.node)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, cast(v.kids AS BIGINT) AS n_children, cast(s.n_leaves AS BIGINT) AS n_leaves, cast(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (depth, node) LEFT JOIN v AS o ON o.depth = v.depth - 1 AND o.node = v.parent"""
+
+ORACLE = {"op5_quality_rules": _OP5, "op6_warc": _OP6, "op11_prefix_trie": _OP11, "op13_lexical_search": _OP13}
