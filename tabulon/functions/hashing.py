@@ -106,3 +106,14 @@ def record_hash(df: DataFrame, name: str = "record_sha256") -> Column:
 def record_hash_status(df: DataFrame, name: str = "record_sha256") -> Column:
     """'valid', 'invalid' where the row isn't what was hashed, 'missing' without a hash."""
     return F.when(F.col(name).isNull(), "missing").when(F.col(name) == record_hash(df, name), "valid").otherwise("invalid")
+
+
+def set_digest(value: Column) -> Column:
+    """Aggregate: a digest of a group's values in any order, repeats counted.
+
+    Each value's SHA-256 is four numbers of 60 bits; their sums and the count
+    are hashed. Sums merge in partial aggregates, so a set of any size passes
+    a shuffle as one row a task. Null values count as nothing."""
+    h = F.sha2(value, 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws(",", F.count(value).cast("string"), *sums), 256)

@@ -1,15 +1,9 @@
-"""Text functions: span parsers, matching, similarity. Column functions where Spark has what it takes, Arrow functions for NFKC and dynamic patterns."""
+"""Text functions: span parsers, matching, similarity. All are column functions of the engine."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from functools import cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: One mark for each kind of tag; texts with these control characters lose them.
 _OPEN_REASON, _CLOSE_REASON, _OPEN_FINAL, _CLOSE_FINAL = "\x01", "\x02", "\x03", "\x04"
@@ -90,32 +84,38 @@ def plain_match(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", " "))
 
 
-@F.pandas_udf(StringType())
-def match_form(s: pd.Series) -> pd.Series:
-    """plain_match of the NFKC form, which Spark has no function for."""
-    return s.fillna("").map(lambda t: " ".join(re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", t).lower()).split()))
+def nfkc(c: Column) -> Column:
+    """The NFKC form, by the engine's own Unicode library; null stays null. Its tables are those of the engine's Unicode version."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+
+
+def match_form(c: Column) -> Column:
+    """The NFKC form lower-cased, all but letters, numbers and _ as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}_]+", " "))
+
+
+#: White space, with the four separators of ASCII.
+_SPACE = r"[\s\x1c-\x1f]"
 
 
-@cache
-def _literal(choice: str) -> re.Pattern | None:
-    words = unicodedata.normalize("NFKC", choice).split()
-    return re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE) if words else None
+def _literal(choice: Column) -> Column:
+    """A pattern for a choice's words in any case, any white space between them; null where it has no word."""
+    words = F.filter(F.split(choice, f"(?U){_SPACE}+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.when(F.size(words) > 0, F.concat(F.lit("(?iuU)"), F.array_join(quoted, f"{_SPACE}+")))
 
 
-@F.pandas_udf(StructType([StructField("masked", StringType()), StructField("matches", ArrayType(IntegerType()))]))
-def mask_choices(texts: pd.Series, choices: pd.Series) -> pd.DataFrame:
-    """Each choice, the longest first, replaced where it stands (any case and white space) by its placeholder, and which were."""
-    masked, matches = [], []
-    for text, own in zip(texts.fillna(""), choices, strict=True):
-        out, hit = unicodedata.normalize("NFKC", text), []
-        own = [c or "" for c in own] if own is not None else []
-        for k in sorted(range(len(own)), key=lambda k: -len(unicodedata.normalize("NFKC", own[k]))):
-            if (pattern := _literal(own[k])) is not None:
-                out, n = pattern.subn(f"<ANSWER_CHOICE_{k}>", out)
-                hit += [k] * n
-        masked.append(out)
-        matches.append(hit)
-    return pd.DataFrame({"masked": masked, "matches": matches})
+def mask_choices(text: Column, choices: Column) -> Column:
+    """struct<masked, matches>: each choice, the longest first, replaced where it stands (any case and white space) in the NFKC form by its placeholder, and which were, as often as they were."""
+    form = nfkc(F.coalesce(text, F.lit("")))
+    each = F.transform(F.coalesce(choices, F.array().cast("array<string>")), lambda c, k: F.struct((-F.length(nfkc(F.coalesce(c, F.lit(""))))).alias("order"), k.alias("k"), _literal(nfkc(F.coalesce(c, F.lit("")))).alias("pattern")))
+    ordered = F.array_sort(F.filter(each, lambda x: x["pattern"].isNotNull()))
+
+    def step(done: Column, x: Column) -> Column:
+        n = F.regexp_count(done["masked"], x["pattern"])
+        return F.struct(F.regexp_replace(done["masked"], x["pattern"], F.concat(F.lit("<ANSWER_CHOICE_"), x["k"].cast("string"), F.lit(">"))).alias("masked"), F.concat(done["matches"], F.array_repeat(x["k"], n)).alias("matches"))
+
+    return F.aggregate(ordered, F.struct(form.alias("masked"), F.array().cast("array<int>").alias("matches")), step)
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -123,28 +123,6 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
-@F.pandas_udf(DoubleType())
-def bleu(reference: pd.Series, candidate: pd.Series) -> pd.Series:
-    """Sentence BLEU of words, up to 4-grams, 0.1 for counts of zero; 0 if a side is empty or no word matches."""
-    import math
-    from collections import Counter
-
-    def one(r: str | None, c: str | None) -> float:
-        a, b = (r or "").split(), (c or "").split()
-        if not a or not b:
-            return 0.0
-        logs = 0.0
-        for n in range(1, 5):
-            x, y = (Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b))
-            hits, total = sum((x & y).values()), max(1, sum(y.values()))
-            if n == 1 and not hits:
-                return 0.0
-            logs += math.log((hits or 0.1) / total) / 4
-        return math.exp(logs + min(0.0, 1 - len(a) / len(b)))
-
-    return pd.Series([one(r, c) for r, c in zip(reference, candidate, strict=True)], dtype="float64")
-
-
 def cot_target(text: Column) -> Column:
     """struct<reasoning, final>: the last sentence, and those before it; a single one is both."""
     s = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"(?<=[.!?]) +")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Consecutive order keys in a block.
 BLOCK = 1 << 16
 
@@ -26,6 +28,18 @@ def _handed_on(df: DataFrame, by: list[str], what: dict[str, Column]) -> DataFra
     return df.join(moved, same).drop("_k_block", *[f"_k_{c}" for c in by])
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name: its rows' places, from 0, in the order of columns that together repeat in no row (null first). A table.
+
+    Rows are dealt by ranges of a sample; a range is put in order alone and
+    moved by the sizes of those before it, of which there is one row each."""
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed = written(dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1), "ranges")
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def with_rank(df: DataFrame, by: list[str], key: str, name: str, block: int = BLOCK) -> DataFrame:
     """Adds the place, from 0, of each row among its group's in the order of key, an integer that repeats in no group."""
     cut = df.withColumn("_block", F.floor(F.col(key) / block))

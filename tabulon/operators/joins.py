@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+#: Rows of one key that a task may meet in a join.
+KEY_ROWS = 1 << 17
+
 
 def pending(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Tasks without a result yet; null keys are pending. What both sides repeat is taken once before they meet."""
@@ -36,3 +41,24 @@ def previous_other(df: DataFrame, index: str, key: str, batch: int) -> DataFrame
     both = first.join(second, "batch", "left").withColumn("batch", F.col("batch") + 1)
     other = F.when(F.col("first_key") != F.col(key), F.col("first_key")).otherwise(F.col("second_key"))
     return b.join(both, "batch", "left").select(index, key, other.alias("other"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """left joined with right, which has one row a key at most; how: inner or left.
+
+    A key with more than most (KEY_ROWS) rows of left is met where its rows are: right's
+    rows of such keys, of which there are fewer than left has rows over most,
+    are broadcast. left is read twice, so it should be a table. Null keys match
+    nothing and aren't moved."""
+    known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
+    hot = known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (KEY_ROWS if most is None else most)).select(*keys)
+    if hot.isEmpty():
+        out = known.join(right, keys, how)
+    else:
+        hot = F.broadcast(written(hot, "hot-keys"))
+        out = known.join(hot, keys, "left_anti").join(right, keys, how)
+        out = out.unionByName(known.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how))
+    if how == "left":
+        rest = left.where(" or ".join(f"`{k}` is null" for k in keys))
+        out = out.unionByName(rest, allowMissingColumns=True)
+    return out

@@ -61,6 +61,36 @@ def ladder(scored: DataFrame, unrelated: DataFrame) -> DataFrame:
     return d.unionByName(u).unionByName(i)
 
 
+def sentence_bleu(df: DataFrame, key: str, reference: str, candidate: str, most: int = 4) -> DataFrame:
+    """key, bleu: of words between white space, up to runs of `most`, 0.1 for counts of zero; 0 if a side is empty or no word matches.
+
+    key must be unique. A row's runs, as hashes of 64 bits twice, are counted by
+    (key, length, run) and clipped: the multiset intersection as two aggregates,
+    of which the first has its rows together already where df is dealt by key.
+    Linear in the words, whatever repeats."""
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = df.select(key, words(F.col(reference)).alias("a"), words(F.col(candidate)).alias("b"))
+
+    def runs(side: str, n: int) -> Column:
+        w = F.col(side)
+        at = F.when(F.size(w) < n, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(w) - n + 1))
+        run = lambda i: F.concat_ws(" ", F.slice(w, i, n))
+        return F.transform(at, lambda i: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), F.xxhash64(run(i)).alias("x"), F.xxhash64(run(i), F.lit(n)).alias("y")))
+
+    each = split.select(key, F.explode(F.concat(*[runs(s, n) for n in range(1, most + 1) for s in "ab"])).alias("r")).select(key, "r.*")
+    counts = each.groupBy(key, "n", "x", "y").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    hits = counts.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("a", "b"))), F.lit(0)).alias(f"h{n}") for n in range(1, most + 1)])
+    sizes = split.select(F.col(key).alias("_k"), F.size("a").alias("na"), F.size("b").alias("nb"))
+    met = sizes.join(hits, F.col("_k").eqNullSafe(F.col(key)), "left")
+    logs = F.lit(0.0)
+    for n in range(1, most + 1):
+        h = F.coalesce(f"h{n}", F.lit(0))
+        logs = logs + F.log(F.when(h == 0, 0.1).otherwise(h.cast("double")) / F.greatest(F.col("nb") - n + 1, F.lit(1))) / most
+    score = F.exp(logs + F.least(F.lit(0.0), 1 - F.col("na") / F.col("nb")))
+    none = (F.col("na") == 0) | (F.col("nb") == 0) | (F.coalesce("h1", F.lit(0)) == 0)
+    return met.select(F.col("_k").alias(key), F.when(none, 0.0).otherwise(score).alias("bleu"))
+
+
 def greedy_match(a: Column, b: Column) -> Column:
     """F1 of greedy matching between two arrays of unit vectors: each vector's best cosine on the other side, averaged."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

@@ -712,14 +712,18 @@ def answer_echo(spark, sf_dir):
 def choice_mask(spark, sf_dir):
     """Each document's benchmark-like choices masked: its own first words, in any case and white space."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.slice(F.split("text", " "), 1, 4).alias("choices"))
-    return d.withColumn("m", text.mask_choices("text", "choices")).select("doc_id", F.size("m.matches").alias("n_matches"), F.sha2("m.masked", 256).alias("masked_sha"))
+    return d.withColumn("m", text.mask_choices(F.col("text"), F.col("choices"))).select("doc_id", F.size("m.matches").alias("n_matches"), F.sha2("m.masked", 256).alias("masked_sha"))
 
 
-@query()
+@query(r"""WITH own AS (SELECT conv_id, regexp_extract_all(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), '[^\x20\x09-\x0D]+') AS a, regexp_extract_all(coalesce(arg_min(text, turn) FILTER (role = 'assistant'), ''), '[^\x20\x09-\x0D]+') AS b FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+g AS (SELECT conv_id, n, s, array_to_string(CASE WHEN s = 'a' THEN a[k:k + n - 1] ELSE b[k:k + n - 1] END, ' ') AS run FROM (SELECT *, unnest(range(1, len(CASE WHEN s = 'a' THEN a ELSE b END) - n + 2)) AS k FROM own, (VALUES (1), (2), (3), (4)) v(n), (VALUES ('a'), ('b')) w(s))),
+c AS (SELECT conv_id, n, run, count(*) FILTER (s = 'a') AS x, count(*) FILTER (s = 'b') AS y FROM g GROUP BY ALL), h AS (SELECT conv_id, n, sum(least(x, y)) AS hits FROM c GROUP BY ALL),
+p AS (SELECT o.conv_id, len(a) AS na, len(b) AS nb, v.n, coalesce(h.hits, 0) AS hits FROM own o CROSS JOIN (VALUES (1), (2), (3), (4)) v(n) LEFT JOIN h ON h.conv_id = o.conv_id AND h.n = v.n)
+SELECT conv_id, round(CASE WHEN min(na) = 0 OR min(nb) = 0 OR max(hits) FILTER (n = 1) = 0 THEN 0 ELSE exp(sum(ln(CASE WHEN hits = 0 THEN 0.1 ELSE hits END / greatest(nb - n + 1, 1)) / 4) + least(0, 1 - min(na) / nullif(min(nb), 0))) END, 6) AS bleu FROM p GROUP BY conv_id""")
 def bleu_sentence(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").where("role <> 'system'")
     own = t.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("a"), F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("b"))
-    return own.select("conv_id", F.round(text.bleu("a", "b"), 6).alias("bleu"))
+    return pairs.sentence_bleu(own, "conv_id", "a", "b").select("conv_id", F.round("bleu", 6).alias("bleu"))
 
 
 @query("""WITH v AS (SELECT vec_id // 5 AS g, vec_id % 5 AS k, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS z FROM v),

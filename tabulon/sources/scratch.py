@@ -5,13 +5,43 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names for checkpoints; in one of our own only where none is named."""
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Where none is named, one of our own on a single machine; on a cluster that raises, as its executors wouldn't share one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
         spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read back."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tabulon_path = path
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by written(), when no later job needs it."""
+    path = getattr(df, "_tabulon_path", None)
+    if path:
+        delete(df.sparkSession, path)

@@ -7,8 +7,8 @@ from tabulon.streaming.resumable import windowed_counts
 
 #: Queries that meet a one-row aggregate, which Spark plans as a nested loop with a broadcast side.
 ONE_ROW = {"cluster_bootstrap_ci", "ratio_bootstrap_diff", "bootstrap_pvalue_bh", "bootstrap_histogram", "derangement_pairs", "derangement_validity", "unrelated_reference", "anchor_ladder", "ece_bins", "calibration_all_bins", "freeze_check", "unrelated_reference_ci"}
-#: Queries with an Arrow function: Spark has no NFKC, no BLEU, no multinomial draws and no plug-ins.
-ARROW = {"choice_mask", "bleu_sentence", "batch_scan", "echo_sensitivity_ci", "description_drift_ci", "unrelated_reference_ci"}
+#: Queries with an Arrow function: Spark has no multinomial draws and no plug-ins.
+ARROW = {"batch_scan", "echo_sensitivity_ci", "description_drift_ci", "unrelated_reference_ci"}
 
 
 def plan(df):

@@ -1,9 +1,15 @@
 import math
+import random
+import re
+import unicodedata
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import hashing, text
+from tabulon.operators import pairs
 
 SPANS = [
     ("<reasoning>a b.</reasoning><final>c</final>", "a b.", "c"),
@@ -33,7 +39,7 @@ def test_parse_strict(spark):
 
 def test_mask_longest_first(spark):
     df = spark.createDataFrame([("The Red  CAR and the red", ["red", "the red car", None, ""])], "t string, c array<string>")
-    r = df.select(text.mask_choices("t", "c").alias("m")).first().m
+    r = df.select(text.mask_choices(F.col("t"), F.col("c")).alias("m")).first().m
     assert r.masked == "<ANSWER_CHOICE_1> and the <ANSWER_CHOICE_0>" and r.matches == [1, 0]
 
 
@@ -43,13 +49,64 @@ def test_jaccard(spark, a, b, want):
     assert df.select(text.jaccard(text.tokens(F.col("a")), text.tokens(F.col("b")))).first()[0] == pytest.approx(want)
 
 
+def want_bleu(reference, candidate):
+    a, b = (reference or "").split(), (candidate or "").split()
+    if not a or not b:
+        return 0.0
+    logs = 0.0
+    for n in range(1, 5):
+        x, y = (Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b))
+        hits = sum((x & y).values())
+        if n == 1 and not hits:
+            return 0.0
+        logs += math.log((hits or 0.1) / max(1, sum(y.values()))) / 4
+    return math.exp(logs + min(0.0, 1 - len(a) / len(b)))
+
+
 def test_bleu(spark):
-    df = spark.createDataFrame([("a b c d e", "a b c d e"), ("a", ""), ("a b c d", "x y")], "a string, b string")
-    got = [r[0] for r in df.select(text.bleu("a", "b")).collect()]
-    assert got[0] == pytest.approx(1.0) and got[1:] == [0.0, 0.0]
-    short = spark.createDataFrame([("a b c d e f", "a b c")], "a string, b string").select(text.bleu("a", "b")).first()[0]
+    rng = random.Random(2)
+    some = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+    rows = [("a b c d e", "a b c d e"), ("a", ""), ("a b c d", "x y"), (None, "a"), (None, None), ("a b c d e f", "a b c"), ("a " * 5000, "a " * 4000 + "b")] + [(some(), some()) for _ in range(60)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a string, b string")
+    got = {r.k: r.bleu for r in pairs.sentence_bleu(df, "k", "a", "b").collect()}
+    assert len(got) == len(rows)
+    for k, r in enumerate(rows):
+        assert got[k] == pytest.approx(want_bleu(*r)), r
     # three words of six: full 1-, 2- and 3-grams, no 4-gram
-    assert short == pytest.approx(math.exp(math.log(0.1) / 4 + 1 - 2))
+    assert got[5] == pytest.approx(math.exp(math.log(0.1) / 4 + 1 - 2))
+    plan = pairs.sentence_bleu(df, "k", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_nfkc_of_all_code_points(spark):
+    """Alone, and between letters with a mark, as the standard library has it; code points newer than its tables aside."""
+    points = [k for k in range(1, 0x110000) if not 0xD800 <= k <= 0xDFFF and unicodedata.category(chr(k)) != "Cn"]
+    data = [(k, chr(k)) for k in points] + [(-k, f"e{chr(k)}\u0301 \u1100{chr(k)}\u11a8") for k in points[::7]]
+    df = spark.createDataFrame(pd.DataFrame(data, columns=["k", "t"]))
+    got = df.select("k", "t", text.nfkc(F.col("t")).alias("n"), text.match_form(F.col("t")).alias("m"), F.col("t").rlike(r"\p{Cn}").alias("newer")).toPandas()
+    for k, t, n, m, newer in got.itertuples(index=False):
+        assert n == unicodedata.normalize("NFKC", t), k
+        if k > 0 and not newer:  # which code points are letters is of the regular expressions' own version
+            assert m == " ".join(re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", t).lower()).split()), (k, m)
+
+
+def want_masked(t, choices):
+    out, hit = unicodedata.normalize("NFKC", t or ""), []
+    choices = [c or "" for c in choices or []]
+    for k in sorted(range(len(choices)), key=lambda k: -len(unicodedata.normalize("NFKC", choices[k]))):
+        words = unicodedata.normalize("NFKC", choices[k]).split()
+        if words:
+            out, n = re.subn(r"\s+".join(map(re.escape, words)), f"<ANSWER_CHOICE_{k}>", out, flags=re.IGNORECASE)
+            hit += [k] * n
+    return out, hit
+
+
+def test_masks_as_patterns_do(spark):
+    rows = [("a.b A.B axb", ["a.b", "b"]), ("x\\E(y) \\Q X\\e(Y)", ["x\\E(y)", "\\Q"]), ("ÉTÉ\u00a0 été e\u0301te\u0301", ["été été", "ÉTÉ"]), ("ﬁne ＦＩＮＥ", ["fine", " "]), ("$1 \\1 [x]", ["$1", "[x]", "\\1"]), (None, ["a"]), ("a", None), ("tie one tie two", ["tie two", "tie one", None, "tie"]), ("tab\there\x1fthere", ["tab here there"])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, c array<string>")
+    got = {r.k: (r.m.masked, r.m.matches) for r in df.select("k", text.mask_choices(F.col("t"), F.col("c")).alias("m")).collect()}
+    for k, r in enumerate(rows):
+        assert got[k] == want_masked(*r), r
 
 
 def test_references(spark):
