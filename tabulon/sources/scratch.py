@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Lists that are told of each table made, innermost last.
+_WATCHING: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that written() makes inside, in their order, so that they can be deleted when their reader is done."""
+    _WATCHING.append([])
+    try:
+        yield _WATCHING[-1]
+    finally:
+        _WATCHING.pop()
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints. Where none is named, one of our own on a single machine; on a cluster that raises, as its executors wouldn't share one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,6 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tabulon_path = path
+    for made in _WATCHING:
+        made.append(back)
     return back
 
 
