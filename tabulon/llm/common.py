@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.joins import spread_join
+from ..sources.scratch import folder, forget, shared, tables_made, written
+
+__all__ = ["folder", "forget", "shared", "spread_join", "tables_made", "written"]
 
 #: Bytes of text that one step of a vectorised operator holds at once. A longer
 #: document is a step of its own.
@@ -23,63 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tabulon_path = path
-    return back
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written(), when no later job needs it."""
-    path = getattr(df, "_tabulon_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
-#: Rows of one key that a task may meet in a join.
-KEY_ROWS = 1 << 17
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
-    """left joined with right, which has one row a key at most; how: inner or left.
-
-    A key with more than most (KEY_ROWS) rows of left is met where its rows are: right's
-    rows of such keys, of which there are fewer than left has rows over most,
-    are broadcast. left is read twice, so it should be a table. Null keys match
-    nothing and aren't moved."""
-    known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
-    hot = known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (KEY_ROWS if most is None else most)).select(*keys)
-    if hot.isEmpty():
-        out = known.join(right, keys, how)
-    else:
-        hot = F.broadcast(written(hot, "hot-keys"))
-        out = known.join(hot, keys, "left_anti").join(right, keys, how)
-        out = out.unionByName(known.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how))
-    if how == "left":
-        rest = left.where(" or ".join(f"`{k}` is null" for k in keys))
-        out = out.unionByName(rest, allowMissingColumns=True)
-    return out
-
-
 def carried(docs: DataFrame, columns: tuple[str, ...]) -> str:
     """The schema string of columns that an operator passes through, after its own."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, release, table, written
+from .common import carried, release, spread_join, table, written
 from .components import components
 
 #: The fingerprint's segments have SEGMENT bits; groups of segments are the sides of a grid cell.
@@ -191,11 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     linked = components(near_links(classes.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
     # a fingerprint without links is a component of its own; only the others are gathered
-    joined = classes.join(linked, "fp")
+    joined = written(classes.join(linked, "fp"), "linked")
     least = joined.groupBy("component").agg(F.min("first").alias("least"))
-    named = joined.join(least, "component").select("fp", F.col("component").alias("group"), "least")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.when(F.col("group").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", *carry)
+    named = spread_join(joined, least, ["component"]).select("fp", F.col("component").alias("group"), "least")
+    named = written(classes.join(named, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.when(F.col("group").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "named")
+    # a fingerprint that very many rows have meets them where they are
+    return spread_join(prints, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", *carry)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

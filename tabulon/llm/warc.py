@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
@@ -10,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, shared_dir, table, written
+from ..operators.joins import KEY_ROWS
+from ..sources.scratch import delete, folder
+from .common import forget, table, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -118,23 +119,25 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 
 def decisions(heads: DataFrame, least: int) -> DataFrame:
-    """record_id, first_record, first_page: of the records that revisit another one.
+    """record_id, first_page, first_fresh: of the records that revisit another one, the page and the fresh id of that.
 
     Only responses are originals, and only they become revisits of a smaller
     page with an equal payload. A revisit that is given stays one: of the first
-    response of its digest, or where there is none as it is. Digests that very
-    many records have are few; they meet their records by a broadcast, so no
-    task gets all records of one."""
+    response of its digest, or where there is none as it is. Digests that more
+    records have than a task should meet, or more than a share of all, are few;
+    they meet their records by a broadcast."""
     originals = heads.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-    first = originals.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("first"))
+    first = originals.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id", "fresh")).alias("first"))
     counts = heads.groupBy("payload_digest").agg(F.count("*").alias("n"))
-    first = written(first.join(counts, "payload_digest").where("n > 1").select("payload_digest", "n", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record")), "first")
-    most = HOT_SHARE * heads.count()
-    hot = F.broadcast(first.where(F.col("n") > most).drop("n"))  # at most 1 / HOT_SHARE rows
+    first = written(first.join(counts, "payload_digest").where("n > 1").select("payload_digest", "n", F.col("first.page_id").alias("first_page"), F.col("first.fresh").alias("first_fresh")), "first")
+    most = min(KEY_ROWS, HOT_SHARE * heads.count())
+    hot = F.broadcast(first.where(F.col("n") > most).drop("n"))  # at most 1 / HOT_SHARE rows, or records over KEY_ROWS
     rest = heads.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(first.where(F.col("n") <= most).drop("n"), "payload_digest")
     met = heads.join(hot, "payload_digest").unionByName(rest)
     again = F.when(F.col("record_type") == "revisit", F.lit(True)).otherwise((F.col("page_id") > F.col("first_page")) & (F.col("payload_bytes") >= least))
-    return met.where(again).select("record_id", "first_record", "first_page")
+    decided = written(met.where(again).select("record_id", "first_page", "first_fresh"), "decided")
+    forget(first)
+    return decided
 
 
 def resolve(spark: SparkSession, source: str, target: str, least: int = 0) -> None:
@@ -146,9 +149,8 @@ def resolve(spark: SparkSession, source: str, target: str, least: int = 0) -> No
     their digest, and at what they pointed at where source has none."""
     heads = written(read_archives(spark, source, payload=False).withColumn("fresh", F.uuid()), "heads")
     # fresh ids are drawn once, so that a revisit can name the record it refers to
-    decided = decisions(heads.select("record_id", "page_id", "payload_bytes", "payload_digest", "record_type"), least)
-    named = decided.join(heads.select(F.col("record_id").alias("first_record"), F.col("fresh").alias("first_fresh")), "first_record")
-    marked = heads.select("record_id", "fresh").join(named.select("record_id", "first_fresh", "first_page"), "record_id", "left")
+    decided = decisions(heads.select("record_id", "fresh", "page_id", "payload_bytes", "payload_digest", "record_type"), least)
+    marked = heads.select("record_id", "fresh").join(decided, "record_id", "left")
     found = read_archives(spark, source, payload=True).join(marked, "record_id")
     again = F.col("first_fresh").isNotNull()
     given = F.col("record_type") == "revisit"
@@ -156,22 +158,24 @@ def resolve(spark: SparkSession, source: str, target: str, least: int = 0) -> No
     body = F.when(again | given, F.lit("")).otherwise(F.col("payload").cast("string"))
     record = _record(kind, F.col("fresh"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.lit(now()), body, F.coalesce("first_fresh", "refers_record"), F.coalesce("first_page", "refers_to"))
     write_archives(found.select(record.alias("value")), target)
-    forget(heads)
+    forget(heads), forget(decided)
 
 
-def warc_roundtrip(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes pages to folder/fetched, resolves revisits into folder/resolved and returns what that holds.
+def warc_roundtrip(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", keep_fetched: bool = True) -> DataFrame:
+    """Writes pages to path/fetched, resolves revisits into path/resolved and returns what that holds; path/fetched goes unless it is to be kept.
 
     Empty tables give no archives and no rows. Rows with one id and one payload
     are responses all, as none has a smaller id than another. Extra columns of
     pages play no part."""
     spark = pages.sparkSession
-    write_pages(pages, f"{folder}/fetched", id_col, url_col, payload_col)
-    resolve(spark, f"{folder}/fetched", f"{folder}/resolved", least)
-    return read_archives(spark, f"{folder}/resolved", payload=False)
+    write_pages(pages, f"{path}/fetched", id_col, url_col, payload_col)
+    resolve(spark, f"{path}/fetched", f"{path}/resolved", least)
+    if not keep_fetched:
+        delete(spark, f"{path}/fetched")
+    return read_archives(spark, f"{path}/resolved", payload=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """warc_roundtrip() of all pages in the cluster's shared folder; null and empty payloads are equal ones of no bytes."""
-    found = warc_roundtrip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    found = warc_roundtrip(table(spark, sf_dir, "pages"), folder(spark, "warc"), keep_fetched=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

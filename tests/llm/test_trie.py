@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import common, prefix_trie
+from tabulon.llm import prefix_trie
+from tabulon.operators import joins
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -81,7 +82,7 @@ def test_whole_trees_in_tasks(spark):
 @pytest.mark.parametrize("component, block, hot", [(40, 16, 1 << 17), (9, 5, 6)])
 def test_large_trees_are_split_by_joins(spark, monkeypatch, component, block, hot):
     """Every large tree, long conversation and hot key goes the way of those beyond a task's bound."""
-    monkeypatch.setattr(common, "KEY_ROWS", hot)
+    monkeypatch.setattr(joins, "KEY_ROWS", hot)
     monkeypatch.setattr(prefix_trie, "CHUNK", 4)
     monkeypatch.setattr(prefix_trie, "TOGETHER", 10)
     rows = [r for r in made(2, 40) if r[0] not in (5001,)]
