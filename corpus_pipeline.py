@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.bpe import bpe_tokens
-from tabulon.llm.common import forget, table, written
+from tabulon.llm.common import forget, spread_join, table, tables_made, written
 from tabulon.llm.decontamination import contaminated
 from tabulon.llm.language_id import held_out, learn, predict
 from tabulon.llm.simhash import near_duplicates
@@ -47,8 +47,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     shaped = keyed(docs)
     found = written(near_duplicates(shaped, carry=KEY).select("doc_id", "group", *KEY), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *KEY)
-    several = found.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
-    judged = written(found.join(several, "group", "left").select("doc_id", *KEY, F.coalesce(place != F.col("best"), F.lit(False)).alias("lost"), F.col("n").isNotNull().alias("shared")), "judged")
+    several = written(found.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1"), "groups-of-several")
+    judged = written(spread_join(found, several, ["group"], "left").select("doc_id", *KEY, F.coalesce(place != F.col("best"), F.lit(False)).alias("lost"), F.col("n").isNotNull().alias("shared")), "judged")
     # most ids that go have no row that stays: ids alone make a small table, whose size is known before texts are joined, so they needn't be shuffled for few of them
     ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.min("lost").alias("lost")).where("lost").select("doc_id")
     ids = written(ids, "near-copies")
@@ -95,12 +95,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage wrote goes when the next one has read it; empty tables give no rows."""
+    """All stages over documents. What a stage wrote on its way goes when its result is written, and that when the next one has read it; empty tables give no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k + 1}")
-            if k:
-                forget(before)
+        with tables_made() as made:
+            before, docs = docs, stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = written(docs, f"stage-{k + 1}")
+                for t in made[:-1]:
+                    forget(t)
+                if k:
+                    forget(before)
     return docs
