@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -62,7 +63,10 @@ TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "licensed under the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("agpl", "licensed under the gnu affero general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
@@ -73,10 +77,14 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     ("proprietary", "all rights reserved"),
 )
 
-#: A match of fewer words isn't chained; matches at most GAP words apart are; a span covers this share of its template.
+#: A match of fewer words isn't chained; of two words in a chain the later is at most GAP words on; a span covers this share of its template.
 LEAST, GAP, COVER = 3, 6, 0.75
 
 
@@ -89,7 +97,8 @@ class Automaton:
     length: list[int] = field(default_factory=lambda: [0])
     #: For each state the templates and end positions of its words there.
     ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])
-    reaches: dict[int, dict[int, int]] = field(default_factory=dict)
+    templates: dict[int, list[int]] = field(default_factory=dict)
+    spots: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.edges.append(edges), self.link.append(link), self.length.append(length), self.ends.append(set())
@@ -123,6 +132,7 @@ class Automaton:
 
     def mark(self, k: int, words: list[int]) -> None:
         """Enters where template k ends in each state along its suffix links."""
+        self.templates[k] = words
         at = 0
         for i, c in enumerate(words):
             at = self.edges[at][c]
@@ -131,30 +141,25 @@ class Automaton:
                 self.ends[s].add((k, i))
                 s = self.link[s]
 
-    def reach(self, state: int) -> dict[int, int]:
-        """For each template that has one of the words ending in state, the length of the longest that it has; 0 for the state's own words, as long as matched."""
-        if state not in self.reaches:
-            out, s = {k: 0 for k, _ in self.ends[state]}, self.link[state]
-            while s > 0 and self.length[s] >= LEAST:
-                for k, _ in self.ends[s]:
-                    out.setdefault(k, self.length[s])
+    def spots_of(self, state: int) -> list[tuple[int, int, int]]:
+        """Where in templates (template, end) words that end in state stand, with how many of them stand there; 0 for the state's own words, as long as matched."""
+        if state not in self.spots:
+            out, s, size, known = [], state, 0, set()
+            while s > 0 and (s == state or self.length[s] >= LEAST):
+                out += [(k, e, size) for k, e in self.ends[s] - known]
+                known |= self.ends[s]
                 s = self.link[s]
-            self.reaches[state] = out
-        return self.reaches[state]
-
-    def places(self, state: int, k: int, n: int) -> list[int]:
-        """Where the last n words that end in state end in template k."""
-        while n <= self.length[self.link[state]]:
-            state = self.link[state]
-        return sorted(e for t, e in self.ends[state] if t == k)
+                size = self.length[s] if s >= 0 else 0
+            self.spots[state] = out
+        return self.spots[state]
 
     def matches(self, words: list[int]) -> list[tuple[int, int, int, int]]:
-        """Each template's maximal matches (start, length, template, state) of LEAST words or more, from the matching statistics of words.
+        """All matches of LEAST words or more that go on neither before nor after: (last word, words, template, its last word there), in order.
 
-        A template whose longest match is shorter than that of all templates is
-        found on the way along the suffix links."""
+        The matching statistics of words say how long the longest match that
+        ends at each word is; the shorter ones, at other places, stand along the
+        suffix links."""
         out, at, n = [], 0, 0
-        open_: dict[int, tuple[int, int]] = {}  # template: length and state of its match that ends at the word before
         for i, c in enumerate(words):
             while at and c not in self.edges[at]:
                 at = self.link[at]
@@ -164,13 +169,47 @@ class Automaton:
                 n += 1
             else:
                 n = 0
-            now = {k: (size or n, at) for k, size in self.reach(at).items() if (size or n) >= LEAST} if n >= LEAST else {}
-            for k, (size, state) in open_.items():
-                if k not in now or now[k][0] != size + 1:
-                    out.append((i - size, size, k, state))
-            open_ = now
-        out += [(len(words) - size, size, k, state) for k, (size, state) in open_.items()]
-        return sorted(out)
+            if n >= LEAST:
+                after = words[i + 1] if i + 1 < len(words) else -2
+                for k, e, size in self.spots_of(at):
+                    own = self.templates[k]
+                    if (size or n) >= LEAST and (e + 1 == len(own) or own[e + 1] != after):
+                        out.append((i, size or n, k, e))
+        return out
+
+
+def chained(matches: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Spans (first word, last word, words covered) of one template's matches (last word, words, last word in the template): chains that cover least words or more, together as many as can be without overlaps.
+
+    A chain goes on in text and template alike, and leaves no more than GAP
+    words of text out between two that it has; it may take a part of a match.
+    Of chains that end at a word the one with the most words counts, of equal
+    ones the shortest, so a fragment before a licence is left out rather than
+    begun with. Dynamic programming over words, then over their chains."""
+    pairs: dict[int, set[int]] = {}
+    for i, n, e in matches:
+        for d in range(n):
+            pairs.setdefault(i - d, set()).add(e - d)
+    best: dict[int, dict[int, tuple[int, int]]] = {}  # text word: template word: words of the best chain that ends there, and its first
+    total = 0
+    out: list[tuple[int, int, tuple]] = [(-1, 0, ())]  # last word, words of the best spans up to it, and these, as a list of links
+    for i in sorted(pairs):
+        before = [(e, v) for j in range(i - GAP, i) for e, v in best.get(j, {}).items()]
+        row = best[i] = {}
+        for e in pairs[i]:
+            row[e] = max(((n + 1, first) for f, (n, first) in before if f < e), default=(1, i))
+        best.pop(i - GAP - 1, None)
+        n, first = max(row.values())
+        if n >= least:
+            k = bisect.bisect_left(out, first, key=lambda x: x[0]) - 1  # the best spans that end before it
+            if out[k][1] + n > total:
+                total = out[k][1] + n
+                out.append((i, total, (out[k][2], (first, i, n))))
+    spans_, chain = [], out[-1][2]
+    while chain:
+        chain, span = chain
+        spans_.append(span)
+    return spans_[::-1]
 
 
 @dataclass
@@ -183,28 +222,11 @@ class Scanner:
 
     def spans(self, words: list[int], at: int) -> list[tuple[str, int, int, float]]:
         """Template spans (label, first word, last word, share covered) in words (-1 where no template has one) that begin at word at."""
-        open_: dict[int, list[int]] = {}  # template: first, last, template position of last, covered
-        done: list[tuple[str, int, int, float]] = []
-
-        def close(k: int) -> None:
-            first, last, _, covered = open_.pop(k)
-            if covered >= COVER * self.sizes[k]:
-                done.append((self.labels[k], first, last, min(1.0, covered / self.sizes[k])))
-
-        for start, n, k, state in self.automaton.matches(words):
-            places = self.automaton.places(state, k, n)
-            if k in open_:
-                first, last, pos, covered = open_[k]
-                ahead = [e for e in places if e > pos]
-                if ahead and at + start - last <= GAP:
-                    new = min(n, at + start + n - 1 - last, ahead[0] - pos)
-                    open_[k] = [first, at + start + n - 1, ahead[0], covered + new]
-                    continue
-                close(k)
-            open_[k] = [at + start, at + start + n - 1, places[0], n]
-        for k in list(open_):
-            close(k)
-        return done
+        own: dict[int, list[tuple[int, int, int]]] = {}
+        for i, n, k, e in self.automaton.matches(words):
+            own.setdefault(k, []).append((i, n, e))
+        # one that covers too little in all needn't be chained
+        return [(self.labels[k], at + first, at + last, min(1.0, n / self.sizes[k])) for k, found in own.items() if sum(n for _, n, _ in found) >= COVER * self.sizes[k] for first, last, n in chained(found, COVER * self.sizes[k])]
 
 
 @functools.cache
