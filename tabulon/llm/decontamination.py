@@ -14,7 +14,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_parts, carried, shingle_hashes, span_hashes, spans, table
+from .common import LOWER, byte_parts, carried, forget, release, shingle_hashes, span_hashes, spans, table, written
 from .licenses import WORD
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -102,12 +102,14 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def matches(ix: Items, shingles: np.ndarray, hits: np.ndarray, found: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
-    """Of one row: item to (similarity, first word, words) of its best window. hits: places of shingles that items have, found: which.
+def matches(ix: Items, shingles: np.ndarray, hits: np.ndarray, found: np.ndarray, n_words: int, beyond: bool = True) -> dict[int, tuple[float, int, int]]:
+    """Of one island of a row: item to (similarity, first word, words) of its best window. hits: places of shingles that items have, found: which.
 
-    Windows near an item's fingerprint are verified; so are those beyond the
-    radius that have as many of an item's shingles as the similarity takes. A
-    window with fewer can't reach it, so nothing is lost."""
+    A window that shares a shingle with an item of its size is fingerprinted,
+    and looked up in the blocks: items within the radius are verified. Only what
+    the blocks haven't named goes the other way (if beyond): an item further off
+    is verified where a window has as many of its shingles as the similarity
+    takes. A window with fewer can't reach it, so nothing is lost."""
     best: dict[int, tuple[float, int, int]] = {}
     by_size: dict[int, dict[int, list[int]]] = {}
     for p, f in zip(hits.tolist(), found.tolist(), strict=True):
@@ -116,61 +118,118 @@ def matches(ix: Items, shingles: np.ndarray, hits: np.ndarray, found: np.ndarray
     for size, by_item in by_size.items():
         m = min(size, n_words) - SHINGLE + 1  # shingles of a window; a shorter row is one window
         needed = int(np.ceil(SIMILARITY * (m + size - SHINGLE + 1) / (1 + SIMILARITY) - 1e-9))
-        for k in [k for k, own in by_item.items() if len(own) < needed]:
-            del by_item[k]
         p = np.array(sorted({x for own in by_item.values() for x in own}), np.int64)
-        for group in np.split(p, np.flatnonzero(np.diff(p) > 2 * m) + 1) if len(p) else []:
+        for group in np.split(p, np.flatnonzero(np.diff(p) > 2 * m) + 1):
             a, b = max(0, int(group[0]) - m + 1), min(len(shingles), int(group[-1]) + m)
+            if b - a < m:
+                continue
             total = np.zeros((b - a + 1, 64), np.int32)
             np.cumsum(signs(shingles[a:b]), axis=0, out=total[1:])
             shared = np.zeros(b - a + 1, np.int64)
             shared[group - a + 1] = 1
             shared = np.cumsum(shared)
-            some = np.flatnonzero(shared[m:] - shared[:-m] >= needed)
+            some = np.flatnonzero(shared[m:] - shared[:-m] > 0)
             prints = prints_of(total[some + m] - total[some])
-            near = {w: {k for known, v in zip(ix.tables[size], blocks_of(fp), strict=True) for k in known.get(v, ()) if (fp ^ int(ix.prints[k])).bit_count() <= RADIUS} for w, fp in zip((some + a).tolist(), prints.tolist(), strict=True)}
-            for k, own in by_item.items():
-                own = np.array(own)
-                lo = np.array(list(near), np.int64)
-                enough = np.searchsorted(own, lo + m) - np.searchsorted(own, lo) >= needed
-                for w in lo[enough].tolist():
-                    near[w].add(k)
-            for w, items in near.items():
-                for k in items:
-                    s = similarity(Counter(shingles[w : w + m].tolist()), ix.counts[k])
-                    if s >= SIMILARITY and (s, -w) > (best.get(k, (0, 0, 0))[0], -best.get(k, (0, 0, 0))[1]):
-                        best[k] = (s, w, m + SHINGLE - 1)
+            near = {(w, k) for w, fp in zip((some + a).tolist(), prints.tolist(), strict=True) for known, v in zip(ix.tables[size], blocks_of(fp), strict=True) for k in known.get(v, ()) if (fp ^ int(ix.prints[k])).bit_count() <= RADIUS}
+            rest = set()
+            for k, own in by_item.items() if beyond else ():
+                if len(own) >= needed:
+                    own = np.array(own)
+                    enough = np.searchsorted(own, some + a + m) - np.searchsorted(own, some + a) >= needed
+                    rest |= {(w, k) for w in (some[enough] + a).tolist()} - near
+            for w, k in near | rest:
+                s = similarity(Counter(shingles[w : w + m].tolist()), ix.counts[k])
+                if s >= SIMILARITY and (s, -w) > (best.get(k, (0, 0, 0))[0], -best.get(k, (0, 0, 0))[1]):
+                    best[k] = (s, w, m + SHINGLE - 1)
     return {ix.ids[k]: v for k, v in best.items()}
 
 
-def find(batch_texts: pa.Array, ix: Items) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, similarity, first word, words) of each match."""
-    for i, j, offsets, data in byte_parts(batch_texts):
-        words, first = words_of(data, offsets)
-        row_of = np.repeat(np.arange(j - i), np.diff(first))
+@dataclass
+class Sieve:
+    """What of the benchmark all tasks know: which leading bits its runs of words have, the lengths of items that are shorter than a shingle, the longest item."""
+
+    bits: int
+    words: np.ndarray
+    short: list[int]
+    longest: int
+
+    def may_be(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes that some item may have."""
+        at = h >> np.uint64(64 - self.bits)
+        return np.flatnonzero(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+
+
+def sieve(items: DataFrame) -> Sieve:
+    """items: item, text. Bits are set in tasks and merge as sums do; there are about 16 of them for each shingle, 2^30 at most."""
+    size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    bits = min(30, max(16, int(size * 4).bit_length()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, offsets, data in byte_parts(batch.column(1)):
+                words, first = words_of(data, offsets)
+                sizes = np.diff(first)
+                for n in (*range(1, SHINGLE), SHINGLE):
+                    h, at = shingle_hashes(words, first, n)
+                    row = np.searchsorted(first, at, "right") - 1
+                    h = h[(sizes[row] == n) | (n == SHINGLE)]
+                    place = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), n)), pa.array(place), pa.array(np.full(len(place), sizes.max(initial=0)))], ["n", "place", "longest"])
+
+    marks = written(items.select("item", "text").mapInArrow(marked, "n long, place long, longest long"), "marks")
+    facts = marks.agg(F.collect_set(F.when(F.col("n") < SHINGLE, F.col("n"))).alias("short"), F.max("longest").alias("longest")).first()
+    found = marks.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    forget(marks)
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Sieve(bits, words, sorted(facts.short), facts.longest or 0)
+
+
+def islands(words: np.ndarray, first: np.ndarray, known: Sieve) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """(row, places, words) of rows that have a run of words which an item may have: the words around each run, as far as an item that has it can reach. Islands of a row don't touch."""
+    found = []
+    for n in (*known.short, SHINGLE):
+        h, at = shingle_hashes(words, first, n)
+        found.append(at[known.may_be(h)])
+    p = np.unique(np.concatenate(found))
+    if not len(p):
+        return
+    rows = np.searchsorted(first, p, "right") - 1
+    low, high = np.maximum(p - known.longest, first[rows]), np.minimum(p + known.longest + SHINGLE, first[rows + 1])
+    apart = np.ones(len(p), bool)
+    apart[1:] = (low[1:] > high[:-1]) | (rows[1:] != rows[:-1])
+    begins = np.flatnonzero(apart)
+    ends = np.append(begins[1:], len(p)) - 1
+    by_row: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        at, own = by_row.setdefault(int(rows[a]), ([], []))
+        at.append(int(low[a] - first[rows[a]]))
+        own.append(words[low[a] : high[b]])
+    for r, (at, own) in by_row.items():
+        yield r, at, own
+
+
+def found_in(ix: Items, n_words: int, places: list[int], parts: list[np.ndarray], beyond: bool = True) -> Iterator[tuple[int, float, int, int]]:
+    """(item, similarity, first word, words) of each item that a row's islands match."""
+    best: dict[int, tuple[float, int, int]] = {}
+    for place, words in zip(places, parts, strict=True):
+        first = np.array([0, len(words)])
         for n, known in ix.short.items():
             h, at = shingle_hashes(words, first, n)
-            told: set[tuple[int, int]] = set()
-            for k in np.flatnonzero(np.isin(h, np.array(list(known), np.uint64))):
-                r = int(row_of[at[k]])
+            for k in np.flatnonzero(np.isin(h, np.array(list(known), np.uint64))).tolist():
                 for item in known[int(h[k])]:
-                    if (r, item) not in told:
-                        told.add((r, item))
-                        yield i + r, item, 1.0, int(at[k] - first[r]), n
-        h, at = shingle_hashes(words, first, SHINGLE)
+                    best.setdefault(item, (1.0, place + int(at[k]), n))
+        h, _ = shingle_hashes(words, first, SHINGLE)
         if not len(h) or not len(ix.shingles):
             continue
         maybe = np.flatnonzero(ix.seen[(h >> np.uint64(44)).astype(np.int64)])
         k = np.minimum(np.searchsorted(ix.shingles, h[maybe]), len(ix.shingles) - 1)
         sure = ix.shingles[k] == h[maybe]
-        maybe, k = maybe[sure], k[sure]
-        rows = row_of[at[maybe]]
-        for r in np.unique(rows).tolist():
-            own = rows == r
-            lo = int(np.searchsorted(at, first[r]))  # the row's first shingle
-            hi = int(np.searchsorted(at, first[r + 1]))
-            for item, (s, w, n) in matches(ix, h[lo:hi], maybe[own] - lo, k[own], int(first[r + 1] - first[r])).items():
-                yield i + r, item, s, w, n
+        for item, (s, w, n) in matches(ix, h, maybe[sure], k[sure], n_words, beyond).items():
+            if s > best.get(item, (0.0, 0, 0))[0]:  # islands come in the order of the row
+                best[item] = (s, place + w, n)
+    for item, (s, w, n) in best.items():
+        yield item, s, w, n
 
 
 #: The block that this worker has indexed last.
@@ -184,38 +243,60 @@ def indexed(name: str, shared: Broadcast) -> Items:
     return _LAST[name]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), beyond: bool = True) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: one row for each document row and item that a window of it resembles, with the best window, the first of equal ones.
 
-    Only windows that share as many shingles with items of their size as the
-    similarity takes are fingerprinted: others can't reach it. Items of fewer
-    than SHINGLE words match where all their words stand; null and empty items
-    never. Null and empty documents match nothing; a null doc_id stays null, and
+    Documents are read once, whatever the benchmark's size, and aren't shuffled:
+    where they have a run of words that an item may have, the words around it
+    are an island, and islands are all that is compared. Items of fewer than
+    SHINGLE words match where all their words stand; null and empty items never.
+    Null and empty documents match nothing; a null doc_id stays null, and
     repeated rows match as often as they occur. carry: columns of docs that come
-    with each match. Documents aren't shuffled. The benchmark goes to the
-    executors in blocks of bounded size: its rows, not the documents, decide how
-    many. A worker indexes a block once."""
+    with each match. The benchmark goes to the executors in blocks of bounded
+    size; a worker indexes a block once. More than one block has islands written
+    to a table, which each block reads. beyond: see matches()."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     blocks = max(1, -(-total // ITEM_BYTES))
+    context = docs.sparkSession.sparkContext
     shaped = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    known = context.broadcast(sieve(items))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, offsets, data in byte_parts(batch.column(1)):
+                words, first = words_of(data, offsets)
+                rows = list(islands(words, first, known.value))
+                if rows:
+                    at, places, parts = zip(*rows, strict=True)
+                    own = batch.slice(i, j - i).take(pa.array(at, pa.int64()))
+                    n = pa.array([int(first[r + 1] - first[r]) for r in at], pa.int64())
+                    yield pa.RecordBatch.from_arrays([own.column(0), n, pa.array(places, pa.list_(pa.int64())), pa.array([[w.view(np.int64) for w in p] for p in parts], pa.list_(pa.list_(pa.int64()))), *own.columns[2:]], ["doc_id", "n_words", "places", "parts", *carry])
+        release()
+
+    near = shaped.mapInArrow(cut, "doc_id long, n_words long, places array<long>, parts array<array<long>>" + carried(docs, carry))
+    if blocks > 1:
+        near = written(near, "islands")
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     names = [*(f.split()[0] for f in schema.split(", ")), *carry]
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in part])
+        shared = context.broadcast([(r.item, r.text) for r in part])
 
         def scan(batches: Iterator[pa.RecordBatch], name=uuid.uuid4().hex, shared=shared) -> Iterator[pa.RecordBatch]:
             ix = indexed(name, shared)
             for batch in batches:
-                found = list(find(batch.column(1), ix))
+                found = []
+                for r in range(batch.num_rows):
+                    parts = [p.values.to_numpy().view(np.uint64) for p in batch.column(3)[r]]
+                    found += [(r, *x) for x in found_in(ix, batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), parts, beyond)]
                 if found:
                     at, *rest = zip(*found, strict=True)
                     own = batch.take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.float64() if k == 1 else pa.int64()) for k, c in enumerate(rest)), *own.columns[2:]], names)
+                    yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.float64() if k == 1 else pa.int64()) for k, c in enumerate(rest)), *own.columns[4:]], names)
 
-        found = shaped.mapInArrow(scan, schema + carried(docs, carry))
+        found = near.mapInArrow(scan, schema + carried(docs, carry))
         out = found if out is None else out.union(found)
     return out
 

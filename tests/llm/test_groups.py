@@ -182,10 +182,29 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in decontamination.contaminated(odd.documents(spark, data), bench).collect())
     assert got == want and len(want) > 60
+    # what the blocks of fingerprints find by themselves, and what is left to the way beyond them
+    alone = {(r.doc_id, r.item_id) for r in decontamination.contaminated(odd.documents(spark, data), bench, beyond=False).collect()}
+    every, short = {(d, i) for d, i, *_ in want}, {k for k, t in items if t and len(words(t)) < 5}
+    assert 0.9 <= len({x for x in every & alone if x[1] not in short}) / len({x for x in every if x[1] not in short}) and alone <= every
     assert decontamination.contaminated(odd.empty(spark), bench).count() == 0
     assert decontamination.contaminated(odd.documents(spark), bench.limit(0)).count() == 0
 
 
+def test_blocks_of_fingerprints_name_candidates():
+    rng = random.Random(4)
+    item = odd.prose(rng, 100)
+    changed = item.split()
+    changed[50] = "zzz"
+    ix = decontamination.index([(7, item)])
+    raw = np.frombuffer(f"{odd.prose(rng, 9)} {' '.join(changed)} {odd.prose(rng, 9)}".encode(), np.uint8)
+    words, _ = decontamination.words_of(raw, np.array([0, len(raw)]))
+    both = list(decontamination.found_in(ix, len(words), [0], [words]))
+    assert both == list(decontamination.found_in(ix, len(words), [0], [words], beyond=False)) and both[0][0] == 7
+    ix.tables = {size: [{} for _ in tables] for size, tables in ix.tables.items()}
+    assert not list(decontamination.found_in(ix, len(words), [0], [words], beyond=False))
+    assert both == list(decontamination.found_in(ix, len(words), [0], [words]))
+
+
 def test_decontamination_in_blocks(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = Counter(map(tuple, decontamination.contaminated(docs, bench).collect()))
