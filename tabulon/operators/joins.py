@@ -25,6 +25,31 @@ def last_written(df: DataFrame, keys: list[str], value: str, order: str) -> Data
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value), (F.count("*") - 1).alias("overwritten"))
 
 
+def array_key(values: Column) -> Column:
+    """One string for an array of strings: equal for equal arrays alone, whatever their values hold. Null elements are kept apart from empty ones."""
+    return F.to_json(F.struct(values.alias("v")), {"ignoreNullFields": "false"})
+
+
+def patched(records: DataFrame, source: DataFrame, keys: list[str], value: str, replacement: str, former: str, order: str) -> DataFrame:
+    """records with value replaced by what source has under the same keys, of which any may be arrays of strings.
+
+    Adds status (miss, unchanged or changed, by trimmed texts), overwritten (how
+    many rows of source the one taken has overwritten: the last by order wins)
+    and agreed (if the value was the one that source calls former). One
+    aggregate finds the last row and the collisions, one join patches. Null keys
+    match nothing; a null element of an array matches a null element."""
+    kinds = dict(records.dtypes)
+    key = lambda c: array_key(F.col(c)) if kinds[c].startswith("array") else F.col(c)
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = lambda df: df.select("*", *[F.when(F.col(c).isNotNull(), key(c)).alias(n) for c, n in zip(keys, names, strict=True)])
+    last = keyed(source).groupBy(*names).agg(F.max_by(F.struct(F.col(replacement).alias("new"), F.col(former).alias("old")), order).alias("_hit"), (F.count("*") - 1).alias("overwritten"))
+    met = keyed(records).join(last, names, "left").drop(*names)
+    same = lambda c: F.coalesce(F.trim(value) == F.trim(c), F.lit(False))
+    new = F.col("_hit.new")
+    status = F.when(F.col("_hit").isNull(), "miss").when(same(new), "unchanged").otherwise("changed")
+    return met.withColumns({"status": status, "agreed": F.when(F.col("_hit").isNotNull(), same(F.col("_hit.old"))), value: F.when(F.col("_hit").isNotNull() & ~same(new), new).otherwise(F.col(value))}).drop("_hit")
+
+
 def with_default(left: DataFrame, lookup: DataFrame, keys: list[str], value: str, default: Column) -> DataFrame:
     """left with the lookup's value, else the default; lookup has one row for each key."""
     return left.join(lookup.select(*keys, F.col(value).alias("_found")), keys, "left").withColumn(value, F.coalesce("_found", default)).withColumn("hit", F.col("_found").isNotNull()).drop("_found")

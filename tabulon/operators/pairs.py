@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_f1
+from ..sources.scratch import written
+from .blocks import numbered
 from .summary import numeric
 
 #: The F1 that unrelated texts reach, by which drift can be rescaled (a fixed value).
@@ -25,6 +27,43 @@ def side_by_side(texts: DataFrame, comparisons: list[tuple[str, str, str]]) -> D
     return pairs.where(usable(F.col("left")) & usable(F.col("right")))
 
 
+def catalogue(texts: DataFrame, spec: list[tuple], unrelated: DataFrame | None = None) -> DataFrame:
+    """All comparisons of a study as one table, a table of its own: section, arm, record_id, frame_id, analysis, condition, unit, left_sha, right_sha, job_index; a pair that lacks a side has none.
+
+    texts: arm, arm_ix, record_id, frame_id, condition, unit, text, one row each.
+    spec: (section, analysis, condition shown, left condition, right condition,
+    unit, arms or None for all), in order. unrelated: source, target, from each
+    record's source text to another record's; its pairs are of section
+    'unrelated', of spec's first unit. Jobs are numbered in the order in which
+    they come: by section, arm, record, then line of the table.
+
+    Texts are hashed where they are, so hashes alone are shuffled, once for all
+    comparisons within a record and twice for unrelated ones."""
+    text = F.coalesce("text", F.lit(""))
+    light = texts.select("arm", "arm_ix", "record_id", "frame_id", "condition", "unit", F.when(F.length(F.trim(text)) > 0, F.sha2(text, 256)).alias("sha"))
+    sections = list(dict.fromkeys(line[0] for line in spec))
+    needed = sorted({(c, line[5]) for line in spec for c in line[3:5]})
+    at = {x: f"t{k}" for k, x in enumerate(needed)}
+    wide = light.groupBy("arm", "arm_ix", "record_id", "frame_id").agg(*[F.max(F.when((F.col("condition") == c) & (F.col("unit") == u), F.col("sha"))).alias(at[c, u]) for c, u in needed])
+    line = lambda k, section, analysis, shown, a, b, unit, arms: F.when(F.col("arm").isin(*arms) if arms else F.lit(True), F.struct(F.lit(sections.index(section)).alias("section_ix"), F.lit(section).alias("section"), F.lit(k).alias("line"), F.lit(analysis).alias("analysis"), F.lit(shown).alias("condition"), F.lit(unit).alias("unit"), F.col(at[a, unit]).alias("left_sha"), F.col(at[b, unit]).alias("right_sha")))
+    each = wide.select("arm", "arm_ix", "record_id", "frame_id", F.explode(F.filter(F.array(*[line(k, *x) for k, x in enumerate(spec)]), lambda x: x.isNotNull())).alias("p")).select("arm", "arm_ix", "record_id", "frame_id", "p.*")
+    if unrelated is not None:
+        unit = spec[0][5]
+        own = light.where((F.col("condition") == "source") & (F.col("unit") == unit))
+        met = unrelated.join(own.withColumnRenamed("record_id", "source").withColumnRenamed("sha", "left_sha").drop("condition", "unit"), "source").join(own.select(F.col("record_id").alias("target"), F.col("sha").alias("right_sha")), "target")
+        each = each.unionByName(met.select("arm", "arm_ix", F.col("source").alias("record_id"), "frame_id", F.lit(len(sections)).alias("section_ix"), F.lit("unrelated").alias("section"), F.lit(len(spec)).alias("line"), F.lit(f"unrelated_{unit}").alias("analysis"), F.lit("unrelated").alias("condition"), F.lit(unit).alias("unit"), "left_sha", "right_sha"))
+    each = written(each, "comparisons")
+    usable = F.col("left_sha").isNotNull() & F.col("right_sha").isNotNull()
+    columns = ["section", "arm", "record_id", "frame_id", "analysis", "condition", "unit", "left_sha", "right_sha"]
+    jobs = numbered(each.where(usable), ["section_ix", "arm_ix", "record_id", "line"], "job_index").select(*columns, F.col("job_index").cast("long").alias("job_index"))
+    return jobs.unionByName(each.where(~usable).select(*columns, F.lit(None).cast("long").alias("job_index")))
+
+
+def catalogue_counts(jobs: DataFrame) -> DataFrame:
+    """section, analysis, arm, condition, unit: pairs, and those dropped for want of a side."""
+    return jobs.groupBy("section", "analysis", "arm", "condition", "unit").agg(F.count("job_index").alias("pairs"), F.count_if(F.col("job_index").isNull()).alias("dropped"))
+
+
 def drift(pairs: DataFrame, score: Column | None = None) -> DataFrame:
     """Adds f1 (of tokens as sets, unless another score is given), drift = 1 - f1 and both rescaled by the baseline."""
     s = score if score is not None else token_f1(F.col("left"), F.col("right"))
