@@ -35,6 +35,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+USABLE = f"""{PAIRED_SQL}, ok AS (SELECT * FROM texts WHERE length(trim(array_to_string(words, ''))) > 0),
+j AS (SELECT c.record_id, c.arm, c.frame_id, 'primary_' || c.condition AS analysis, c.condition, s.words AS l, c.words AS r FROM ok c JOIN ok s ON s.record_id = c.record_id AND s.condition = 'source' WHERE c.condition <> 'source')"""
+SCORED = f"""{USABLE}, d AS (SELECT *, 1 - 2.0 * len(list_intersect(list_distinct(l), list_distinct(r))) / (len(list_distinct(l)) + len(list_distinct(r))) AS drift FROM j)"""
+
+
 # --- accuracy -------------------------------------------------------------------
 
 
@@ -209,14 +214,6 @@ def ece_per_class(spark, sf_dir):
     return classification.expected_error(predictions(spark, sf_dir), ("pred",))
 
 
-@query("""WITH v AS (SELECT vec_id, [cast(embedding[1] AS DOUBLE), embedding[2], embedding[3], embedding[4]] AS x FROM embeddings), e AS (SELECT vec_id, x, list_max(x) AS m FROM v),
-s AS (SELECT vec_id, x, m, list_transform(x, lambda y: exp(y - m)) AS p FROM e)
-SELECT vec_id, round(1.0 / list_sum(p), 6) AS confidence, cast(list_position(x, m) - 1 AS INT) AS pred FROM s""")
-def softmax_argmax(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("logits"))
-    return classification.with_prediction(v, "logits").select("vec_id", F.round("confidence", 6).alias("confidence"), "pred")
-
-
 @query("""WITH q AS (SELECT l.doc_id, l.quality AS gold, CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END AS pred FROM labels l)
 SELECT gold, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1 FROM q GROUP BY gold""")
 def label_confusion(spark, sf_dir):
@@ -264,9 +261,6 @@ def word_length_distribution(spark, sf_dir):
 
 # --- bootstrap -----------------------------------------------------------------
 
-REPS = 200
-
-
 def _sums(spark, sf_dir) -> DataFrame:
     p = predictions(spark, sf_dir, ("plain", "plain_desc"), ("source", "grey"))
     is_ = lambda a, c: (F.col("arm") == a) & (F.col("condition") == c)
@@ -276,46 +270,19 @@ def _sums(spark, sf_dir) -> DataFrame:
 
 SUMS = f"""{P}, sums AS (SELECT frame_id, count(*) FILTER (arm = 'plain' AND condition = 'source') AS n, cast(coalesce(sum(correct) FILTER (arm = 'plain' AND condition = 'source'), 0) AS BIGINT) AS ps, cast(coalesce(sum(correct) FILTER (arm = 'plain' AND condition = 'grey'), 0) AS BIGINT) AS pg,
   cast(coalesce(sum(correct) FILTER (arm = 'plain_desc' AND condition = 'source'), 0) AS BIGINT) AS ds, cast(coalesce(sum(correct) FILTER (arm = 'plain_desc' AND condition = 'grey'), 0) AS BIGINT) AS dg FROM predictions GROUP BY frame_id)"""
-DRAWS = f"""{SUMS}, ixd AS (SELECT *, row_number() OVER (ORDER BY frame_id % 256, frame_id) - 1 AS ix FROM sums), slots AS (SELECT r.i AS rep, ix AS slot FROM ixd, range({REPS}) r(i)),
-drawn AS (SELECT rep, cast('0x' || substr(md5('42|' || rep || '|' || slot), 1, 8) AS BIGINT) % (SELECT count(*) FROM ixd) AS ix FROM slots),
-reps AS (SELECT rep, sum(n) AS n, sum(ps) AS ps, sum(pg) AS pg, sum(ds) AS ds, sum(dg) AS dg FROM drawn JOIN ixd USING (ix) GROUP BY rep)"""
-
-
 @query(f"{SUMS} SELECT * FROM sums")
 def cluster_sums(spark, sf_dir):
     return _sums(spark, sf_dir)
 
 
-def _interval_sql(stats: dict[str, str]) -> str:
-    each = " UNION ALL ".join(f"SELECT '{k}' AS statistic, {v} AS v FROM reps" for k, v in stats.items())
-    return f"{DRAWS}, v AS ({each}) SELECT statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v GROUP BY statistic"
-
-
-@query(_interval_sql({"plain_source": "ps / n", "plain_grey": "pg / n", "plain_gap": "(ps - pg) / n", "gap_contrast": "((ps - pg) - (ds - dg)) / n"}))
-def cluster_bootstrap_ci(spark, sf_dir):
-    r = bootstrap.replicates(_sums(spark, sf_dir), "frame_id", ["n", "ps", "pg", "ds", "dg"], REPS)
-    return bootstrap.interval(r, {"plain_source": F.try_divide("ps", "n"), "plain_grey": F.try_divide("pg", "n"), "plain_gap": F.try_divide(F.col("ps") - F.col("pg"), "n"), "gap_contrast": F.try_divide(F.expr("(ps - pg) - (ds - dg)"), "n")})
-
-
-@query(_interval_sql({"plain_ratio": "pg / nullif(ps, 0)", "desc_ratio": "dg / nullif(ds, 0)", "difference": "dg / nullif(ds, 0) - pg / nullif(ps, 0)"}))
-def ratio_bootstrap_diff(spark, sf_dir):
-    r = bootstrap.replicates(_sums(spark, sf_dir), "frame_id", ["ps", "pg", "ds", "dg"], REPS)
-    plain, desc = F.try_divide("pg", "ps"), F.try_divide("dg", "ds")
-    return bootstrap.interval(r, {"plain_ratio": plain, "desc_ratio": desc, "difference": desc - plain})
-
-
-@query(f"""{DRAWS}, v AS (SELECT 'source_difference' AS statistic, (ds - ps) / n AS v FROM reps UNION ALL SELECT 'grey_difference', (dg - pg) / n FROM reps UNION ALL SELECT 'gap', (ps - pg) / n FROM reps),
-t AS (SELECT statistic, round(least(1.0, 2.0 * (1 + least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0))) / (count(*) + 1)), 9) AS p FROM v GROUP BY statistic),
-k AS (SELECT *, row_number() OVER (ORDER BY p, statistic) AS rank FROM t), a AS (SELECT *, least(1.0, min(p * 3 / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM k)
-SELECT statistic, p, cast(rank AS INT) AS rank, round(adjusted, 9) AS adjusted, adjusted <= 0.05 AS reject FROM a""")
-def bootstrap_pvalue_bh(spark, sf_dir):
-    r = bootstrap.replicates(_sums(spark, sf_dir), "frame_id", ["n", "ps", "pg", "ds", "dg"], REPS)
-    stats = {"source_difference": F.expr("try_divide(ds - ps, n)"), "grey_difference": F.expr("try_divide(dg - pg, n)"), "gap": F.expr("try_divide(ps - pg, n)")}
-    return ranking.step_up(bootstrap.two_sided(r, stats), "p", len(stats), "statistic").withColumn("adjusted", F.round("adjusted", 9))
+#: As many replicates as the reference takes; interval_sql() has SQL for fewer.
+FULL_REPS = 10_000
 
 
-#: As many replicates as the reference takes; SQL would be too slow, so these have none.
-FULL_REPS = 10_000
+def _draws_sql(before: str, columns: list[str], reps: int) -> str:
+    """A WITH clause that ends in reps: rep and the columns' totals over its draws. before ends in sums, one row a cluster (frame_id)."""
+    return f"""{before}, ixd AS (SELECT *, row_number() OVER (ORDER BY frame_id % 256, frame_id) - 1 AS ix FROM sums), drawn AS (SELECT r.i AS rep, cast('0x' || substr(md5('42|' || r.i || '|' || ix), 1, 8) AS BIGINT) % (SELECT count(*) FROM ixd) AS ix FROM ixd, range({reps}) r(i)),
+times AS (SELECT rep, ix, count(*) AS t FROM drawn GROUP BY ALL), reps AS (SELECT rep, {", ".join(f'cast(sum("{c}" * t) AS BIGINT) AS "{c}"' for c in columns)} FROM times JOIN ixd USING (ix) GROUP BY rep)"""
 
 
 def _battery_sums(spark, sf_dir) -> DataFrame:
@@ -328,6 +295,21 @@ def _battery_sums(spark, sf_dir) -> DataFrame:
     return bootstrap.cluster_sums(r, "frame_id", {"n": F.lit(1)} | own | turned)
 
 
+def _battery_sql(reps: int) -> str:
+    """v: statistic and value of every replicate."""
+    cells = [f"{a}__{c}" for a in ARMS for c in C]
+    rec = ", ".join(f"max(correct) FILTER (arm = '{a}' AND condition = '{c}') AS \"{a}__{c}\"" for a in ARMS for c in C)
+    turned = ", ".join(f'sum("{a}__source" * (1 - "{a}__grey")) AS "{a}__turned"' for a in ARMS)
+    sums = f"""{P}, rec AS (SELECT record_id, frame_id, {rec} FROM predictions GROUP BY ALL), sums AS (SELECT frame_id, count(*) AS n, {", ".join(f'sum("{x}") AS "{x}"' for x in cells)}, {turned} FROM rec GROUP BY frame_id)"""
+    k = lambda a, c: f'"{a}__{c}"'
+    linear = {}
+    for a in ARMS:
+        linear |= {f"accuracy {a} {c}": k(a, c) for c in C} | {f"gap {a} {c}": f"{k(a, 'source')} - {k(a, c)}" for c in C if c != "source"} | {f"mirror_less_mismatch {a}": f"{k(a, 'mirror')} - {k(a, 'mismatch')}"}
+    linear |= {f"gap_contrast {d} {b}": f"{k(d, 'source')} - {k(d, 'grey')} - {k(b, 'source')} + {k(b, 'grey')}" for d, b in CONTRASTS}
+    each = {s: f"({x}) / n" for s, x in linear.items()} | {f"turned_contrast {d} {b}": f"{k(d, 'turned')} / nullif({k(d, 'source')}, 0) - {k(b, 'turned')} / nullif({k(b, 'source')}, 0)" for d, b in CONTRASTS}
+    return f"""{_draws_sql(sums, ["n", *cells, *(f"{a}__turned" for a in ARMS)], reps)}, v AS (SELECT unnest([{", ".join(f"{{'s': '{s}', 'v': cast({x} AS DOUBLE)}}" for s, x in each.items())}], recursive := true) FROM reps)"""
+
+
 def _battery_stats() -> dict[str, Column]:
     """The 50 linear estimands and the 2 differences of ratios."""
     k = lambda a, c: F.col(f"{a}__{c}")
@@ -369,6 +351,20 @@ def drift_bootstrap_ci(spark, sf_dir):
 _JUDGE_STATS = {"coverage": "en", "conditional": "ke", "pipeline": "kn", "baseline_all": "bn", "baseline_subset": "de", "delta_pipeline": "kbn", "delta_conditional": "kde"}
 
 
+def _judge_sql(reps: int) -> str:
+    """v: arm, setting, statistic and value of every replicate."""
+    parts = {"n": "true", "e": "e", "k": "e AND h % 17 <> 4 AND correct = 1", "b": "b", "d": "e AND b"}
+    own = ", ".join(f"count(*) FILTER (arm = '{a}' AND condition = '{c}' AND {x}) AS \"{a}__{c}__{k}\"" for a in ARMS for c in C for k, x in parts.items())
+    sums = f"{P}, q AS (SELECT *, h % 10 <> 9 AS e, record_id % 4 = h % 4 AS b FROM predictions), sums AS (SELECT frame_id, {own} FROM q GROUP BY frame_id)"
+
+    def ratio(a: str, c: str, letters: str) -> str:
+        first, *less, over = (f'"{a}__{c}__{k}"' for k in letters)
+        return f"({first}{f' - {less[0]}' if less else ''}) / nullif({over}, 0)"
+
+    each = ", ".join(f"{{'arm': '{a}', 'setting': '{c}', 'statistic': '{s}', 'v': cast({ratio(a, c, x)} AS DOUBLE)}}" for a in ARMS for c in C for s, x in _JUDGE_STATS.items())
+    return f"{_draws_sql(sums, [f'{a}__{c}__{k}' for a in ARMS for c in C for k in parts], reps)}, v0 AS (SELECT unnest([{each}], recursive := true) FROM reps), v AS (SELECT * FROM v0 WHERE v IS NOT NULL)"
+
+
 def _judge_values(spark, sf_dir) -> DataFrame:
     """Each cell's five sums (all, eligible, right, baseline right, of these eligible) and their ratios. Every cell has every cluster, so all cells share draws."""
     p = predictions(spark, sf_dir)
@@ -402,6 +398,21 @@ def judge_bootstrap_bh(spark, sf_dir):
     return ranking.step_up(p, "p", len(ARMS) * len(C), "arm", "setting").withColumn("adjusted", F.round("adjusted", 9))
 
 
+def interval_sql(reps: int) -> dict[str, str]:
+    """SQL for the queries of FULL_REPS replicates at fewer of them: at all it takes minutes, so none is registered."""
+    return {
+        "bootstrap_battery_ci": f"{_battery_sql(reps)} SELECT s AS statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v WHERE v IS NOT NULL GROUP BY s",
+        "bootstrap_battery_histogram": f"{_battery_sql(reps)} SELECT s AS statistic, cast(floor(v * 200) AS BIGINT) AS bin, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL",
+        "drift_bootstrap_ci": f"""{SCORED}, sums AS (SELECT arm, condition, frame_id, count(*) AS n, sum(drift) AS s FROM d WHERE drift IS NOT NULL GROUP BY ALL), ixd AS (SELECT *, row_number() OVER (PARTITION BY arm, condition ORDER BY frame_id) - 1 AS ix, count(*) OVER (PARTITION BY arm, condition) AS m FROM sums),
+drawn AS (SELECT arm, condition, r.i AS rep, cast('0x' || substr(md5('42|' || r.i || '|' || ix), 1, 8) AS BIGINT) % m AS ix FROM ixd, range({reps}) r(i)), v AS (SELECT arm, condition, rep, sum(s) / sum(n) AS v FROM drawn JOIN ixd USING (arm, condition, ix) GROUP BY ALL)
+SELECT arm, condition, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS replicates FROM v GROUP BY ALL""",
+        "judge_bootstrap_ci": f"{_judge_sql(reps)} SELECT arm, setting, statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v GROUP BY ALL",
+        "judge_bootstrap_bh": f"""{_judge_sql(reps)}, t AS (SELECT arm, setting, round(least(1.0, 2.0 * (1 + least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0))) / (count(*) + 1)), 9) AS p FROM v WHERE statistic = 'delta_pipeline' GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (ORDER BY p, arm, setting) AS rank FROM t), a AS (SELECT *, least(1.0, min(p * {len(ARMS) * len(C)} / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM k)
+SELECT arm, setting, p, cast(rank AS INT) AS rank, round(adjusted, 9) AS adjusted, adjusted <= 0.05 AS reject FROM a""",
+    }
+
+
 # --- integrity -----------------------------------------------------------------
 
 
@@ -411,12 +422,6 @@ def ordered_hash_by_arm(spark, sf_dir):
     return integrity.ordered_hash(predictions(spark, sf_dir, conditions=("source",)), ["arm"], "gold", "dataset_index")
 
 
-@query("""SELECT n_name, sha256('{"n_name":"' || n_name || '","n_nationkey":"' || n_nationkey || '","n_regionkey":"' || n_regionkey || '"}') AS row_hash FROM nation""")
-def canonical_row_hash(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"))
-    return n.select("n_name", hashing.canonical(n.columns).alias("row_hash"))
-
-
 @query("""WITH e AS (SELECT event_id AS k FROM events WHERE event_id % 7 <> 3), a AS (SELECT event_id + CASE WHEN event_id % 11 = 5 THEN 1000000000 ELSE 0 END AS k FROM events WHERE event_id % 5 <> 2),
 n AS (SELECT k, sum(e) AS e, sum(a) AS a FROM (SELECT k, 1 AS e, 0 AS a FROM e UNION ALL SELECT k, 0, 1 FROM a) GROUP BY k)
 SELECT count(*) FILTER (e > 0) AS expected, count(*) FILTER (a > 0) AS actual, count(*) FILTER (e > 0 AND a = 0) AS missing, count(*) FILTER (e = 0 AND a > 0) AS unexpected, count(*) FILTER (a > 1) AS repeated,
@@ -533,9 +538,6 @@ def prev_batch_mismatch(spark, sf_dir):
 
 COMPARISONS = [(f"primary_{c}", "source", c) for c in C[1:]]
 SETS = "list_distinct(words)"
-USABLE = f"""{PAIRED_SQL}, ok AS (SELECT * FROM texts WHERE length(trim(array_to_string(words, ''))) > 0),
-j AS (SELECT c.record_id, c.arm, c.frame_id, 'primary_' || c.condition AS analysis, c.condition, s.words AS l, c.words AS r FROM ok c JOIN ok s ON s.record_id = c.record_id AND s.condition = 'source' WHERE c.condition <> 'source')"""
-SCORED = f"""{USABLE}, d AS (SELECT *, 1 - 2.0 * len(list_intersect(list_distinct(l), list_distinct(r))) / (len(list_distinct(l)) + len(list_distinct(r))) AS drift FROM j)"""
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -766,22 +768,6 @@ def lineage_status(spark, sf_dir):
     return judge.lineage(t, "current", "generated", "final", "reasoning", "same").groupBy("lineage").agg(F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(range(1, 9), lambda i: CASE WHEN i % 3 = 0 THEN cast((doc_id + i) % 6 AS VARCHAR) ELSE 'w' || i END) AS ws FROM documents), n AS (SELECT *, ['person', 'car', lang, source] AS names FROM w JOIN documents USING (doc_id))
-SELECT doc_id, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND cast(CASE WHEN regexp_full_match(x, '[0-9]+') THEN x ELSE '99' END AS INT) < 4 THEN coalesce(names[cast(CASE WHEN regexp_full_match(x, '[0-9]+') THEN x ELSE '99' END AS INT) + 1], '') || '_' || x ELSE x END), ' ') AS rendered FROM n""")
-def ref_label_render(spark, sf_dir):
-    words = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i % 3 == 0, ((F.col("doc_id") + i) % 6).cast("string")).otherwise(F.concat(F.lit("w"), i.cast("string"))))
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.array(F.lit("person"), F.lit("car"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("names"))
-    return d.select("doc_id", text.render_references(F.col("w"), F.col("names")).alias("rendered"))
-
-
-@query("""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 9 = 4 THEN ' AKIA' || upper(substr(md5(cast(doc_id AS VARCHAR)), 1, 16)) ELSE '' END AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b'), lambda v: substr(sha256(v), 1, 12))) AS fingerprint, 'aws_access_key' AS type FROM d""")
-def secret_scan(spark, sf_dir):
-    injected = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit(" AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16)))).otherwise("")
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", injected).alias("t"))
-    return d.select("doc_id", F.explode(hashing.secrets(F.col("t"))).alias("s")).where("s.type = 'aws_access_key'").select("doc_id", "s.fingerprint", "s.type")
-
-
 def _finding_sql(kind: str, pattern: str) -> str:
     """The line of a match: line feeds in the pieces up to it and in the matches before it."""
     quoted, own = pattern.replace("'", "''"), kind == "credential_assignment"
@@ -886,7 +872,7 @@ def page_basenames(spark, sf_dir):
 _PROMPT_SQL = """p AS (SELECT doc_id, arm, 'Question: ' || substring(coalesce(text, ''), 1, 80) || chr(10) || 'Choices: A) yes B) no' || CASE WHEN arm LIKE '%_desc' THEN chr(10) || 'Description: ' || coalesce(lang, '') ELSE '' END AS prompt FROM documents, (VALUES ('plain'), ('plain_desc')) a(arm))"""
 
 
-def _prompts(spark, sf_dir, chars: int | None = 80) -> DataFrame:
+def _prompts(spark, sf_dir, chars: int | None = None) -> DataFrame:
     """A prompt for each document and arm, of the text's first chars or all of it; arms with descriptions have one line more."""
     own = F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").withColumn("arm", F.explode(F.array(F.lit("plain"), F.lit("plain_desc"))))
@@ -895,29 +881,6 @@ def _prompts(spark, sf_dir, chars: int | None = 80) -> DataFrame:
     return d.select("doc_id", "arm", F.concat(base, extra).alias("prompt"))
 
 
-@query(f"""WITH {_PROMPT_SQL}, m AS (SELECT doc_id, arm, sha256(prompt || CASE WHEN doc_id % 50 = 7 THEN '!' ELSE '' END) AS h FROM p)
-SELECT p.arm, count(*) AS n, count(*) FILTER (sha256(p.prompt) = m.h) AS equal FROM p JOIN m ON m.doc_id = p.doc_id AND m.arm = p.arm GROUP BY p.arm""")
-def prompt_reconstruction_audit(spark, sf_dir):
-    """Every prompt rebuilt and compared by hash with a manifest, some of whose rows were altered."""
-    p = _prompts(spark, sf_dir)
-    altered = F.when(F.col("doc_id") % 50 == 7, "!").otherwise("")
-    m = p.select("doc_id", "arm", F.sha2(F.concat("prompt", altered), 256).alias("h"))
-    return p.join(m, ["doc_id", "arm"]).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.sha2("prompt", 256) == F.col("h")).alias("equal"))
-
-
-@query(f"WITH {_PROMPT_SQL} SELECT arm, count(*) AS n, count(*) FILTER (regexp_matches(prompt, '(?i)answer:|gold|label')) AS leaks FROM p GROUP BY arm")
-def prompt_sentinel(spark, sf_dir):
-    """Prompts that hold a marker which would give the answer away."""
-    return _prompts(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("prompt").rlike("(?i)answer:|gold|label")).alias("leaks"))
-
-
-@query(f"WITH {_PROMPT_SQL}, h AS (SELECT sha256(prompt) AS h, count(*) AS n FROM p GROUP BY 1) SELECT count(*) AS tasks, cast(sum(n) AS BIGINT) AS prompts, cast(sum(n) - count(*) AS BIGINT) AS saved FROM h")
-def prompt_task_dedup(spark, sf_dir):
-    """Distinct prompts by hash: what a judge has to score, and what it is spared."""
-    h = _prompts(spark, sf_dir).groupBy(F.sha2("prompt", 256).alias("h")).agg(F.count("*").alias("n"))
-    return h.agg(F.count("*").alias("tasks"), F.sum("n").alias("prompts"), (F.sum("n") - F.count("*")).alias("saved"))
-
-
 #: The same three over whole texts.
 _WHOLE_PROMPT_SQL = """p AS (SELECT doc_id, arm, 'Question: ' || coalesce(text, '') || chr(10) || 'Choices: A) yes B) no' || CASE WHEN arm LIKE '%_desc' THEN chr(10) || 'Description: ' || coalesce(lang, '') ELSE '' END AS prompt FROM documents, (VALUES ('plain'), ('plain_desc')) a(arm))"""
 
@@ -1052,9 +1015,3 @@ def recovery_strata(spark, sf_dir):
     share = accuracy.share
     return p.rollup("arm", "stratum").agg(n.alias("n"), u.alias("usable"), k.alias("recovered"), share(k, u).alias("conditional"), share(k, n).alias("pipeline"), share(u, n).alias("coverage")).where("arm is not null")
 
-
-@query(f"""{DRAWS}, v AS (SELECT ps / n AS v FROM reps) SELECT cast(floor(v * 200) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY 1""")
-def bootstrap_histogram(spark, sf_dir):
-    """How a statistic's replicates spread: the source of a figure."""
-    r = bootstrap.replicates(_sums(spark, sf_dir), "frame_id", ["n", "ps"], REPS)
-    return r.groupBy(F.floor(F.try_divide("ps", "n") * 200).alias("bin")).agg(F.count("*").alias("n"))

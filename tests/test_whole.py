@@ -8,10 +8,13 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from tabulon.functions.hashing import SECRETS
 from tabulon.operators import bootstrap
+from tabulon.plans import queries
 from tabulon.plans.queries import FULL_REPS, ORACLE, QUERIES, _battery_stats, _battery_sums
+from tests.oracle import assert_same
 
 
 def documents(path, texts):
@@ -92,3 +95,9 @@ def test_bootstraps_are_whole(spark, tmp_path):
     judged = QUERIES["judge_bootstrap_ci"](spark, sf).collect()
     assert len(judged) == 4 * 6 * 7 and all(0 < r.replicates <= 10_000 for r in judged)
     assert min(r.p for r in QUERIES["judge_bootstrap_bh"](spark, sf).collect()) >= round(2 / 10_001, 9)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_battery_ci", "bootstrap_battery_histogram", "drift_bootstrap_ci", "judge_bootstrap_ci", "judge_bootstrap_bh"])
+def test_intervals_beside_sql_at_few_replicates(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(queries, "FULL_REPS", 12)
+    assert_same(QUERIES[name](spark, sf), queries.interval_sql(12)[name], sf)
