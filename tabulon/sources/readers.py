@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .logs import lines
+
 
 def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """All columns as strings, by header; compressed files are read by their suffix. A row of another width fails."""
@@ -41,12 +43,12 @@ def merged_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mixed_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Lines that are records or lists of records, with their file and place in it; others are left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    """Lines that are records or lists of records, with their file and place in it (the line's number from 1, and the item's in its list from 0); others are left out."""
+    found = lines(spark, path).select("value", "file", F.col("line").alias("place"))
     many = F.from_json("value", ArrayType(schema))
     one = F.array(F.from_json("value", schema))
     rows = F.when(F.ltrim("value").startswith("["), many).when(F.ltrim("value").startswith("{"), one)
-    return lines.select("file", "place", F.posexplode(rows).alias("item", "r")).select("file", "place", "item", "r.*")
+    return found.select("file", "place", F.posexplode(rows).alias("item", "r")).select("file", "place", "item", "r.*")
 
 
 def shards(spark: SparkSession, root: str, schema: StructType, key: str, name: str = "records.jsonl") -> DataFrame:

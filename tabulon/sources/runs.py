@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .logs import lines
 from .writers import atomic
 
 
@@ -29,13 +30,11 @@ def start(root: str, config: dict, spark: SparkSession) -> str:
 
 
 def torn(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantined lines) of an append log. Only the last line of a file may be torn: a bad line before it fails."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    """(records, quarantined: file, line, byte_offset, value) of an append log. A line is torn if it is its file's last, has no line end and is no record; any other line that is none fails."""
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    read = lines.where("trim(value) <> ''").withColumn("r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    last = lines.where("trim(value) <> ''").groupBy("file").agg(F.max("place").alias("last"))
-    judged = read.join(last, "file")
+    read = lines(spark, path).where("trim(value) <> ''").withColumn("r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r._bad").isNotNull()
-    records = judged.where(~(bad & (F.col("place") == F.col("last"))))
-    ok = records.withColumn("r", F.when(bad, F.raise_error(F.concat(F.lit("a line that isn't the last is no record: "), F.col("file")))).otherwise(F.col("r")))
-    return ok.select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields]), judged.where(bad & (F.col("place") == F.col("last"))).select("file", "value")
+    records = read.where(~bad | F.col("ended"))
+    place = F.concat(F.lit("a line that isn't torn off is no record: "), F.col("file"), F.lit(", line "), F.col("line").cast("string"))
+    ok = records.withColumn("r", F.when(bad, F.raise_error(place)).otherwise(F.col("r")))
+    return ok.select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields]), read.where(bad & ~F.col("ended")).select("file", "line", "byte_offset", "value")

@@ -30,6 +30,8 @@ def test_json_documents(spark, tmp_path):
     assert sorted(r.k for r in readers.json_document(spark, str(tmp_path / "d.json")).collect()) == ["a", "b"]
     (tmp_path / "m.jsonl").write_text('[{"k":"a","v":1},{"k":"b","v":2}]\n{"k":"c","v":3}\nnoise\n')
     assert sorted(r.k for r in readers.mixed_json(spark, str(tmp_path / "m.jsonl"), PAIR).collect()) == ["a", "b", "c"]
+    text = (tmp_path / "m.jsonl").read_text().split("\n")
+    assert all(f'"{r.k}"' in text[r.place - 1] for r in readers.mixed_json(spark, str(tmp_path / "m.jsonl"), PAIR).collect())
 
 
 def test_shards_must_be_unique(spark, tmp_path):
