@@ -40,6 +40,10 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 @functools.cache
 def byte_letters() -> dict[str, int]:
@@ -230,6 +234,8 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if with_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns + piece.columns[2:], names)
+        # the worker lives on, and other operators' tasks come next
+        c.words.forget(), c.apart.forget()
         release()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(encoded, schema + carried(docs, carry))
