@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import carried, release, table
 
 #: Entries of each generation of a worker's caches; a cache has two. Longer words aren't kept.
-CACHED, KEPT_CHARS = 150_000, 48
+CACHED, KEPT_CHARS = 60_000, 48
 
 
 class Recent(dict):
