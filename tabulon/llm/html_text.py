@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Pages of one host that a template is deduced from, about: larger hosts are dealt to several groups.
-GROUP_PAGES = 150
+#: Pages of one host that a task reads at a time, about, and bytes of equal pages that it may.
+GROUP_PAGES, HOT_BYTES = 150, 32 << 20
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
 _EDGE = re.compile("[>\"']")
@@ -154,155 +156,309 @@ def read(page: str) -> tuple[list[str], list[Block]]:
 @dataclass
 class Template:
     root: dict[str, int]  # tokens that stand once in nearly all pages, by their place in order
-    slots: dict[tuple[int, str], bool]  # (slot, path): if its text is content
-    nested: dict[tuple[str, ...], int]  # classes that repeat, and the slot of root that holds them
+    slots: dict[tuple[int, str], bool]  # (slot, path): if its text is content; for what half of the pages have
     texts: frozenset[str]  # blocks of articles that are the template's
 
 
+#: A page that a template is deduced from: a hash of it, its tokens, its blocks.
+Page = tuple[int, list[str], list[Block]]
+
+
+def hashed(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def nearly_all(k: int, n: int) -> bool:
     return 10 * k >= 9 * n
 
 
-def classes(pages: list[list[str]]) -> dict[tuple, list[str]]:
-    """Tokens by their occurrence vector, for those in at least half of the pages."""
-    vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for k, tokens in enumerate(pages):
-        for t, n in Counter(tokens).items():
-            vectors[t].append((k, n))
-    out: dict[tuple, list[str]] = defaultdict(list)
-    for t, v in vectors.items():
-        if 2 * len(v) >= len(pages):
-            out[tuple(v)].append(t)
-    return out
-
-
-def in_order(tokens: list[str], pages: list[list[str]]) -> list[str]:
-    """Those of the tokens that keep their order in nearly all of the pages that have them, by their mean rank."""
-    wanted, ranks, places = set(tokens), defaultdict(list), []
-    for p in pages:
-        at: dict[str, int] = {}
-        for i, t in enumerate(p):
-            if t in wanted and t not in at:
-                at[t] = i
-        for r, t in enumerate(at):
-            ranks[t].append(r)
-        places.append(at)
-    kept: list[str] = []
-    for t in sorted(tokens, key=lambda t: (sum(ranks[t]) / len(ranks[t]), t)):
-        both = [at[kept[-1]] < at[t] for at in places if kept[-1] in at and t in at] if kept else []
-        if nearly_all(sum(both), len(both)):
-            kept.append(t)
-    return kept
-
-
-def gaps(root: dict[str, int], tokens: list[str]) -> list[int]:
-    """For each place of tokens, the slot it is in: one more than the last root token before it. A page that lacks a root token keeps the numbers of the others."""
-    out, n = [], 0
-    for t in tokens:
-        out.append(n)
-        n = max(n, root.get(t, -1) + 1)
-    out.append(n)
-    return out
-
-
-def independent(pages: list[list[Block]]) -> list[int]:
-    """Pages with an article that don't share half of its characters with one before them: near copies say no more about a template than copies."""
-    out: list[int] = []
-    holders: dict[str, list[int]] = defaultdict(list)
-    for k, blocks in enumerate(pages):
-        own = {text_token(b): len(b.text) for b in blocks if b.inside and not b.apart}
-        shared: Counter[int] = Counter()
-        for t, n in own.items():
-            for j in holders.get(t, ()):
-                shared[j] += n
-        if own and 2 * max(shared.values(), default=0) < sum(own.values()):
-            out.append(k)
-            for t in own:
-                holders[t].append(k)
-    return out
+def article(blocks: list[Block]) -> dict[str, int]:
+    """The text tokens of a page's article with their lengths."""
+    return {text_token(b): len(b.text) for b in blocks if b.inside and not b.apart}
+
+
+def survey(pages: list[Page]) -> Iterator[dict]:
+    """First look at some of a host's pages: tokens that half of them have, and the blocks of each article.
+
+    What half of all pages have, half of the pages of some group have, so no
+    such token is missed. Text tokens inside articles count among pages with an
+    article alone."""
+    counts: Counter[str] = Counter()
+    inside: set[str] = set()
+    articles = 0
+    for sig, tokens, blocks in pages:
+        counts.update(set(tokens))
+        own = {text_token(b) for b in blocks if b.inside}
+        inside |= own
+        articles += bool(own)
+        for token, n in article(blocks).items():
+            yield {"key": hashed(token), "sig": sig, "n": n}
+    for token, k in counts.items():
+        if 2 * k >= (articles if token in inside else len(pages)):
+            yield {"token": token, "key": 0}
+
+
+def count(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
+    """Second look: occurrence vectors of the tokens found, as digests, and the pages that say something new of an article.
+
+    Near copies say no more about a template than copies: a page counts among
+    articles if over half of its article's characters are in blocks that no
+    page before it (by hash) has."""
+    wanted = {r["token"] for r in notes if r["token"] is not None}
+    owned: Counter[int] = Counter()
+    for r in notes:
+        if r["token"] is None:
+            owned[r["sig"]] += r["n"]
+    stats = {t: [0, 0, 0, 0, 0] for t in wanted}
+    articles = 0
+    for sig, tokens, blocks in pages:
+        first: dict[str, int] = {}
+        times: Counter[str] = Counter()
+        for i, t in enumerate(tokens):
+            if t in wanted:
+                first.setdefault(t, i)
+                times[t] += 1
+        for t, c in times.items():
+            s = stats[t]
+            s[0] += 1
+            s[1] += c
+            s[2] += c == 1
+            s[3] ^= hashed(f"{sig} {c}")
+            s[4] += (first[t] << 20) // len(tokens)
+        articles += any(b.inside for b in blocks)
+        if 2 * owned[sig] > sum(article(blocks).values()):
+            yield {"sig": sig}
+    for t, (n, total, once, digest, at) in stats.items():
+        if n:
+            yield {"token": t, "n": n, "total": total, "once": once, "digest": digest, "at": at}
+    yield {"token": "", "n": len(pages), "total": articles, "once": 0, "digest": 0, "at": 0}
+
+
+def in_turn(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (token's index, root place) whose places rise: what stands out of order in a page is no mark there."""
+    if all(a[1] < b[1] for a, b in zip(places, places[1:])):
+        return places
+    ends: list[int] = []  # root places that end the best runs of each length
+    at: list[int] = []
+    before = [-1] * len(places)
+    for i, (_, place) in enumerate(places):
+        k = bisect.bisect_left(ends, place)
+        before[i] = at[k - 1] if k else -1
+        ends[k:], at[k:] = [place, *ends[k + 1 :]], [i, *at[k + 1 :]]
+    out, i = [], at[-1]
+    while i >= 0:
+        out.append(places[i])
+        i = before[i]
+    return out[::-1]
+
+
+def gaps(root: dict[str, int], tokens: list[str], wanted: Iterable[int]) -> list[int]:
+    """The slot of each wanted index of tokens: one more than the last root token before it. A page that lacks a root token keeps the numbers of the others."""
+    first: dict[str, int] = {}
+    for i, t in enumerate(tokens):
+        if t in root:
+            first.setdefault(t, i)
+    marks = in_turn([(i, root[t]) for t, i in first.items()])
+    index = [i for i, _ in marks]
+    return [marks[k - 1][1] + 1 if (k := bisect.bisect_left(index, i)) else 0 for i in wanted]
+
+
+def describe(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
+    """Third look: the root and, for each slot and class, what these pages say of it."""
+    total = next((r for r in notes if r["token"] == ""), {"n": 0, "total": 0})
+    n, articles = total["n"], total["total"]
+    alone = {r["sig"] for r in notes if r["token"] is None}
+    inside = {text_token(b) for _, _, blocks in pages for b in blocks if b.inside}
+    found = [r for r in notes if r["token"] and 2 * r["n"] >= (articles if r["token"] in inside else n)]
+    once = sorted((r for r in found if n > 1 and nearly_all(r["once"], n)), key=lambda r: (r["at"] / r["n"], r["token"]))
+    root = {r["token"]: i for i, r in enumerate(once)}
+    for token, i in root.items():
+        yield {"kind": "root", "name": token, "place": i, "n": 0}
+    # tokens of equal vectors are a class; one that repeats is nested in a slot, its tokens in turn
+    members: dict[tuple[int, int, int], list[str]] = defaultdict(list)
+    for r in found:
+        if r["total"] > r["n"]:
+            members[r["digest"], r["n"], r["total"]].append(r["token"])
+    owner = {t: min(ts) for ts in members.values() if len(ts) > 1 for t in ts}
+    size = Counter(owner.values())
+    known = {r["token"] for r in found}
+    common: Counter[str] = Counter()
+    slots: dict[tuple[int, str], dict] = {}
+    nested: dict[str, dict] = {}
+    for sig, tokens, blocks in pages:
+        turns: dict[str, list[int]] = defaultdict(list)
+        for i, t in enumerate(tokens):
+            if t in owner:
+                turns[owner[t]].append(i)
+        for name, at in turns.items():
+            held = gaps(root, tokens, [at[0], at[-1]])
+            seq = [tokens[i] for i in at]
+            turn = seq[: size[name]]
+            valid = seq == turn * (len(seq) // len(turn))
+            text = hashed("\1".join(turn))
+            r = nested.setdefault(name, {"kind": "class", "name": name, "n": 0, "broken": 0, "low": held[0], "high": held[1], "least": text, "most": text})
+            r |= {"broken": r["broken"] + (not valid), "low": min(r["low"], held[0]), "high": max(r["high"], held[1]), "least": min(r["least"], text), "most": max(r["most"], text)}
+        if sig in alone:
+            common.update({text_token(b) for b in blocks if b.inside} & known)
+        here: dict[tuple[int, str], list[Block]] = defaultdict(list)
+        for b, place in zip(blocks, gaps(root, tokens, [b.at for b in blocks])):
+            here[place, b.path].append(b)
+        for (place, path), bs in here.items():
+            r = slots.setdefault((place, path), {"kind": "slot", "name": path, "place": place, "n": 0, "k": 0, "chars": 0, "linked": 0, "least": None, "most": None, "of": articles if bs[0].inside else n, "inside": int(bs[0].inside)})
+            r["n"] += 1
+            r["chars"] += sum(len(b.text) for b in bs)
+            r["linked"] += sum(round(len(b.text) * b.linked) for b in bs)
+            if sig in alone or not bs[0].inside:
+                text = hashed("\1".join(b.text for b in bs))
+                r |= {"k": r["k"] + 1, "least": text if r["least"] is None else min(r["least"], text), "most": text if r["most"] is None else max(r["most"], text)}
+    yield from nested.values()
+    yield from slots.values()
+    for token, k in common.items():
+        yield {"kind": "text", "name": token, "group": owner.get(token), "n": 0, "k": k}
+    yield {"kind": "pages", "name": "", "n": len(pages), "k": sum(sig in alone for sig, _, _ in pages)}
+
+
+def decided(notes: list[dict]) -> Template:
+    """The template of a host from what all its pages said."""
+    total = next((r for r in notes if r["kind"] == "pages"), {"n": 0, "k": 0})
+    n, alone = total["n"], total["k"]
+    valid = {r["name"] for r in notes if r["kind"] == "class" and not r["broken"] and r["low"] == r["high"] and r["least"] == r["most"]}
+    # an article's block is the template's if it stands in nearly all articles, or in half of them as part of a class that repeats
+    texts = frozenset(r["name"] for r in notes if r["kind"] == "text" and r["k"] >= 3 and (nearly_all(r["k"], alone) or (r["group"] in valid and 2 * r["k"] >= alone)))
+    slots = {}
+    for r in notes:
+        if r["kind"] == "slot":
+            inside = bool(r["inside"])
+            constant = r["k"] >= 3 and 2 * r["k"] >= (alone if inside else n) and r["least"] == r["most"]
+            slots[r["place"], r["name"]] = not constant and (inside or r["linked"] < 0.6 * r["chars"])
+    return Template({r["name"]: r["place"] for r in notes if r["kind"] == "root"}, slots, texts)
 
 
 def deduce(pages: list[tuple[list[str], list[Block]]]) -> Template:
-    """The template of one host's pages. Equal pages count once, and pages without tokens not at all: they say nothing about a template."""
-    distinct = list({tuple(t): (t, b) for t, b in pages if t}.values())
-    tokens = [t for t, _ in distinct]
-    n = len(tokens)
-    found = classes(tokens)
-    once = [t for vector, members in found.items() if nearly_all(sum(c == 1 for _, c in vector), n) for t in members] if n > 1 else []
-    root = {t: i for i, t in enumerate(in_order(once, tokens))}
-    places = [gaps(root, t) for t in tokens]
-    # a class that repeats is valid if all its occurrences lie in one slot of the root, its tokens in turn
-    repeating = [(vector, members) for vector, members in found.items() if len(members) > 1 and any(c > 1 for _, c in vector)]
-    owner = {t: i for i, (_, members) in enumerate(repeating) for t in members}
-    seen: list[dict[int, list[str]]] = [defaultdict(list) for _ in repeating]
-    held: list[set[int]] = [set() for _ in repeating]
-    for k, page in enumerate(tokens):
-        for t, place in zip(page, places[k]):
-            if (i := owner.get(t)) is not None:
-                seen[i][k].append(t)
-                held[i].add(place)
-    nested: dict[tuple[str, ...], int] = {}
-    for i, (vector, members) in enumerate(repeating):
-        turn = seen[i][vector[0][0]][: len(members)]
-        if len(held[i]) == 1 and all(seen[i][k] == turn * c for k, c in vector):
-            nested[tuple(turn)] = next(iter(held[i]))
-    alone = independent([b for _, b in distinct])
-    # an article's block is the template's if it stands in nearly all articles, or in half of them as part of a class that repeats
-    common = Counter(t for k in alone for t in {text_token(b) for b in distinct[k][1] if b.inside})
-    repeats = {t for turn in nested for t in turn}
-    texts = frozenset(t for t, k in common.items() if k >= 3 and (nearly_all(k, len(alone)) or (t in repeats and 2 * k >= len(alone))))
-    by_slot: dict[tuple[int, str], dict[int, list[Block]]] = defaultdict(dict)
-    for k, (_, blocks) in enumerate(distinct):
-        for b in blocks:
-            by_slot[places[k][b.at], b.path].setdefault(k, []).append(b)
-    slots = {}
-    for key, by_page in by_slot.items():
-        some = next(iter(by_page.values()))[0]
-        if some.inside:
-            counted = [by_page[k] for k in alone if k in by_page]
-            constant = len(counted) >= 3 and 2 * len(counted) >= len(alone)
-        else:
-            counted = list(by_page.values())
-            constant = n >= 3 and 2 * len(counted) >= n
-        constant = constant and len({tuple(b.text for b in bs) for bs in counted}) == 1
-        chars = sum(len(b.text) for bs in by_page.values() for b in bs)
-        links = sum(len(b.text) * b.linked for bs in by_page.values() for b in bs) / max(1, chars)
-        slots[key] = not some.apart and not constant and (some.inside or links < 0.6)
-    return Template(root, slots, nested, texts)
+    """The template of pages in memory: the three looks at one group. Equal pages count once, and pages without tokens not at all."""
+    own = [(i, t, b) for i, (t, b) in enumerate({tuple(t): (t, b) for t, b in pages if t}.values())]
+    first: dict[tuple, dict] = {}
+    for r in survey(own):
+        key = (r.get("token"), r["key"])
+        first[key] = min(first.get(key, r), r, key=lambda r: r.get("sig", 0))
+    notes = list(count(own, [{"token": None, "sig": None, "n": None} | r for r in first.values()]))
+    notes = list(describe(own, [{"token": None} | r for r in notes]))
+    return decided([r for r in notes if r["kind"] != "slot" or 2 * r["n"] >= r["of"]])
 
 
 def main_text(template: Template, tokens: list[str], blocks: list[Block]) -> str:
-    """Blocks of the page's content slots, in order; where the page has an article, of those inside it."""
-    place = gaps(template.root, tokens)
-    kept = [b for b in blocks if template.slots.get((place[b.at], b.path), not b.apart) and not (b.inside and text_token(b) in template.texts)]
+    """Blocks of the page's content slots, in order; where the page has an article, of those inside it. Slots that the template doesn't know are judged by the page."""
+    slots = list(zip(gaps(template.root, tokens, [b.at for b in blocks]), [b.path for b in blocks]))
+    chars: Counter[tuple[int, str]] = Counter()
+    linked: Counter[tuple[int, str]] = Counter()
+    for slot, b in zip(slots, blocks):
+        chars[slot] += len(b.text)
+        linked[slot] += round(len(b.text) * b.linked)
+    content = [template.slots.get(s, b.inside or linked[s] < 0.6 * chars[s]) and not b.apart and not (b.inside and text_token(b) in template.texts) for s, b in zip(slots, blocks)]
+    kept = [b for b, ok in zip(blocks, content) if ok]
     if any(b.inside for b in kept):
         kept = [b for b in kept if b.inside]
     return " ".join(b.text for b in kept)
 
 
+def _pages(group: pa.Table) -> list[Page]:
+    """Pages of a group that a template is deduced from: each html once, none without tokens."""
+    own = {s: h for s, h, lead in zip(group.column("sig").to_pylist(), group.column("html").to_pylist(), group.column("lead").to_pylist()) if lead}
+    read_ = [(s, *read(h)) for s, h in sorted(own.items())]
+    return [p for p in read_ if p[1]]
+
+
+def _table(rows: Iterable[dict], group: pa.Table, schema: pa.Schema) -> pa.Table:
+    """rows with the group's keys, as a table."""
+    keys = {k: group.column(k)[0].as_py() for k in _KEYS} if len(group) else {}
+    rows = list(rows) if keys else []
+    return pa.table({f.name: pa.array([keys[f.name] if f.name in keys else r.get(f.name) for r in rows], f.type) for f in schema}, schema)
+
+
+#: What tells a group of a host: its host, its number, and how many the host has.
+_KEYS = ("hid", "part", "parts")
+
+
+def _schema(strings: str, longs: str) -> pa.Schema:
+    return pa.schema([(k, pa.int64()) for k in _KEYS] + [(c, pa.string()) for c in strings.split()] + [(c, pa.int64()) for c in longs.split()])
+
+
+_SURVEY = _schema("token", "key sig n")
+_COUNT = _schema("token", "sig n total once digest at")
+_DESCRIBE = _schema("kind name group", "place n k of inside broken low high least most chars linked")
+
+
+def _spark(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {'string' if f.type == pa.string() else 'long'}" for f in schema)
+
+
+def host_templates(dealt: DataFrame) -> DataFrame:
+    """hid, part and rows that say the template of each host, for each of its groups; dealt is shuffled by hid and part once, and read in each look.
+
+    Each look sends on rows for what half of a group's pages have, or a row for
+    each block of an article; a host's rows are partial aggregates over its
+    groups. No task has more of a host than one group and a template, which is
+    bounded by twice a mean page."""
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+
+    def to_groups(rows: DataFrame, one: Column) -> DataFrame:
+        """A token's row to all groups of its host, a page's to its own."""
+        return rows.withColumn("part", F.explode(F.when(F.col("token").isNotNull(), everywhere).otherwise(F.array(one))))
+
+    def look(step, schema: pa.Schema, notes: DataFrame | None = None) -> DataFrame:
+        if notes is None:
+            return dealt.groupBy("hid", "part").applyInArrow(lambda group: _table(step(_pages(group)), group, schema), _spark(schema))
+        both = dealt.groupBy("hid", "part").cogroup(notes.groupBy("hid", "part"))
+        return both.applyInArrow(lambda group, notes: _table(step(_pages(group), notes.to_pylist()), group, schema), _spark(schema))
+
+    first = look(survey, _SURVEY).groupBy("hid", "token", "key").agg(F.min(F.struct("sig", "part", "n")).alias("first"), F.max("parts").alias("parts"))
+    first = to_groups(first, F.col("first.part")).select("hid", "part", "token", "first.sig", "first.n")
+    second = look(count, _COUNT, first).groupBy("hid", "token", "sig").agg(*[F.sum(c).alias(c) for c in ("n", "total", "once", "at")], F.bit_xor("digest").alias("digest"), F.min("part").alias("own"), F.max("parts").alias("parts"))
+    second = to_groups(second, F.col("own")).select("hid", "part", "token", "sig", "n", "total", "once", "at", "digest")
+    third = look(describe, _DESCRIBE, second).groupBy("hid", "kind", "name", "group", "place")
+    third = third.agg(*[F.sum(c).alias(c) for c in ("n", "k", "broken", "chars", "linked")], *[F.min(c).alias(c) for c in ("low", "least")], *[F.max(c).alias(c) for c in ("of", "inside", "high", "most", "parts")])
+    return third.where("kind != 'slot' or 2 * n >= of").withColumn("part", F.explode(everywhere)).drop("parts", "of")
+
+
+def dealt_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, group_pages: int) -> DataFrame:
+    """page_id, url, html, hid (hash of the host), sig (hash of the html), lead (if the row speaks for its html), part, parts.
+
+    A host of more than group_pages pages is dealt to parts by sig, so equal
+    pages meet; an html whose copies on a host have more than HOT_BYTES is
+    dealt by page, and its smallest row speaks for it. Such htmls are
+    broadcast: they are fewer than the table's bytes over HOT_BYTES."""
+    host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    shaped = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.xxhash64(host).alias("hid"))
+    shaped = shaped.withColumn("sig", F.xxhash64("html"))
+    row = F.xxhash64("page_id", "url")
+    large = shaped.groupBy("hid").agg(F.count("*").alias("n")).where(F.col("n") > group_pages).select("hid", F.ceil(F.col("n") / group_pages).cast("long").alias("parts"))
+    hot = shaped.groupBy("hid", "sig").agg(F.sum(F.octet_length("html")).alias("bytes"), F.min(row).alias("speaker")).where(F.col("bytes") > HOT_BYTES).drop("bytes")
+    # tables of their own, so that their sizes are known before pages are joined
+    dealt = shaped.join(written(large, "large-hosts"), "hid", "left").join(F.broadcast(written(hot, "hot-pages")), ["hid", "sig"], "left")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = dealt.select("page_id", "url", "html", "hid", "sig", F.coalesce(F.col("speaker") == row, F.lit(True)).alias("lead"), F.pmod(F.when(F.col("speaker").isNull(), F.col("sig")).otherwise(row), parts).alias("part"), parts.alias("parts"))
+    return dealt.repartition("hid", "part")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """Per row: page_id, url, text ('' if none), n_chars.
 
-    Pages meet by host; a host of more than group_pages pages is dealt to
-    several groups by a hash of the page, each with a template of its own, so
-    no group grows with its host. A page alone in its group, or without a host,
-    is judged by its own elements. Null html is empty. Equal pages of a group
-    get equal texts; rows with a null or repeated page_id come back as often."""
-    host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    shaped = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    large = shaped.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("groups"))
-    # a table of its own, so that its size is known before pages are joined; dealt by both keys, or a host's groups would share a task
-    dealt = shaped.join(written(large, "large-hosts"), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).drop("groups")
-    dealt = dealt.repartition("host", "part")
-
-    def extracted(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        read_ = [read(x.as_py()) for x in group.column("html")]
-        template = deduce(read_)
-        texts = [main_text(template, t, b) for t, b in read_]
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    return dealt.groupBy("host", "part").applyInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    A host has one template, whatever its size; group_pages says only how its
+    pages are dealt to tasks and changes no result. A page alone in its host,
+    or without a host, is judged by its own elements. Null html is empty. Equal
+    pages of a host get equal texts; rows with a null or repeated page_id come
+    back as often."""
+    dealt = dealt_pages(pages, id_col, url_col, html_col, group_pages)
+
+    def extracted(group: pa.Table, notes: pa.Table) -> pa.Table:
+        template = decided(notes.to_pylist())
+        texts = [main_text(template, *read(x.as_py())) for x in group.column("html")]
+        columns = [group.column("page_id"), group.column("url")] if len(group) else [pa.array([], pa.int64()), pa.array([], pa.string())]
+        return pa.table([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    both = dealt.groupBy("hid", "part").cogroup(host_templates(dealt).groupBy("hid", "part"))
+    return both.applyInArrow(extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,34 @@ def test_html_root_survives_odd_pages():
     assert sum(x.endswith(" word") for x in t) >= 100
 
 
+def test_html_one_template_a_host(spark, monkeypatch):
+    """A box in about nine of ten articles gets one verdict for the whole host, however its pages are dealt; copies, also very many, change nothing."""
+    rng = random.Random(15)
+    for share, cut in ((285, True), (255, False)):
+        rows = []
+        for k in range(300):
+            box = "<p>Read this and that in our app</p>" if k % 300 < share else ""
+            rows.append((k, f"http://a/{k}", f"<body><div><p>Top of all</p></div><article><h1>t{k}</h1><p>{odd.prose(rng, 30)}</p>{box}<p>{odd.prose(rng, 20)}</p></article></body>"))
+        near = rows[0][2].replace("</article>", "<p>ends {}</p></article>")
+        rows += [(1000 + k, f"http://a/{k}", near.format(k)) for k in range(90)] + [(2000 + k, f"http://a/c{k}", rows[1][2]) for k in range(60)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        want = {}
+        template = html_text.deduce([html_text.read(h) for _, _, h in rows])
+        for k, _, h in rows:
+            want[k] = html_text.main_text(template, *html_text.read(h))
+        assert ("in our app" not in want[0]) == cut and "Top of all" not in want[0]
+        for group, hot in ((1000, 32 << 20), (40, 32 << 20), (40, 2000)):
+            monkeypatch.setattr(html_text, "HOT_BYTES", hot)
+            assert {r.page_id: r.text for r in html_text.extract(df, group_pages=group).collect()} == want
+
+
+def test_html_order_of_marks():
+    """What stands out of order in a page is no mark of a slot there."""
+    assert html_text.in_turn([(0, 0), (4, 3), (5, 1), (9, 2), (11, 4)]) == [(0, 0), (5, 1), (9, 2), (11, 4)]
+    assert html_text.in_turn([]) == [] and html_text.in_turn([(3, 1)]) == [(3, 1)]
+    assert html_text.gaps({"a": 0, "b": 1}, ["x", "a", "y", "b", "b", "z"], [0, 1, 2, 5]) == [0, 0, 1, 2]
+
+
 def test_html_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     import html as refs
