@@ -275,14 +275,13 @@ def cluster_sums(spark, sf_dir):
     return _sums(spark, sf_dir)
 
 
-#: As many replicates as the reference takes; interval_sql() has SQL for fewer.
+#: As many replicates as the reference takes; interval_sql() has SQL beside a table of draws.
 FULL_REPS = 10_000
 
 
-def _draws_sql(before: str, columns: list[str], reps: int) -> str:
-    """A WITH clause that ends in reps: rep and the columns' totals over its draws. before ends in sums, one row a cluster (frame_id)."""
-    return f"""{before}, ixd AS (SELECT *, row_number() OVER (ORDER BY frame_id % 256, frame_id) - 1 AS ix FROM sums), drawn AS (SELECT r.i AS rep, cast('0x' || substr(md5('42|' || r.i || '|' || ix), 1, 8) AS BIGINT) % (SELECT count(*) FROM ixd) AS ix FROM ixd, range({reps}) r(i)),
-times AS (SELECT rep, ix, count(*) AS t FROM drawn GROUP BY ALL), reps AS (SELECT rep, {", ".join(f'cast(sum("{c}" * t) AS BIGINT) AS "{c}"' for c in columns)} FROM times JOIN ixd USING (ix) GROUP BY rep)"""
+def _draws_sql(before: str, columns: list[str]) -> str:
+    """A WITH clause that ends in reps: rep and the columns' totals over its draws. before ends in sums, one row a cluster (frame_id); the table draws has rep, frame_id and times."""
+    return f"""{before}, reps AS (SELECT rep, {", ".join(f'cast(sum("{c}" * times) AS BIGINT) AS "{c}"' for c in columns)} FROM draws JOIN sums USING (frame_id) GROUP BY rep)"""
 
 
 def _battery_sums(spark, sf_dir) -> DataFrame:
@@ -295,7 +294,7 @@ def _battery_sums(spark, sf_dir) -> DataFrame:
     return bootstrap.cluster_sums(r, "frame_id", {"n": F.lit(1)} | own | turned)
 
 
-def _battery_sql(reps: int) -> str:
+def _battery_sql() -> str:
     """v: statistic and value of every replicate."""
     cells = [f"{a}__{c}" for a in ARMS for c in C]
     rec = ", ".join(f"max(correct) FILTER (arm = '{a}' AND condition = '{c}') AS \"{a}__{c}\"" for a in ARMS for c in C)
@@ -307,7 +306,7 @@ def _battery_sql(reps: int) -> str:
         linear |= {f"accuracy {a} {c}": k(a, c) for c in C} | {f"gap {a} {c}": f"{k(a, 'source')} - {k(a, c)}" for c in C if c != "source"} | {f"mirror_less_mismatch {a}": f"{k(a, 'mirror')} - {k(a, 'mismatch')}"}
     linear |= {f"gap_contrast {d} {b}": f"{k(d, 'source')} - {k(d, 'grey')} - {k(b, 'source')} + {k(b, 'grey')}" for d, b in CONTRASTS}
     each = {s: f"({x}) / n" for s, x in linear.items()} | {f"turned_contrast {d} {b}": f"{k(d, 'turned')} / nullif({k(d, 'source')}, 0) - {k(b, 'turned')} / nullif({k(b, 'source')}, 0)" for d, b in CONTRASTS}
-    return f"""{_draws_sql(sums, ["n", *cells, *(f"{a}__turned" for a in ARMS)], reps)}, v AS (SELECT unnest([{", ".join(f"{{'s': '{s}', 'v': cast({x} AS DOUBLE)}}" for s, x in each.items())}], recursive := true) FROM reps)"""
+    return f"""{_draws_sql(sums, ["n", *cells, *(f"{a}__turned" for a in ARMS)])}, v AS (SELECT unnest([{", ".join(f"{{'s': '{s}', 'v': cast({x} AS DOUBLE)}}" for s, x in each.items())}], recursive := true) FROM reps)"""
 
 
 def _battery_stats() -> dict[str, Column]:
@@ -323,7 +322,7 @@ def _battery_stats() -> dict[str, Column]:
 
 def _battery_replicates(spark, sf_dir) -> DataFrame:
     sums = _battery_sums(spark, sf_dir)
-    return bootstrap.replicates(sums, "frame_id", [c for c in sums.columns if c != "frame_id"], FULL_REPS)
+    return bootstrap.multinomial_replicates(sums, [], "frame_id", [c for c in sums.columns if c != "frame_id"], FULL_REPS)
 
 
 @query()
@@ -338,12 +337,15 @@ def bootstrap_battery_histogram(spark, sf_dir):
     return _battery_replicates(spark, sf_dir).select(each.alias("e")).where("e.v is not null").groupBy("e.statistic", F.floor(F.col("e.v") * 200).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _drift_sums(spark, sf_dir) -> DataFrame:
+    return _scored(spark, sf_dir).where("drift is not null").groupBy("arm", "condition", "frame_id").agg(F.count("*").alias("n"), F.sum("drift").alias("s"))
+
+
 @query()
 def drift_bootstrap_ci(spark, sf_dir):
     """Mean drift of each arm and condition, each on its own clusters."""
     by = ["arm", "condition"]
-    sums = _scored(spark, sf_dir).where("drift is not null").groupBy(*by, "frame_id").agg(F.count("*").alias("n"), F.sum("drift").alias("s"))
-    r = bootstrap.replicates_by(sums, by, "frame_id", ["n", "s"], FULL_REPS).withColumn("v", F.try_divide("s", "n"))
+    r = bootstrap.multinomial_replicates(_drift_sums(spark, sf_dir), by, "frame_id", ["n", "s"], FULL_REPS).withColumn("v", F.try_divide("s", "n"))
     q = F.expr("percentile(v, array(0.025, 0.975))")
     return r.groupBy(*by).agg(q.alias("q"), F.count("v").alias("replicates")).select(*by, F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), "replicates")
 
@@ -351,7 +353,7 @@ def drift_bootstrap_ci(spark, sf_dir):
 _JUDGE_STATS = {"coverage": "en", "conditional": "ke", "pipeline": "kn", "baseline_all": "bn", "baseline_subset": "de", "delta_pipeline": "kbn", "delta_conditional": "kde"}
 
 
-def _judge_sql(reps: int) -> str:
+def _judge_sql() -> str:
     """v: arm, setting, statistic and value of every replicate."""
     parts = {"n": "true", "e": "e", "k": "e AND h % 17 <> 4 AND correct = 1", "b": "b", "d": "e AND b"}
     own = ", ".join(f"count(*) FILTER (arm = '{a}' AND condition = '{c}' AND {x}) AS \"{a}__{c}__{k}\"" for a in ARMS for c in C for k, x in parts.items())
@@ -362,7 +364,7 @@ def _judge_sql(reps: int) -> str:
         return f"({first}{f' - {less[0]}' if less else ''}) / nullif({over}, 0)"
 
     each = ", ".join(f"{{'arm': '{a}', 'setting': '{c}', 'statistic': '{s}', 'v': cast({ratio(a, c, x)} AS DOUBLE)}}" for a in ARMS for c in C for s, x in _JUDGE_STATS.items())
-    return f"{_draws_sql(sums, [f'{a}__{c}__{k}' for a in ARMS for c in C for k in parts], reps)}, v0 AS (SELECT unnest([{each}], recursive := true) FROM reps), v AS (SELECT * FROM v0 WHERE v IS NOT NULL)"
+    return f"{_draws_sql(sums, [f'{a}__{c}__{k}' for a in ARMS for c in C for k in parts])}, v0 AS (SELECT unnest([{each}], recursive := true) FROM reps), v AS (SELECT * FROM v0 WHERE v IS NOT NULL)"
 
 
 def _judge_values(spark, sf_dir) -> DataFrame:
@@ -372,7 +374,7 @@ def _judge_values(spark, sf_dir) -> DataFrame:
     ok = eligible & (F.col("h") % 17 != 4) & (F.col("correct") == 1)
     is_ = lambda a, c: (F.col("arm") == a) & (F.col("condition") == c)
     own = {f"{a}__{c}__{k}": F.when(is_(a, c) & x, 1).otherwise(0) for a in ARMS for c in C for k, x in {"n": F.lit(True), "e": eligible, "k": ok, "b": base, "d": eligible & base}.items()}
-    r = bootstrap.replicates(bootstrap.cluster_sums(p, "frame_id", own), "frame_id", list(own), FULL_REPS)
+    r = bootstrap.multinomial_replicates(bootstrap.cluster_sums(p, "frame_id", own), [], "frame_id", list(own), FULL_REPS)
 
     def ratio(a: str, c: str, parts: str) -> Column:
         first, *less, over = (F.col(f"{a}__{c}__{k}") for k in parts)
@@ -398,16 +400,15 @@ def judge_bootstrap_bh(spark, sf_dir):
     return ranking.step_up(p, "p", len(ARMS) * len(C), "arm", "setting").withColumn("adjusted", F.round("adjusted", 9))
 
 
-def interval_sql(reps: int) -> dict[str, str]:
-    """SQL for the queries of FULL_REPS replicates at fewer of them: at all it takes minutes, so none is registered."""
+def interval_sql() -> dict[str, str]:
+    """SQL for the queries of FULL_REPS replicates beside a table of their draws (rep, frame_id, times; for drifts also arm, condition), which SQL can't make, so none is registered."""
     return {
-        "bootstrap_battery_ci": f"{_battery_sql(reps)} SELECT s AS statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v WHERE v IS NOT NULL GROUP BY s",
-        "bootstrap_battery_histogram": f"{_battery_sql(reps)} SELECT s AS statistic, cast(floor(v * 200) AS BIGINT) AS bin, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL",
-        "drift_bootstrap_ci": f"""{SCORED}, sums AS (SELECT arm, condition, frame_id, count(*) AS n, sum(drift) AS s FROM d WHERE drift IS NOT NULL GROUP BY ALL), ixd AS (SELECT *, row_number() OVER (PARTITION BY arm, condition ORDER BY frame_id) - 1 AS ix, count(*) OVER (PARTITION BY arm, condition) AS m FROM sums),
-drawn AS (SELECT arm, condition, r.i AS rep, cast('0x' || substr(md5('42|' || r.i || '|' || ix), 1, 8) AS BIGINT) % m AS ix FROM ixd, range({reps}) r(i)), v AS (SELECT arm, condition, rep, sum(s) / sum(n) AS v FROM drawn JOIN ixd USING (arm, condition, ix) GROUP BY ALL)
+        "bootstrap_battery_ci": f"{_battery_sql()} SELECT s AS statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v WHERE v IS NOT NULL GROUP BY s",
+        "bootstrap_battery_histogram": f"{_battery_sql()} SELECT s AS statistic, cast(floor(v * 200) AS BIGINT) AS bin, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL",
+        "drift_bootstrap_ci": f"""{SCORED}, sums AS (SELECT arm, condition, frame_id, count(*) AS n, sum(drift) AS s FROM d WHERE drift IS NOT NULL GROUP BY ALL), v AS (SELECT arm, condition, rep, sum(s * times) / sum(n * times) AS v FROM draws JOIN sums USING (arm, condition, frame_id) GROUP BY ALL)
 SELECT arm, condition, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS replicates FROM v GROUP BY ALL""",
-        "judge_bootstrap_ci": f"{_judge_sql(reps)} SELECT arm, setting, statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v GROUP BY ALL",
-        "judge_bootstrap_bh": f"""{_judge_sql(reps)}, t AS (SELECT arm, setting, round(least(1.0, 2.0 * (1 + least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0))) / (count(*) + 1)), 9) AS p FROM v WHERE statistic = 'delta_pipeline' GROUP BY ALL),
+        "judge_bootstrap_ci": f"{_judge_sql()} SELECT arm, setting, statistic, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(*) AS replicates FROM v GROUP BY ALL",
+        "judge_bootstrap_bh": f"""{_judge_sql()}, t AS (SELECT arm, setting, round(least(1.0, 2.0 * (1 + least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0))) / (count(*) + 1)), 9) AS p FROM v WHERE statistic = 'delta_pipeline' GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (ORDER BY p, arm, setting) AS rank FROM t), a AS (SELECT *, least(1.0, min(p * {len(ARMS) * len(C)} / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM k)
 SELECT arm, setting, p, cast(rank AS INT) AS rank, round(adjusted, 9) AS adjusted, adjusted <= 0.05 AS reject FROM a""",
     }

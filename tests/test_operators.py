@@ -57,7 +57,7 @@ def test_dense_index(spark):
 
 def test_bootstrap_of_equal_clusters_is_a_point(spark):
     sums = spark.createDataFrame([(k, 4, 3) for k in range(50)], "c long, n long, s long")
-    r = bootstrap.interval(bootstrap.replicates(sums, "c", ["n", "s"], 40), {"m": F.try_divide("s", "n")}).first()
+    r = bootstrap.interval(bootstrap.multinomial_replicates(sums, [], "c", ["n", "s"], 40), {"m": F.try_divide("s", "n")}).first()
     assert (r.low, r.high, r.replicates) == (0.75, 0.75, 40)
 
 

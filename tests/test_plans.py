@@ -6,9 +6,9 @@ from tabulon.plans.queries import QUERIES
 from tabulon.streaming.resumable import windowed_counts
 
 #: Queries that meet a one-row aggregate, which Spark plans as a nested loop with a broadcast side.
-ONE_ROW = {"derangement_pairs", "derangement_validity", "unrelated_reference", "anchor_ladder", "ece_bins", "calibration_all_bins", "freeze_check", "unrelated_reference_ci"}
+ONE_ROW = {"bootstrap_battery_ci", "bootstrap_battery_histogram", "judge_bootstrap_ci", "judge_bootstrap_bh", "derangement_pairs", "derangement_validity", "unrelated_reference", "anchor_ladder", "ece_bins", "calibration_all_bins", "freeze_check", "unrelated_reference_ci"}
 #: Queries with an Arrow function: Spark has no multinomial draws and no plug-ins.
-ARROW = {"batch_scan", "echo_sensitivity_ci", "description_drift_ci", "unrelated_reference_ci"}
+ARROW = {"batch_scan", "bootstrap_battery_ci", "bootstrap_battery_histogram", "drift_bootstrap_ci", "judge_bootstrap_ci", "judge_bootstrap_bh", "echo_sensitivity_ci", "description_drift_ci", "unrelated_reference_ci"}
 
 
 def plan(df):

@@ -58,25 +58,39 @@ def test_secrets_of_all_kinds_with_lines(spark, tmp_path):
     assert (4, "aws_access_key", 2) in {k[:3] for k in got} and not any(k[0] == 6 and k[2] > 1 for k in got)
 
 
-def drawn(n, reps, seed=42):
-    """Brute force of the draws: how often each replicate takes each cluster."""
-    out = np.zeros((reps, n), dtype=np.int64)
-    for r in range(reps):
-        for slot in range(n):
-            out[r, int(hashlib.md5(f"{seed}|{r}|{slot}".encode()).hexdigest()[:8], 16) % n] += 1
+def drawn(sums, by, reps):
+    """How often each replicate takes each cluster, by group and cluster."""
+    out = {}
+    for r in bootstrap.multinomial_draws(sums, by, sums.columns[len(by)], reps).collect():
+        out.setdefault(tuple(r[: len(by) + 1]), np.zeros(reps, np.int64))[r.rep] += r.times
     return out
 
 
 def test_bootstrap_by_groups(spark):
+    """Totals are those of the draws, which are as many as a group has clusters."""
     rows = [("a", k * 3, k + 1, k % 4) for k in range(9)] + [("b", k * 5, 2, k) for k in range(6)]
     df = spark.createDataFrame(rows, "g string, c long, n long, s long")
-    got = {(r.g, r.rep): (r.n, r.s) for r in bootstrap.replicates_by(df, ["g"], "c", ["n", "s"], 30).collect()}
-    for g in "ab":
-        own = np.array([r[2:] for r in sorted(r for r in rows if r[0] == g)])
-        for rep, total in enumerate(drawn(len(own), 30) @ own):
+    got = {(r.g, r.rep): (r.n, r.s) for r in bootstrap.multinomial_replicates(df, ["g"], "c", ["n", "s"], 30).collect()}
+    counts = drawn(df, ["g"], 30)
+    for g, size in (("a", 9), ("b", 6)):
+        own = [r for r in rows if r[0] == g]
+        assert (sum(counts.get((g, r[1]), 0) for r in own) == size).all()
+        for rep, total in enumerate(sum(np.outer(counts[g, r[1]], r[2:]) for r in own if (g, r[1]) in counts)):
             assert got[g, rep] == tuple(total)
 
 
+def test_draws_of_many_parts(spark):
+    """A tree of 13 parts: each part hears of its own branch alone, and draws add up."""
+    df = spark.range(600).select(bootstrap.F.col("id").alias("c"))
+    counts = {}
+    for r in bootstrap.multinomial_draws(df, [], "c", 200, part_size=48).collect():
+        counts.setdefault(r.c, np.zeros(200, np.int64))[r.rep] += r.times
+    every = np.array([counts.get(c, np.zeros(200, np.int64)) for c in range(600)])
+    assert (every.sum(0) == 600).all() and abs(every.var() - (1 - 1 / 600)) < 0.05
+    heads = bootstrap._heads(df.select("c", bootstrap.F.lit(0).alias("g"), bootstrap.F.pmod("c", bootstrap.F.lit(13)).alias("_part"), bootstrap.F.lit(13).alias("_parts")), ["g"]).collect()
+    assert len(heads) == 13 and all(len(h.path) == 4 for h in heads)
+
+
 def test_bootstraps_are_whole(spark, tmp_path):
     """10,000 replicates over all arms and conditions: 50 linear and 2 ratio estimands, the drifts, seven ratios of each judge cell."""
     assert len(_battery_stats()) == 52 and FULL_REPS == 10_000
@@ -85,10 +99,9 @@ def test_bootstraps_are_whole(spark, tmp_path):
     sf = str(tmp_path)
     battery = {r.statistic: r for r in QUERIES["bootstrap_battery_ci"](spark, sf).collect()}
     assert set(battery) == set(_battery_stats()) and all(r.replicates == 10_000 and r.low <= r.high for r in battery.values())
-    counts = drawn(12, 10_000)
     sums = {r.frame_id: r for r in _battery_sums(spark, sf).collect()}
-    order = sorted(sums)
-    of = lambda c: counts @ np.array([sums[k][c] for k in order])
+    counts = drawn(_battery_sums(spark, sf).select("frame_id"), [], 10_000)
+    of = lambda c: sum(counts[(k,)] * r[c] for k, r in sums.items())
     ratio = lambda a: of(f"{a}__turned") / of(f"{a}__source")
     for name, v in {"accuracy plain grey": of("plain__grey") / of("n"), "gap point mask": (of("point__source") - of("point__mask")) / of("n"), "turned_contrast plain_desc plain": ratio("plain_desc") - ratio("plain")}.items():
         assert np.allclose([battery[name].low, battery[name].high], np.quantile(v, [0.025, 0.975]), atol=2e-9)
@@ -98,6 +111,9 @@ def test_bootstraps_are_whole(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["bootstrap_battery_ci", "bootstrap_battery_histogram", "drift_bootstrap_ci", "judge_bootstrap_ci", "judge_bootstrap_bh"])
-def test_intervals_beside_sql_at_few_replicates(spark, sf, monkeypatch, name):
+def test_intervals_beside_sql_at_few_replicates(spark, sf, monkeypatch, tmp_path, name):
+    """The SQL takes the draws from a table; what it makes of them is its own."""
     monkeypatch.setattr(queries, "FULL_REPS", 12)
-    assert_same(QUERIES[name](spark, sf), queries.interval_sql(12)[name], sf)
+    sums, by = (queries._drift_sums(spark, sf), ["arm", "condition"]) if name == "drift_bootstrap_ci" else (_battery_sums(spark, sf), [])
+    pq.write_table(bootstrap.multinomial_draws(sums, by, "frame_id", 12).toArrow(), f"{tmp_path}/draws.parquet")
+    assert_same(QUERIES[name](spark, sf), queries.interval_sql()[name].replace("FROM draws", f"FROM '{tmp_path}/draws.parquet' draws"), sf)
