@@ -6,8 +6,9 @@ import bisect
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -76,6 +77,9 @@ def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             found = stop.search(page, page.find(">", at))
             end = found.end() if found else len(page)
             yield at, end, None, False, ""
+        elif page.startswith(">", m.end()):
+            end = m.end() + 1
+            yield at, end, m[2].lower(), bool(m[1]), ""
         else:
             end = m.end()
             while quotes and (edge := _EDGE.search(page, end)):
@@ -91,13 +95,25 @@ def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
 
 def read(page: str) -> tuple[list[str], list[Block]]:
     """The page's tokens (tags with the holders around them, blocks, and their words), and its text blocks; blocks know how many tokens are before them."""
+    return _read(page, None)[:2]
+
+
+def _read(page: str, wanted: frozenset[str] | None) -> tuple[list[str], list[Block], bool]:
+    """read() with wanted tokens alone, if any are named, and if the page has tokens at all."""
+    paths = {t.rsplit(" ", 1)[0] for t in wanted} if wanted is not None else ()
     tokens: list[str] = []
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, apart, inside
     text: list[str] = []
-    link, in_link = 0, 0
+    link, in_link, some = 0, 0, False
     top = ("", "", False, False)
 
+    def add(token: str) -> None:
+        nonlocal some
+        some = True
+        if wanted is None or token in wanted:
+            tokens.append(token)
+
     def close() -> None:
         nonlocal text, link
         words = html.unescape("".join(text)).split()
@@ -105,8 +121,11 @@ def read(page: str) -> tuple[list[str], list[Block]]:
             holder = stack[-1] if stack else top
             joined = " ".join(words)
             blocks.append(Block(holder[1], holder[2], holder[3], min(1.0, link / max(1, len(joined))), joined, len(tokens)))
-            tokens.append(text_token(blocks[-1]))
-            tokens.extend(f"{holder[1]} {w}" for w in words)
+            add(text_token(blocks[-1]))
+            if wanted is None:
+                tokens.extend([f"{holder[1]} {w}" for w in words])
+            elif holder[1] in paths:
+                tokens.extend([t for w in words if (t := f"{holder[1]} {w}") in wanted])
         text, link = [], 0
 
     at = 0
@@ -130,7 +149,7 @@ def read(page: str) -> tuple[list[str], list[Block]]:
         holder = stack[-1] if stack else top
         if name in _HOLDERS:
             if closing:
-                tokens.append(f"{holder[1]} </{name}>")
+                add(f"{holder[1]} </{name}>")
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -142,15 +161,15 @@ def read(page: str) -> tuple[list[str], list[Block]]:
                 # an article's own head still holds its title
                 apart = holder[2] or (name in _APART and not (name == "header" and holder[3])) or bool(marks and (holder[3] or name not in ("html", "body", "article", "main")) and _APART_WORDS.search(_ABOUT.sub(" ", marks)))
                 stack.append((name, path, apart, in_article))
-                tokens.append(f"{holder[1]} <{name} {marks}>")
+                add(f"{holder[1]} <{name} {marks}>")
         else:
-            tokens.append(f"{holder[1]} <{'/' * closing}{name}>")
+            add(f"{holder[1]} <{'/' * closing}{name}>")
     rest = page[at:]
     # a tag that the page's end cuts off is no text
     cut = rest.rfind("<")
     text.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]|<$", rest[cut:]) else rest)
     close()
-    return tokens, blocks
+    return tokens, blocks, some
 
 
 @dataclass
@@ -162,6 +181,8 @@ class Template:
 
 #: A page that a template is deduced from: a hash of it, its tokens, its blocks.
 Page = tuple[int, list[str], list[Block]]
+#: Pages with the tokens named, or all.
+Pages = Callable[[frozenset[str] | None], list[Page]]
 
 
 def hashed(text: str) -> int:
@@ -178,12 +199,13 @@ def article(blocks: list[Block]) -> dict[str, int]:
     return {text_token(b): len(b.text) for b in blocks if b.inside and not b.apart}
 
 
-def survey(pages: list[Page]) -> Iterator[dict]:
+def survey(look: Pages) -> Iterator[dict]:
     """First look at some of a host's pages: tokens that half of them have, and the blocks of each article.
 
     What half of all pages have, half of the pages of some group have, so no
     such token is missed. Text tokens inside articles count among pages with an
     article alone."""
+    pages = look(None)
     counts: Counter[str] = Counter()
     inside: set[str] = set()
     articles = 0
@@ -199,26 +221,27 @@ def survey(pages: list[Page]) -> Iterator[dict]:
             yield {"token": token, "key": 0}
 
 
-def count(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
+def count(look: Pages, notes: list[dict]) -> Iterator[dict]:
     """Second look: occurrence vectors of the tokens found, as digests, and the pages that say something new of an article.
 
     Near copies say no more about a template than copies: a page counts among
     articles if over half of its article's characters are in blocks that no
     page before it (by hash) has."""
-    wanted = {r["token"] for r in notes if r["token"] is not None}
+    wanted = frozenset(r["token"] for r in notes if r["token"] is not None)
+    pages = look(wanted)
     owned: Counter[int] = Counter()
     for r in notes:
         if r["token"] is None:
             owned[r["sig"]] += r["n"]
     stats = {t: [0, 0, 0, 0, 0] for t in wanted}
-    articles = 0
+    articles, inside = 0, set()
     for sig, tokens, blocks in pages:
+        tokens = [t for t in tokens if t in wanted]
+        inside.update(text_token(b) for b in blocks if b.inside)
+        times = Counter(tokens)
         first: dict[str, int] = {}
-        times: Counter[str] = Counter()
         for i, t in enumerate(tokens):
-            if t in wanted:
-                first.setdefault(t, i)
-                times[t] += 1
+            first.setdefault(t, i)
         for t, c in times.items():
             s = stats[t]
             s[0] += 1
@@ -231,7 +254,7 @@ def count(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
             yield {"sig": sig}
     for t, (n, total, once, digest, at) in stats.items():
         if n:
-            yield {"token": t, "n": n, "total": total, "once": once, "digest": digest, "at": at}
+            yield {"token": t, "n": n, "total": total, "once": once, "digest": digest, "at": at, "inside": int(t in inside)}
     yield {"token": "", "n": len(pages), "total": articles, "once": 0, "digest": 0, "at": 0}
 
 
@@ -264,13 +287,12 @@ def gaps(root: dict[str, int], tokens: list[str], wanted: Iterable[int]) -> list
     return [marks[k - 1][1] + 1 if (k := bisect.bisect_left(index, i)) else 0 for i in wanted]
 
 
-def describe(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
+def describe(look: Pages, notes: list[dict]) -> Iterator[dict]:
     """Third look: the root and, for each slot and class, what these pages say of it."""
     total = next((r for r in notes if r["token"] == ""), {"n": 0, "total": 0})
     n, articles = total["n"], total["total"]
     alone = {r["sig"] for r in notes if r["token"] is None}
-    inside = {text_token(b) for _, _, blocks in pages for b in blocks if b.inside}
-    found = [r for r in notes if r["token"] and 2 * r["n"] >= (articles if r["token"] in inside else n)]
+    found = [r for r in notes if r["token"] and 2 * r["n"] >= (articles if r["inside"] else n)]
     once = sorted((r for r in found if n > 1 and nearly_all(r["once"], n)), key=lambda r: (r["at"] / r["n"], r["token"]))
     root = {r["token"]: i for i, r in enumerate(once)}
     for token, i in root.items():
@@ -283,6 +305,7 @@ def describe(pages: list[Page], notes: list[dict]) -> Iterator[dict]:
     owner = {t: min(ts) for ts in members.values() if len(ts) > 1 for t in ts}
     size = Counter(owner.values())
     known = {r["token"] for r in found}
+    pages = look(frozenset(root) | owner.keys())
     common: Counter[str] = Counter()
     slots: dict[tuple[int, str], dict] = {}
     nested: dict[str, dict] = {}
@@ -339,11 +362,12 @@ def deduce(pages: list[tuple[list[str], list[Block]]]) -> Template:
     """The template of pages in memory: the three looks at one group. Equal pages count once, and pages without tokens not at all."""
     own = [(i, t, b) for i, (t, b) in enumerate({tuple(t): (t, b) for t, b in pages if t}.values())]
     first: dict[tuple, dict] = {}
-    for r in survey(own):
+    look = lambda _: own
+    for r in survey(look):
         key = (r.get("token"), r["key"])
         first[key] = min(first.get(key, r), r, key=lambda r: r.get("sig", 0))
-    notes = list(count(own, [{"token": None, "sig": None, "n": None} | r for r in first.values()]))
-    notes = list(describe(own, [{"token": None} | r for r in notes]))
+    notes = list(count(look, [{"token": None, "sig": None, "n": None} | r for r in first.values()]))
+    notes = list(describe(look, [{"token": None} | r for r in notes]))
     return decided([r for r in notes if r["kind"] != "slot" or 2 * r["n"] >= r["of"]])
 
 
@@ -362,11 +386,11 @@ def main_text(template: Template, tokens: list[str], blocks: list[Block]) -> str
     return " ".join(b.text for b in kept)
 
 
-def _pages(group: pa.Table) -> list[Page]:
+def _pages(group: pa.Table, wanted: frozenset[str] | None) -> list[Page]:
     """Pages of a group that a template is deduced from: each html once, none without tokens."""
     own = {s: h for s, h, lead in zip(group.column("sig").to_pylist(), group.column("html").to_pylist(), group.column("lead").to_pylist()) if lead}
-    read_ = [(s, *read(h)) for s, h in sorted(own.items())]
-    return [p for p in read_ if p[1]]
+    read_ = [(s, *_read(h, wanted)) for s, h in sorted(own.items())]
+    return [(s, tokens, blocks) for s, tokens, blocks, some in read_ if some]
 
 
 def _table(rows: Iterable[dict], group: pa.Table, schema: pa.Schema) -> pa.Table:
@@ -385,7 +409,7 @@ def _schema(strings: str, longs: str) -> pa.Schema:
 
 
 _SURVEY = _schema("token", "key sig n")
-_COUNT = _schema("token", "sig n total once digest at")
+_COUNT = _schema("token", "sig n total once digest at inside")
 _DESCRIBE = _schema("kind name group", "place n k of inside broken low high least most chars linked")
 
 
@@ -408,14 +432,14 @@ def host_templates(dealt: DataFrame) -> DataFrame:
 
     def look(step, schema: pa.Schema, notes: DataFrame | None = None) -> DataFrame:
         if notes is None:
-            return dealt.groupBy("hid", "part").applyInArrow(lambda group: _table(step(_pages(group)), group, schema), _spark(schema))
+            return dealt.groupBy("hid", "part").applyInArrow(lambda group: _table(step(partial(_pages, group)), group, schema), _spark(schema))
         both = dealt.groupBy("hid", "part").cogroup(notes.groupBy("hid", "part"))
-        return both.applyInArrow(lambda group, notes: _table(step(_pages(group), notes.to_pylist()), group, schema), _spark(schema))
+        return both.applyInArrow(lambda group, notes: _table(step(partial(_pages, group), notes.to_pylist()), group, schema), _spark(schema))
 
     first = look(survey, _SURVEY).groupBy("hid", "token", "key").agg(F.min(F.struct("sig", "part", "n")).alias("first"), F.max("parts").alias("parts"))
     first = to_groups(first, F.col("first.part")).select("hid", "part", "token", "first.sig", "first.n")
-    second = look(count, _COUNT, first).groupBy("hid", "token", "sig").agg(*[F.sum(c).alias(c) for c in ("n", "total", "once", "at")], F.bit_xor("digest").alias("digest"), F.min("part").alias("own"), F.max("parts").alias("parts"))
-    second = to_groups(second, F.col("own")).select("hid", "part", "token", "sig", "n", "total", "once", "at", "digest")
+    second = look(count, _COUNT, first).groupBy("hid", "token", "sig").agg(*[F.sum(c).alias(c) for c in ("n", "total", "once", "at")], F.bit_xor("digest").alias("digest"), F.max("inside").alias("inside"), F.min("part").alias("own"), F.max("parts").alias("parts"))
+    second = to_groups(second, F.col("own")).select("hid", "part", "token", "sig", "n", "total", "once", "at", "digest", "inside")
     third = look(describe, _DESCRIBE, second).groupBy("hid", "kind", "name", "group", "place")
     third = third.agg(*[F.sum(c).alias(c) for c in ("n", "k", "broken", "chars", "linked")], *[F.min(c).alias(c) for c in ("low", "least")], *[F.max(c).alias(c) for c in ("of", "inside", "high", "most", "parts")])
     return third.where("kind != 'slot' or 2 * n >= of").withColumn("part", F.explode(everywhere)).drop("parts", "of")
@@ -453,7 +477,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def extracted(group: pa.Table, notes: pa.Table) -> pa.Table:
         template = decided(notes.to_pylist())
-        texts = [main_text(template, *read(x.as_py())) for x in group.column("html")]
+        root = frozenset(template.root)
+        texts = [main_text(template, *_read(x.as_py(), root)[:2]) for x in group.column("html")]
         columns = [group.column("page_id"), group.column("url")] if len(group) else [pa.array([], pa.int64()), pa.array([], pa.string())]
         return pa.table([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
