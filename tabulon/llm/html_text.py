@@ -7,7 +7,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import pyarrow as pa
@@ -54,13 +54,13 @@ def text_token(block: Block) -> str:
     return f"{block.path} \0{block.text}"
 
 
-def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
-    """Tags (start, end, name, if closing, attributes) and what holds no text of the page (its name is None), in one pass.
+def pieces(page: str, at: int = 0) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Tags (start, end, name, if closing, attributes) and what holds no text of the page (its name is None), from at on in one pass.
 
     Quotes hide what they enclose from a tag's end. Where a tag's quotes don't
     close before the page ends, quotes hide nothing from there on; a tag
     without an end is none."""
-    at, last, quotes = 0, page.rfind(">"), True
+    last, quotes = page.rfind(">"), True
     while (at := page.find("<", at)) >= 0:
         if at > last or page.startswith("<!--", at):
             if (at := page.find("<!--", at)) < 0:
@@ -93,83 +93,172 @@ def pieces(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = end
 
 
+def _alternatives() -> str:
+    """What pieces() finds where a page is regular: comments, declarations, elements of _RAW, and tags whose quotes close."""
+    end = "(?![a-zA-Z0-9-])"
+    raw = [rf"(?ai:{n}){end}[^>]*+>[^<]*+(?:<(?!/(?i:{n})\s*>)[^<]*+)*+</(?i:{n})\s*>" for n in _RAW]
+    tag = rf"(?!(?ai:{'|'.join(_RAW)}){end})/?+[a-zA-Z][a-zA-Z0-9-]*+(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+    return "|".join(["!--[^-]*+(?:-(?!->)[^-]*+)*+-->", "!(?!--)[^>]*+>", r"\?[^>]*+>", *raw, tag])
+
+
+#: A regular piece; a page's pieces, the last of which runs from the first that is not regular to the page's end.
+_PIECE = re.compile(f"<(?:{_alternatives()})")
+_PIECES = re.compile(f"(<(?:{_alternatives()}|(?=[!?]|/?[a-zA-Z])(?s:.*)))")
+#: Sources of tags, and characters of paths, that a reader remembers.
+_TAGS, _PATHS = 1 << 14, 1 << 22
+_NONE: tuple[set[str], set[str]] = set(), set()
+_SKIP, _SPACE, _LINK, _UNLINK, _PLAIN, _END = range(6)
+#: What a tag says: one of these, or its name, if it closes, and the holder's marks.
+_Said = int | tuple[str, bool, str]
+
+
+@dataclass(slots=True, eq=False)
+class _Holder:
+    """Where a page's open elements are: tags lead from one to another."""
+
+    name: str
+    path: str
+    apart: bool
+    inside: bool  # of an article or main element
+    above: _Holder | None
+    moves: dict[_Said, tuple[str | None, _Holder]] = field(default_factory=dict)
+
+
+def _said(name: str | None, closing: bool, attributes: str) -> _Said:
+    if name is None:
+        return _SKIP
+    if name == "a":
+        return _UNLINK if closing else _LINK
+    if name in _INLINE:
+        return _PLAIN
+    if name == "br":
+        return _SPACE
+    marks = " ".join(sorted({(a or b or c).strip().lower() for a, b, c in _MARK.findall(attributes)})) if attributes and not closing and name in _HOLDERS else ""
+    return name, closing, marks
+
+
+class _Reader:
+    """Reads pages one after another, with wanted tokens alone, if any are named; remembers what tags say and where they lead."""
+
+    def __init__(self, wanted: frozenset[str] | None = None) -> None:
+        self.wanted = wanted
+        words: dict[str, set[str]] = defaultdict(set)
+        for path, word in (t.rsplit(" ", 1) for t in wanted or () if " " in t):
+            words[path].add(word)
+        #: words that are wanted in each path, and what they begin with
+        self.words = {path: (ws, {w[:1] for w in ws}) for path, ws in words.items()}
+        self.tags: dict[str, _Said] = {}
+        self.top, self.chars = _Holder("", "", False, False, None), 0
+
+    def say(self, source: str) -> _Said:
+        m = _NAME.match(source)
+        if not m or (not m[1] and m[2].lower() in _RAW):
+            return _SKIP
+        said = _said(m[2].lower(), bool(m[1]), source[m.end() : -1])
+        if len(source) <= 256:
+            if len(self.tags) >= _TAGS:
+                self.tags.clear()
+            self.tags[source] = said
+        return said
+
+    def move(self, holder: _Holder, said: tuple[str, bool, str]) -> tuple[str | None, _Holder]:
+        """The tag's token, if it is wanted, and the holder after it."""
+        name, closing, marks = said
+        to = holder
+        if name not in _HOLDERS:
+            token = f"{holder.path} <{'/' * closing}{name}>"
+        elif closing:
+            token = f"{holder.path} </{name}>"
+            up = holder
+            while up.above and up.name != name:
+                up = up.above
+            to = up.above or holder
+        else:
+            token = f"{holder.path} <{name} {marks}>"
+            path = f"{holder.path}/{name}" + (f".{marks}" if marks else "")
+            # an article's own head still holds its title
+            apart = holder.apart or (name in _APART and not (name == "header" and holder.inside)) or bool(marks and (holder.inside or name not in ("html", "body", "article", "main")) and _APART_WORDS.search(_ABOUT.sub(" ", marks)))
+            to = _Holder(name, path, apart, holder.inside or (name in ("article", "main") and not holder.apart), holder)
+            self.chars += len(path)
+        self.chars += len(token)
+        holder.moves[said] = out = (token if self.wanted is None or token in self.wanted else None, to)
+        return out
+
+    def tags_of(self, page: str) -> Iterator[tuple[str, _Said]]:
+        """Each tag with the text before it, then the text after the last."""
+        parts = _PIECES.split(page)
+        rest = parts.pop()
+        odd = parts.pop() if parts and not rest and not _PIECE.fullmatch(parts[-1]) else None
+        if odd is not None:
+            rest = parts.pop()
+        tags = self.tags
+        for text, source in zip(parts[::2], parts[1::2]):
+            yield text, tags[source] if source in tags else self.say(source)
+        if odd is not None:
+            at = len(page) - len(odd)
+            for start, end, name, closing, attributes in pieces(page, at):
+                yield rest + page[at:start], _said(name, closing, attributes)
+                at, rest = end, ""
+            rest += page[at:]
+        # a tag that the page's end cuts off is no text
+        cut = rest.rfind("<")
+        yield rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]|<$", rest[cut:]) else rest, _END
+
+    def read(self, page: str) -> tuple[list[str], list[Block], bool]:
+        """The page's tokens and blocks as in read(), and if it has tokens at all."""
+        if self.chars > _PATHS:
+            self.top, self.chars = _Holder("", "", False, False, None), 0
+        wanted, holder = self.wanted, self.top
+        tokens: list[str] = []
+        blocks: list[Block] = []
+        text: list[str] = []
+        link, in_link, some = 0, 0, False
+
+        def close() -> None:
+            joined = html.unescape(text[0] if len(text) == 1 else "".join(text))
+            text.clear()
+            # the only white space that is printable is a blank
+            joined = joined.strip() if joined.isprintable() and "  " not in joined else " ".join(joined.split())
+            if joined:
+                path = holder.path
+                blocks.append(Block(path, holder.apart, holder.inside, min(1.0, link / len(joined)) if link else 0.0, joined, len(tokens)))
+                token = f"{path} \0{joined}"
+                if wanted is None:
+                    tokens.append(token)
+                    tokens.extend([f"{path} {w}" for w in joined.split(" ")])
+                else:
+                    if token in wanted:
+                        tokens.append(token)
+                    own, begins = self.words.get(path, _NONE)
+                    if any(c in joined for c in begins):
+                        tokens.extend([f"{path} {w}" for w in joined.split(" ") if w in own])
+
+        for piece, said in self.tags_of(page):
+            if piece:
+                text.append(piece)
+                if in_link and said != _END:
+                    link += len(piece)
+            if said.__class__ is not int:
+                some = True
+                if text:
+                    close()
+                link = 0
+                token, holder = holder.moves.get(said) or self.move(holder, said)
+                if token is not None:
+                    tokens.append(token)
+            elif said == _LINK:
+                in_link += 1
+            elif said == _UNLINK:
+                in_link = max(0, in_link - 1)
+            elif said == _SPACE:
+                text.append(" ")
+        close()
+        return tokens, blocks, some or bool(blocks)
+
+
 def read(page: str) -> tuple[list[str], list[Block]]:
     """The page's tokens (tags with the holders around them, blocks, and their words), and its text blocks; blocks know how many tokens are before them."""
-    return _read(page, None)[:2]
-
-
-def _read(page: str, wanted: frozenset[str] | None) -> tuple[list[str], list[Block], bool]:
-    """read() with wanted tokens alone, if any are named, and if the page has tokens at all."""
-    paths = {t.rsplit(" ", 1)[0] for t in wanted} if wanted is not None else ()
-    tokens: list[str] = []
-    blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, apart, inside
-    text: list[str] = []
-    link, in_link, some = 0, 0, False
-    top = ("", "", False, False)
-
-    def add(token: str) -> None:
-        nonlocal some
-        some = True
-        if wanted is None or token in wanted:
-            tokens.append(token)
-
-    def close() -> None:
-        nonlocal text, link
-        words = html.unescape("".join(text)).split()
-        if words:
-            holder = stack[-1] if stack else top
-            joined = " ".join(words)
-            blocks.append(Block(holder[1], holder[2], holder[3], min(1.0, link / max(1, len(joined))), joined, len(tokens)))
-            add(text_token(blocks[-1]))
-            if wanted is None:
-                tokens.extend([f"{holder[1]} {w}" for w in words])
-            elif holder[1] in paths:
-                tokens.extend([t for w in words if (t := f"{holder[1]} {w}") in wanted])
-        text, link = [], 0
-
-    at = 0
-    for start, end, name, closing, attributes in pieces(page):
-        if start > at:
-            piece = page[at:start]
-            text.append(piece)
-            if in_link:
-                link += len(piece)
-        at = end
-        if name is None:
-            continue
-        if name == "a":
-            in_link = max(0, in_link + (-1 if closing else 1))
-        if name in _INLINE:
-            continue
-        if name == "br":
-            text.append(" ")
-            continue
-        close()
-        holder = stack[-1] if stack else top
-        if name in _HOLDERS:
-            if closing:
-                add(f"{holder[1]} </{name}>")
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            else:
-                marks = " ".join(sorted({(a or b or c).strip().lower() for a, b, c in _MARK.findall(attributes)})) if attributes else ""
-                path = f"{holder[1]}/{name}" + (f".{marks}" if marks else "")
-                in_article = holder[3] or (name in ("article", "main") and not holder[2])
-                # an article's own head still holds its title
-                apart = holder[2] or (name in _APART and not (name == "header" and holder[3])) or bool(marks and (holder[3] or name not in ("html", "body", "article", "main")) and _APART_WORDS.search(_ABOUT.sub(" ", marks)))
-                stack.append((name, path, apart, in_article))
-                add(f"{holder[1]} <{name} {marks}>")
-        else:
-            add(f"{holder[1]} <{'/' * closing}{name}>")
-    rest = page[at:]
-    # a tag that the page's end cuts off is no text
-    cut = rest.rfind("<")
-    text.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]|<$", rest[cut:]) else rest)
-    close()
-    return tokens, blocks, some
+    return _Reader().read(page)[:2]
 
 
 @dataclass
@@ -181,8 +270,8 @@ class Template:
 
 #: A page that a template is deduced from: a hash of it, its tokens, its blocks.
 Page = tuple[int, list[str], list[Block]]
-#: Pages with the tokens named, or all.
-Pages = Callable[[frozenset[str] | None], list[Page]]
+#: Pages with the tokens named, or all, each read as it is asked for.
+Pages = Callable[[frozenset[str] | None], Iterable[Page]]
 
 
 def hashed(text: str) -> int:
@@ -205,19 +294,20 @@ def survey(look: Pages) -> Iterator[dict]:
     What half of all pages have, half of the pages of some group have, so no
     such token is missed. Text tokens inside articles count among pages with an
     article alone."""
-    pages = look(None)
     counts: Counter[str] = Counter()
     inside: set[str] = set()
-    articles = 0
-    for sig, tokens, blocks in pages:
+    n, articles = 0, 0
+    for sig, tokens, blocks in look(None):
         counts.update(set(tokens))
-        own = {text_token(b) for b in blocks if b.inside}
-        inside |= own
-        articles += bool(own)
-        for token, n in article(blocks).items():
-            yield {"key": hashed(token), "sig": sig, "n": n}
+        n += 1
+        articles += any(b.inside for b in blocks)
+        inside.update([text_token(b) for b in blocks if b.inside and b.apart])
+        own = article(blocks)
+        inside.update(own)
+        for token, chars in own.items():
+            yield {"key": hashed(token), "sig": sig, "n": chars}
     for token, k in counts.items():
-        if 2 * k >= (articles if token in inside else len(pages)):
+        if 2 * k >= (articles if token in inside else n):
             yield {"token": token, "key": 0}
 
 
@@ -228,34 +318,35 @@ def count(look: Pages, notes: list[dict]) -> Iterator[dict]:
     articles if over half of its article's characters are in blocks that no
     page before it (by hash) has."""
     wanted = frozenset(r["token"] for r in notes if r["token"] is not None)
-    pages = look(wanted)
     owned: Counter[int] = Counter()
     for r in notes:
         if r["token"] is None:
             owned[r["sig"]] += r["n"]
     stats = {t: [0, 0, 0, 0, 0] for t in wanted}
-    articles, inside = 0, set()
-    for sig, tokens, blocks in pages:
+    pages, articles, inside = 0, 0, set()
+    for sig, tokens, blocks in look(wanted):
+        pages += 1
         tokens = [t for t in tokens if t in wanted]
-        inside.update(text_token(b) for b in blocks if b.inside)
         times = Counter(tokens)
-        first: dict[str, int] = {}
-        for i, t in enumerate(tokens):
-            first.setdefault(t, i)
+        first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))
+        digests = {c: hashed(f"{sig} {c}") for c in set(times.values())}
         for t, c in times.items():
             s = stats[t]
             s[0] += 1
             s[1] += c
             s[2] += c == 1
-            s[3] ^= hashed(f"{sig} {c}")
+            s[3] ^= digests[c]
             s[4] += (first[t] << 20) // len(tokens)
         articles += any(b.inside for b in blocks)
-        if 2 * owned[sig] > sum(article(blocks).values()):
+        inside.update([text_token(b) for b in blocks if b.inside and b.apart])
+        own = article(blocks)
+        inside.update(own.keys() & wanted)
+        if 2 * owned[sig] > sum(own.values()):
             yield {"sig": sig}
     for t, (n, total, once, digest, at) in stats.items():
         if n:
             yield {"token": t, "n": n, "total": total, "once": once, "digest": digest, "at": at, "inside": int(t in inside)}
-    yield {"token": "", "n": len(pages), "total": articles, "once": 0, "digest": 0, "at": 0}
+    yield {"token": "", "n": pages, "total": articles, "once": 0, "digest": 0, "at": 0}
 
 
 def in_turn(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,11 +396,13 @@ def describe(look: Pages, notes: list[dict]) -> Iterator[dict]:
     owner = {t: min(ts) for ts in members.values() if len(ts) > 1 for t in ts}
     size = Counter(owner.values())
     known = {r["token"] for r in found}
-    pages = look(frozenset(root) | owner.keys())
+    pages, singles = 0, 0
     common: Counter[str] = Counter()
     slots: dict[tuple[int, str], dict] = {}
     nested: dict[str, dict] = {}
-    for sig, tokens, blocks in pages:
+    for sig, tokens, blocks in look(frozenset(root) | owner.keys()):
+        pages += 1
+        singles += sig in alone
         turns: dict[str, list[int]] = defaultdict(list)
         for i, t in enumerate(tokens):
             if t in owner:
@@ -328,18 +421,21 @@ def describe(look: Pages, notes: list[dict]) -> Iterator[dict]:
         for b, place in zip(blocks, gaps(root, tokens, [b.at for b in blocks])):
             here[place, b.path].append(b)
         for (place, path), bs in here.items():
-            r = slots.setdefault((place, path), {"kind": "slot", "name": path, "place": place, "n": 0, "k": 0, "chars": 0, "linked": 0, "least": None, "most": None, "of": articles if bs[0].inside else n, "inside": int(bs[0].inside)})
+            if (r := slots.get((place, path))) is None:
+                r = slots[place, path] = {"kind": "slot", "name": path, "place": place, "n": 0, "k": 0, "chars": 0, "linked": 0, "least": None, "most": None, "of": articles if bs[0].inside else n, "inside": int(bs[0].inside)}
             r["n"] += 1
             r["chars"] += sum(len(b.text) for b in bs)
             r["linked"] += sum(round(len(b.text) * b.linked) for b in bs)
             if sig in alone or not bs[0].inside:
                 text = hashed("\1".join(b.text for b in bs))
-                r |= {"k": r["k"] + 1, "least": text if r["least"] is None else min(r["least"], text), "most": text if r["most"] is None else max(r["most"], text)}
+                r["k"] += 1
+                r["least"] = text if r["least"] is None else min(r["least"], text)
+                r["most"] = text if r["most"] is None else max(r["most"], text)
     yield from nested.values()
     yield from slots.values()
     for token, k in common.items():
         yield {"kind": "text", "name": token, "group": owner.get(token), "n": 0, "k": k}
-    yield {"kind": "pages", "name": "", "n": len(pages), "k": sum(sig in alone for sig, _, _ in pages)}
+    yield {"kind": "pages", "name": "", "n": pages, "k": singles}
 
 
 def decided(notes: list[dict]) -> Template:
@@ -386,18 +482,21 @@ def main_text(template: Template, tokens: list[str], blocks: list[Block]) -> str
     return " ".join(b.text for b in kept)
 
 
-def _pages(group: pa.Table, wanted: frozenset[str] | None) -> list[Page]:
+def _pages(group: pa.Table, wanted: frozenset[str] | None) -> Iterator[Page]:
     """Pages of a group that a template is deduced from: each html once, none without tokens."""
     own = {s: h for s, h, lead in zip(group.column("sig").to_pylist(), group.column("html").to_pylist(), group.column("lead").to_pylist()) if lead}
-    read_ = [(s, *_read(h, wanted)) for s, h in sorted(own.items())]
-    return [(s, tokens, blocks) for s, tokens, blocks, some in read_ if some]
+    reader = _Reader(wanted)
+    for s, h in sorted(own.items()):
+        tokens, blocks, some = reader.read(h)
+        if some:
+            yield s, tokens, blocks
 
 
 def _table(rows: Iterable[dict], group: pa.Table, schema: pa.Schema) -> pa.Table:
     """rows with the group's keys, as a table."""
     keys = {k: group.column(k)[0].as_py() for k in _KEYS} if len(group) else {}
     rows = list(rows) if keys else []
-    return pa.table({f.name: pa.array([keys[f.name] if f.name in keys else r.get(f.name) for r in rows], f.type) for f in schema}, schema)
+    return pa.table([pa.repeat(pa.scalar(keys[f.name], f.type), len(rows)) if f.name in keys else pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema)
 
 
 #: What tells a group of a host: its host, its number, and how many the host has.
@@ -477,8 +576,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def extracted(group: pa.Table, notes: pa.Table) -> pa.Table:
         template = decided(notes.to_pylist())
-        root = frozenset(template.root)
-        texts = [main_text(template, *_read(x.as_py(), root)[:2]) for x in group.column("html")]
+        reader = _Reader(frozenset(template.root))
+        texts = [main_text(template, *reader.read(x.as_py())[:2]) for x in group.column("html")]
         columns = [group.column("page_id"), group.column("url")] if len(group) else [pa.array([], pa.int64()), pa.array([], pa.string())]
         return pa.table([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

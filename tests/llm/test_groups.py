@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -420,6 +421,36 @@ def test_html_tags_in_one_pass(spark):
     assert got == Counter({(1, text): 1, (None, "x"): 2, (2, "kept after"): 1})
 
 
+def test_html_regular_pages_are_read_fast(monkeypatch):
+    """A regular page takes few calls a tag in each look; what is read is what pieces() gives, also where a page is not regular."""
+    page = "<html><body class='a b'><ul>" + '<li class="x"><a href="/{0}">w{0}</a></li><p>some &amp; text<br></p>' * 200 + "</ul></body></html>"
+    page = "".join(p + str(k % 9) for k, p in enumerate(page.split("{0}")))
+    calls = Counter()
+    for _ in range(2):
+        calls.clear()
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            html_text.read(page)
+        finally:
+            sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 9 * page.count("<")
+    rng = random.Random(31)
+    bits = "< > <p> </p> </div> <a> </a> <br/> <!-- --> ---> <!--> <!x> <?y ?> <script> </ScRipt\t> </\u017fcript> <\u017fcript> <textarea <title\tx> </title> <svg/> </svg> \" ' &lt;p&gt; & \0 </ </> <1 <p:x> <P\tCLASS=X> w \u00e9 \u00a0 <scripts> <article> </article> <header\trole=banner> </header> <ul> </ul> <p/ --".split(" ")
+    bits += [" ", "  ", "\n", '<div class="a b">', "<div class='menu'>", '<a href="x>y">', '<SCRIPT src="a>b">', "<section class=a id='b c'>"]
+    pages = [page] + ["".join(rng.choices(bits, k=rng.randint(0, 20))) for _ in range(8000)]
+    monkeypatch.setattr(html_text, "_TAGS", 20)
+    monkeypatch.setattr(html_text, "_PATHS", 500)
+    wanted = frozenset(rng.sample(sorted({t for p in pages for t in html_text.read(p)[0]}), 400))
+    for names in (None, wanted):
+        reader = html_text._Reader(names)
+        got = [reader.read(p) for p in pages]
+        assert len(reader.tags) <= 20
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "_PIECES", re.compile("(<(?s:.*))"))
+            m.setattr(html_text, "_PIECE", re.compile("(?!)"))
+            assert got == [html_text._Reader(names).read(p) for p in pages]
+
+
 def test_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 8)
     rng = np.random.default_rng(5)
