@@ -31,10 +31,15 @@ def field_mismatches(tables: list[tuple[str, DataFrame]], key: str, fields: dict
     return out.select(key, F.array_compact(F.array(*wrong)).alias("found"))
 
 
-def ledger_status(files: DataFrame, ledger: DataFrame, path: str, digest: str) -> DataFrame:
-    """path and status: 'match', 'differs', or 'unlisted' where the ledger lacks it."""
-    known = ledger.select(F.col(path), F.col(digest).alias("_listed"))
-    return files.join(known, path, "left").select(path, F.when(F.col("_listed").isNull(), "unlisted").when(F.col("_listed") == F.col(digest), "match").otherwise("differs").alias("status"))
+def ledger_status(files: DataFrame, ledger: DataFrame, key: str, digest: str) -> DataFrame:
+    """files without digest, with status: 'match', 'differs', or 'unlisted' where the ledger lacks the key (null is a key).
+
+    One row a file, whatever its key repeats: a file matches if any of the digests listed under its key is its own."""
+    listed = ledger.select(F.col(key).alias("_key"), F.col(digest).alias("_listed")).distinct().withColumn("_own", F.lit(True))
+    keys = listed.select(F.col("_key").alias("_there")).distinct().withColumn("_known", F.lit(True))
+    met = files.join(listed, F.col(key).eqNullSafe(F.col("_key")) & F.col(digest).eqNullSafe(F.col("_listed")), "left").join(keys, F.col(key).eqNullSafe(F.col("_there")), "left")
+    status = F.when(F.col("_own"), "match").when(F.col("_known"), "differs").otherwise("unlisted")
+    return met.select(*[c for c in files.columns if c != digest], status.alias("status"))
 
 
 def expected_counts(counts: DataFrame, expected: dict[str, Column]) -> DataFrame:

@@ -62,10 +62,10 @@ def field_audit(spark, sf_dir):
 
 @query("SELECT url, CASE WHEN page_id % 3 = 0 THEN 'unlisted' WHEN page_id % 5 = 0 THEN 'differs' ELSE 'match' END AS status FROM pages")
 def ledger_lookup(spark, sf_dir):
-    """Pages by url beside a ledger of digests that lacks some and has others wrong."""
-    files = table(spark, sf_dir, "pages").select("url", F.sha2("html", 256).alias("sha"), "page_id")
-    ledger = files.where("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, F.lit("other")).otherwise(F.col("sha")).alias("sha"))
-    return audits.ledger_status(files.drop("page_id"), ledger, "url", "sha")
+    """Pages beside a ledger of digests that lacks some and has others wrong. A url may have several pages, so pages are listed by their ids."""
+    files = table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("sha"))
+    ledger = files.where("coalesce(page_id % 3 <> 0, true)").select("page_id", F.when(F.col("page_id") % 5 == 0, F.lit("other")).otherwise(F.col("sha")).alias("sha"))
+    return audits.ledger_status(files, ledger, "page_id", "sha").select("url", "status")
 
 
 @query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'invalid' ELSE 'valid' END AS status, count(*) AS n FROM orders GROUP BY ALL")

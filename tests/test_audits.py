@@ -3,11 +3,15 @@
 import json
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import hashing, text
 from tabulon.operators import audits, classification
+from tabulon.plans.queries import ORACLE, QUERIES
 from tabulon.sources import readers, writers
 
 
@@ -25,6 +29,21 @@ def test_field_mismatches(spark):
     assert got == {1: [], 2: ["o.v"], 3: ["o"]}
 
 
+def test_ledger_of_repeated_keys(spark, tmp_path):
+    """One row a file: keys that repeat on either side multiply nothing, and a null key or digest is one like any other."""
+    files = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "3"), ("b", "1"), ("c", None), (None, "1")], "path string, sha string")
+    ledger = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("c", None), (None, "1")], "path string, sha string")
+    got = sorted(map(tuple, audits.ledger_status(files, ledger, "path", "sha").collect()), key=str)
+    assert got == sorted([("a", "match"), ("a", "match"), ("a", "differs"), ("b", "unlisted"), ("c", "match"), (None, "match")], key=str)
+    n = 40
+    pages = pa.table({"page_id": pa.array([*range(n), None], pa.int64()), "url": [f"u{k % 4}" for k in range(n)] + [None], "html": [None if k % 13 == 1 else f"h{k % 3}" for k in range(n + 1)]})
+    pq.write_table(pages, f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, QUERIES["ledger_lookup"](spark, str(tmp_path)).collect()), key=key) == sorted(con.sql(ORACLE["ledger_lookup"]).fetchall(), key=key)
+
+
 def test_checks_fail_at_the_end(spark):
     counts = spark.createDataFrame([(3, 5)], "a long, b long")
     checks = audits.expected_counts(counts, {"a": F.lit(3), "b": F.lit(4)})
