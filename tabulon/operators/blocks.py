@@ -76,13 +76,14 @@ def quartiles(df: DataFrame, value: str, by: list[str], parts: int = 256) -> Dat
     """by and q: the quartiles by linear interpolation, exact.
 
     Equal values are counted first. Approximate quantiles cut a group's values into parts, each of which is
-    put in order alone; the sizes of those before it say which ranks it holds."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    put in order alone; the sizes of those before it say which ranks it holds. Where the cuts fall depends on
+    the order in which sketches are merged, so they are a table: parts and their sizes must have the same ones."""
+    counted = written(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), "values")
     cuts = counted.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"), F.sum("_n").alias("_total"))
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-    cuts = cuts.select(*[F.col(c).alias(f"_c_{c}") for c in by], "_cuts", "_total")
+    cuts = written(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in by], "_cuts", "_total"), "cuts")
     # NaN is the greatest value, as in the engine's order
     placed = counted.join(cuts, same).withColumn("_block", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).select(*by, "_block", value, "_n", "_total")
     sized = _handed_on(placed, by, {"before": F.sum("_n")}).withColumn("_before", F.coalesce("_before", F.lit(0)))

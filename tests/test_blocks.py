@@ -1,5 +1,6 @@
 """Orders and running values by blocks, and draws by parts, beside brute force."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -62,6 +63,16 @@ def test_quartiles(spark, parts):
     assert set(got) == set(own) and all(np.allclose(got[g], np.quantile(vs, [0.25, 0.5, 0.75])) for g, vs in own.items())
 
 
+def test_quartiles_hold_whatever_the_cuts(spark, monkeypatch):
+    """Sketches merged in another order cut elsewhere: here each evaluation of the cuts finds other ones."""
+    real = blocks.F.percentile_approx
+    moved = blocks.F.udf(lambda cuts: [c + int.from_bytes(os.urandom(2)) / 64 for c in cuts], "array<double>")
+    monkeypatch.setattr(blocks.F, "percentile_approx", lambda *x: moved(real(*x)))
+    rows = [(g, float(k)) for g, n in (("a", 4001), ("b", 2222)) for k in range(n)]
+    got = {r.g: r.q for r in blocks.quartiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], 16).collect()}
+    assert got == {"a": [1000.0, 2000.0, 3000.0], "b": [555.25, 1110.5, 1665.75]}
+
+
 def test_numeric_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 1), ("a", None, 2)], "g string, v double, c long")
     assert [tuple(r) for r in summary.numeric(df, "v", ["g"], "c").collect()] == [(None, 2, 1, 2.0, 2.0, 1.414214, 1.5, 2.5)]
