@@ -74,6 +74,11 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
+def set_f1(a: Column, b: Column) -> Column:
+    """token_f1 of arrays in which nothing repeats, of which one isn't empty."""
+    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
 def token_recall(answer: Column, final: Column) -> Column:
     own = F.array_distinct(answer)
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, final)) / F.size(own))
