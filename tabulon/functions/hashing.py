@@ -108,12 +108,28 @@ def record_hash_status(df: DataFrame, name: str = "record_sha256") -> Column:
     return F.when(F.col(name).isNull(), "missing").when(F.col(name) == record_hash(df, name), "valid").otherwise("invalid")
 
 
+def digest_parts(value: Column) -> Column:
+    """array<long>: a value's SHA-256 as four numbers of 60 bits; null without a value."""
+    h = F.sha2(value, 256)
+    return F.when(h.isNotNull(), F.array(*[F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("long") for k in range(4)]))
+
+
+def part_sums(parts: Column) -> list[Column]:
+    """Aggregates of digest_parts(): how many there are, and sums of each number's upper and lower 30 bits, which are longs for up to 2^33 values."""
+    low = (1 << 30) - 1
+    return [F.count(parts), *[F.coalesce(F.sum(x), F.lit(0)) for k in range(4) for x in (F.shiftright(parts[k], 30), parts[k].bitwiseAND(F.lit(low)))]]
+
+
+def digest_of_sums(sums: list[Column]) -> Column:
+    """The digest that part_sums() stand for; sums of them stand for more values."""
+    whole = [(sums[1 + 2 * k].cast("decimal(20,0)") * (1 << 30) + sums[2 + 2 * k].cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws(",", sums[0].cast("string"), *whole), 256)
+
+
 def set_digest(value: Column) -> Column:
     """Aggregate: a digest of a group's values in any order, repeats counted.
 
     Each value's SHA-256 is four numbers of 60 bits; their sums and the count
     are hashed. Sums merge in partial aggregates, so a set of any size passes
     a shuffle as one row a task. Null values count as nothing."""
-    h = F.sha2(value, 256)
-    sums = [F.coalesce(F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in range(4)]
-    return F.sha2(F.concat_ws(",", F.count(value).cast("string"), *sums), 256)
+    return digest_of_sums(part_sums(digest_parts(value)))

@@ -1,14 +1,21 @@
 """Release audits, printed numbers, pixel algebra, patches and the catalogue of pairs on small cases."""
 
 import hashlib
+import os
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import images, printed
 from tabulon.operators import joins, pairs, release
+from tabulon.plans.queries import ORACLE, QUERIES
+from tests.conftest import SF
+from tests.oracle import TABLES, assert_same
+from tests.test_texts import shuffled
 
 PNG = bytes.fromhex("89504e470d0a1a0a") + b"synthetic"
 
@@ -114,3 +121,17 @@ def test_catalogue_numbers_jobs_in_their_order(spark):
     assert rows == [(0, "n1", "y", 2), (1, "n2", "y", 2), (2, "n2", "x", 1), (3, "n3", "x", 1), (4, "unrelated_raw", "y", 2), (5, "unrelated_raw", "x", 1), (None, "n1", "x", 1)]
     counts = {(r.analysis, r.arm): (r.pairs, r.dropped) for r in pairs.catalogue_counts(got).collect()}
     assert counts["n1", "x"] == (0, 1) and counts["n1", "y"] == (1, 0)
+
+
+def test_provenance_shuffles_a_row_a_frame(spark, tmp_path):
+    """A frame is one row whatever the cells that it is in, and null keys, frames and strata are as in SQL."""
+    for t in TABLES:
+        if t != "orders":
+            os.symlink(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    n = 9000
+    pq.write_table(pa.table({"o_orderkey": pa.array([None if k == 7 else k - 4 for k in range(n)], pa.int64()), "o_custkey": pa.array([None if k % 50 == 3 else k // 2 for k in range(n)], pa.int64()), "o_orderpriority": [None if k % 9 == 1 else f"p{k % 5}" for k in range(n)], "o_totalprice": [k * 7.5 for k in range(n)]}), f"{tmp_path}/orders.parquet")
+    before = shuffled(spark)
+    QUERIES["cell_provenance"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert shuffled(spark) - before < 60 * n
+    assert_same(QUERIES["cell_provenance"](spark, str(tmp_path)), ORACLE["cell_provenance"], str(tmp_path))
