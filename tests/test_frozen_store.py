@@ -1,6 +1,7 @@
 """A store under stream conditions: restarts, torn writes, foreign keys, other metadata."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tabulon.operators.store import StoreViolation
 from tabulon.sources.logs import lines
 from tabulon.streaming import frozen_store
+from tests.test_texts import shuffled
 
 
 def manifest(spark, n=10):
@@ -50,6 +52,23 @@ def test_restart_torn_write_and_foreign_key(spark, tmp_path):
         frozen_store.ingest(spark, str(src), root, {"purpose": "another"}, manifest(spark))
 
 
+def test_a_batch_that_runs_again_is_judged_once(spark, tmp_path):
+    """A run that ended between its verdicts and its commit is done again; records move by one shuffle, and places are found only where a line is damaged."""
+    src, root, n = tmp_path / "log", str(tmp_path / "store"), 1500
+    rnd = random.Random(4)
+    text = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1500))
+    log(spark, src, "a.jsonl", [(f"k{i}", f"h{i}", "success", a, text()) for i in range(n) for a in (1, 2)])
+    run = lambda: frozen_store.ingest(spark, str(src), root, {}, manifest(spark, n))
+    before = shuffled(spark)
+    want = sorted((f"k{i}", a, v) for i in range(n) for a, v in ((1, "accepted"), (2, "duplicate_key")))
+    assert verdicts(run()) == want
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert shuffled(spark) - before < 1.5 * (src / "a.jsonl").stat().st_size
+    for f in (tmp_path / "store" / "checkpoint" / "commits").iterdir():
+        f.unlink()
+    assert verdicts(run()) == want
+
+
 def test_damage_is_not_repaired(spark, tmp_path):
     src, root = tmp_path / "log", str(tmp_path / "store")
     log(spark, src, "a.jsonl", rows(0, 1))
